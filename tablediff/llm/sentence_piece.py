@@ -157,7 +157,10 @@ class SentencePieces:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words, many words to a text; every text is held against the library."""
-        texts = [words[i : i + WORDS_PER_TEXT] for i in range(0, len(words), WORDS_PER_TEXT)]
+        # markers alone, as at the end of a text, would join the word after them
+        alone = [[w] for w in words if not w.strip(MARK)]
+        words = [w for w in words if w.strip(MARK)]
+        texts = [words[i : i + WORDS_PER_TEXT] for i in range(0, len(words), WORDS_PER_TEXT)] + alone
         joined = ["".join(t) for t in texts]
         backend = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         library = self.library.encode([j[1:].replace(MARK, " ") for j in joined], num_threads=1)

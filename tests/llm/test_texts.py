@@ -1,0 +1,140 @@
+"""Token counts, SentencePiece, language, toxicity, secrets."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from tablediff.llm import boosting, language_id, secrets, sentence_piece, token_count, toxicity
+
+SF = "/root/testdata/sf0.01"
+ODD = ["", " ", "a", "  two  spaces ", "don't we'll I'VE", "x<|endoftext|>y<|endoftext|>", "tab\t\nnew\r\n", "日本語テキスト", "é    x", "\U0001F600\U0001F468‍", "\x1c\x1d\x85", "x▁y ▁", "<s> </s> <0x41>", "ab" * 20000, "Ünïcödé straße 12345", "՘₏", "٣٤ अआ १२"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(i, t, "en", "s", len(t), "clash") for i, t in enumerate(ODD)] + [(None, None, None, None, None, None), (3, ODD[3], "en", "s", 1, "clash")], DOCS)
+
+
+def test_token_counts_equal_library(spark, odd):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()]
+    counter = token_count.WholeTokenCounter(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    found = {r.doc_id: r for r in token_count.count_tokens(odd, public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert found[None].n_tokens == 0 and found[None].n_bytes == 0 and found[13].over_limit
+    for name in ("piece_bpe_32k.model", "word_bpe_49k.json"):
+        assert token_count.count_tokens(odd, public_tokenizers.path(name)).count() == len(ODD) + 2
+    assert token_count.count_tokens(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_character_classes_are_proven():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).pre_tokenizer
+    counter = token_count.WholeTokenCounter(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    rng = random.Random(1)
+    for low, high in token_count.PROVEN_RANGES:
+        span = range(low, high + 1)
+        for c in span if len(span) < 1500 else rng.sample(span, 1500):
+            s = f"a{chr(c)}a1{chr(c)}1 {chr(c)}"
+            want = [s[a:b] for _, (a, b) in library.pre_tokenize_str(s)]
+            assert counter.any.findall(s) == want, hex(c)
+            if c < token_count.LOW_END:
+                assert counter.low.findall(s) == want, hex(c)
+
+
+def test_whole_tokens_are_proven():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = token_count.prove_whole_tokens(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    assert len(whole) > 40_000 and "<|endoftext|>" not in whole
+    assert all(len(library.encode(w, add_special_tokens=False).ids) == 1 for w in random.Random(2).sample(sorted(whole), 500))
+
+
+def test_sentencepiece_round_trip(spark, odd):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = {r.doc_id: r for r in sentence_piece.encode(odd, path).collect()}
+    for i, t in enumerate(ODD):
+        assert found[i].token_ids == library.encode(t) and found[i].round_trip
+    assert found[None].token_ids == [] and sentence_piece.encode(odd.limit(0), path).count() == 0
+    back = {r.doc_id: r.text for r in sentence_piece.decode(sentence_piece.encode(odd, path), path).collect()}
+    assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(ODD))
+
+
+def test_unigram_model_is_rebuilt():
+    def field(n, wire, body):
+        return bytes([n << 3 | wire]) + body
+
+    def message(n, body):
+        return field(n, 2, bytes([len(body)]) + body)
+
+    import struct
+
+    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("a", -3.0, 1), ("▁", -4.0, 1)]
+    raw = b"".join(message(1, message(1, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in pieces)
+    raw += message(2, field(3, 0, b"\x01")) + message(3, message(1, b"identity") + field(3, 0, b"\x01") + field(4, 0, b"\x00") + field(5, 0, b"\x01"))
+    model = sentence_piece.parse_model(raw)
+    assert (model.model_type, model.pieces[3], model.dummy_prefix, model.remove_extra) == (sentence_piece.UNIGRAM, "▁ab", True, False)
+    own = sentence_piece.build_tokenizer(model)
+    assert own.encode(sentence_piece.build_normalizer(model)("ab a"), add_special_tokens=False).tokens == ["▁ab", "▁a"]
+
+
+def test_languages(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = language_id.op9_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found) and len(found) > 100
+    model = language_id.learn(docs, 60)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()}
+    assert got[None] == ("und", 0.0) and got[0] == ("und", 0.0) and got[6] == ("und", 0.0) or got[6][0] in model.langs
+    assert language_id.identify(odd.limit(0), model).count() == 0
+    assert language_id.LanguageModel([], []).predict("text") == ("und", 0.0)
+    assert language_id.family("es") == language_id.family("fr") != language_id.family("de") and language_id.family("xx") == "xx"
+
+
+def test_toxicity(spark, odd):
+    rows = [(i, " ".join(["you idiot" if i % 3 == 0 and k % 7 == 0 else f"word{(i * k) % 50}" for k in range(40)]), "en", "s", 1, "") for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert "idiot" in model.lexicon
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert min(got[i] for i in range(0, 300, 3)) > 0.5 > max(got[i] for i in range(300) if i % 3)
+    assert {r.doc_id for r in toxicity.keep_clean(docs, labels).collect()} == {i for i in range(300) if i % 3}
+    assert toxicity.scores(odd, model).count() == len(ODD) + 2 and toxicity.scores(odd.limit(0), model).count() == 0
+    assert toxicity.learn(docs, labels.limit(0)).share == 0.0
+
+
+def test_held_out_labels_are_not_seen(spark):
+    import zlib
+
+    rows = [(i, f"marker{i} text", "en", "s", 1, "") for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    labels = spark.createDataFrame([(i, 1, 1) for i in held], "doc_id long, quality int, toxic int")
+    assert toxicity.learn(docs, labels).trees is None and toxicity.learn(docs, labels).share == 0.0
+
+
+def test_boosting_and_calibration():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    margin = boosting.BoostedTrees(trees=40).fit(x, y).margin(x)
+    p = boosting.Isotonic().fit(margin, y)(margin)
+    assert ((p > 0.5) == y).mean() > 0.9 and (np.diff(p[np.argsort(margin)]) >= -1e-12).all()
+
+
+def test_secrets(spark, odd):
+    forest = secrets.train()
+    test = secrets.labelled_findings(800, seed=99)
+    got = forest.predict(np.array([secrets.features(*r[:4]) for r in test])) >= 0.5
+    assert (got == np.array([r[4] for r in test])).mean() > 0.95
+    key, digest = "3c4226790fc3f8022bcc4434e93601b2005f1325", "9" * 8 + "ab12cd34ef56ab12cd34ef56ab12cd34"
+    docs = spark.createDataFrame([(1, f'set token = "{key}" here', "en", "src", 1, ""), (2, f"see commit {digest} for more", "en", "src", 1, ""), (3, None, None, None, None, None)], DOCS)
+    found = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    assert found[1].is_secret and (found[1].begin, found[1].end) == (13, 53) and found[1].secret_sha256 == hashlib.sha256(key.encode()).hexdigest()
+    assert not found[2].is_secret and 3 not in found
+    assert secrets.scan(docs.limit(0)).count() == 0 and secrets.scan(odd.drop("source")).count() >= 0
