@@ -16,10 +16,22 @@ FOLDS, HELD_FOLD = 4, 2
 BROADCAST_ROWS = 200_000
 
 
+#: Rows that executors and their Python workers exchange at once; with the default of 10,000 texts they would hold a tenth of a GB each.
+BATCH_ROWS = 1024
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -33,7 +33,7 @@ TRAIN_ROWS, THRESHOLD = 24_000, 0.3
 #: Beginnings of words that the lexicon considers, in letters.
 STEMS = range(4, 10)
 LEXICON_SIZE, LEAST_WEIGHT = 4000, 2.0
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo tus usted ustedes vosotros os".split())
