@@ -5,7 +5,7 @@ a first record and continuation records, which name the first one as their origi
 the total length. Of pages with equal payloads the smallest page_id is the response, the others are revisits.
 
 Archives are written and read by Spark, so they may lie in any store that it knows. Reading splits files at
-record starts; the writer places chunk and segment ends so that no record start can appear inside a block.
+record starts; the writer places chunk ends so that no record start can appear inside a block.
 Every record's length is checked against its header. Continuations are grouped by origin, ordered by segment number, counted and
 measured against the total length; only segmented records are shuffled. Payloads are then unframed and their
 digests recomputed. Anything that does not agree ends the job with an error.
@@ -34,7 +34,8 @@ SEGMENT_BYTES, CHUNK_BYTES, LEAST_REVISIT_BYTES = 32_768, 8_192, 0
 RECORDS_PER_FILE = 50_000
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
-START = END + VERSION + b"\r\n"
+#: What reading splits at. It does not begin anew within itself, so a reader that meets part of it at the end of a buffer can go on.
+START = VERSION + b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -46,9 +47,9 @@ def digest(payload: bytes) -> str:
 
 
 def frame(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
-    """Chunked transfer framing. A chunk also ends inside each record start that the payload may hold."""
+    """Chunked transfer framing. A chunk also ends inside each version string that the payload may hold, so none is left in the block."""
     cuts = set(range(size, len(payload), size))
-    cuts.update(m.start() + 6 for m in re.finditer(re.escape(END + b"WARC/"), payload))
+    cuts.update(m.start() + 4 for m in re.finditer(re.escape(VERSION), payload))
     edges = [0, *sorted(c for c in cuts if 0 < c < len(payload)), len(payload)]
     out = [b"%x\r\n%b\r\n" % (b - a, payload[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
     return b"".join(out) + b"0\r\n\r\n"
@@ -77,15 +78,8 @@ def unframe(block: bytes) -> bytes:
 
 
 def _cut(block: bytes, size: int) -> list[bytes]:
-    """Segments of at most size bytes; no cut lies within reach of a version string."""
-    out, at = [], 0
-    while len(block) - at > size:
-        end = at + size
-        while VERSION in block[end - 16 : end + 16] and end > at + 64:
-            end -= 24
-        out.append(block[at:end])
-        at = end
-    return [*out, block[at:]]
+    """Segments of at most size bytes, one at least."""
+    return [block[at : at + size] for at in range(0, max(len(block), 1), size)]
 
 
 def _header(fields: list[tuple[str, object]]) -> bytes:
