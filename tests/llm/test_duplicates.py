@@ -9,10 +9,11 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablediff.llm import decontaminate, exact_dedup, simhash
+from tablediff.llm import decontaminate, exact_dedup, simhash, similar
 from tablediff.llm.components import components
 
 SF = "/root/testdata/sf0.001"
+WORDS = "one two three four five six seven eight nine ten".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
 
@@ -164,3 +165,53 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(kept.collect(), docs.schema)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.where("round_trip").count() == docs.count() > 100
+
+
+def brute_near(rows):
+    """Labels by every pair of rows whose sets of five-word shingles overlap by 0.8."""
+    sets = []
+    for _, t in rows:
+        w = simhash.WORD.findall((t or "").translate(simhash.LOWER))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                label = [label[j] if k == label[i] else k for k in label]
+    least = {}
+    for k, (d, _) in zip(label, rows):
+        least[k] = min(least.get(k, d), d)
+    return {d: least[k] for k, (d, _) in zip(label, rows)}
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(n)]
+    rows = []
+    for g in range(8):
+        base = text(300)
+        for k in range(12 if g else 60):
+            copy = list(base)
+            for at in rng.sample(range(300), k % 4):
+                copy[at] = "edit" + str(rng.randrange(10**6))
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(500, None), (501, ""), (502, " \t"), (503, "two words"), (504, "Two  words"), (505, "other words"), (506, "word " * 40_000), (507, "word " * 41_000)]
+    rows += [(600 + i, " ".join(text(80))) for i in range(60)]
+    found = {r.doc_id: r.component_id for r in similar.near_copies(frame(spark, rows)).collect()}
+    want = brute_near(rows)
+    assert found == want and len(set(want.values())) == 8 + 4 + 60
+    more = frame(spark, [*rows, (3, rows[3][1]), (None, rows[3][1]), (None, None)])
+    kept = similar.keep_one(more)
+    assert kept.columns == more.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, d) for d in set(want.values())] + [(True, 0)] * 2)
+    assert similar.near_copies(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_long_fingerprint():
+    rng = random.Random(5)
+    t = " ".join(str(rng.randrange(10**6)) for _ in range(700))
+    h = similar.shingles(t)
+    salted = [[(int(x) + int(s)) & (1 << 64) - 1 for x in h] for s in similar.SALTS[:, 0]]
+    mix = lambda z: (z := (z ^ z >> 30) * similar.MIX_1 & (1 << 64) - 1, z := (z ^ z >> 27) * similar.MIX_2 & (1 << 64) - 1, z ^ z >> 31)[-1]
+    want = [[sum(mix(z) >> (8 * j + b) & 1 for z in row) for j in range(8) for b in range(8)] for row in salted]
+    assert similar._ones(h).reshape(-1, 64).tolist() == want
