@@ -13,6 +13,7 @@ null ids are kept, extra columns are ignored by encode. An empty table gives an
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 MEMO_ENTRIES, WORDS_PER_TEXT = 200_000, 256
+#: Threads of the library in each worker; left alone it starts one for every core of the machine, each with memory of its own.
+THREADS = 2
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -217,6 +220,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["RAYON_NUM_THREADS"] = str(THREADS)  # read at the library's first batch
         pieces = SentencePieces(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
