@@ -145,6 +145,18 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    rng = random.Random(4)
+    text = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+    items = [text(n) for n in (40, 65, 129, 300, 1500)]
+    rows = [(i, " ".join(text(70 + i) + w + text(500))) for i, w in enumerate(items)]
+    rows += [(10 + i, " ".join(text(70) + [x if k % 8 else "other" for k, x in enumerate(w)] + text(90))) for i, w in enumerate(items)]
+    rows += [(20 + i, " ".join(text(70) + w[: len(w) // 2] + text(900))) for i, w in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(frame(spark, rows), bench).collect()}
+    assert found == {(i, i) for i in range(5)} | {(10 + i, i) for i in range(5)}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
