@@ -8,9 +8,10 @@ against the whole fingerprint, and if at most LIMIT of all bits differ, against
 similarity of their sets of shingles is SIMILARITY at least.
 
 Large groups: equal sections collapse to one before they are dealt out (a grouped minimum), so a subtree holds no more than
-2^22 values of a section however many documents there are. The first FIRST sections are walked alone; what they link is one
-component in the walks of the others, which so report pairs between components only. A walk reports a
-spanning forest of the near pairs, never all pairs of a group.
+2^22 values of a section however many documents there are. The first FIRST sections are walked alone and report a spanning
+forest of their near pairs; those whose texts are similar are links, and what they link is one component. Then all
+sections are walked again and report every near pair of documents of different components, so that a pair that fails the
+check never stands in for another one. What the large groups have in common is one component by then and is left out.
 
 Cases: null text counts as empty; texts without words have the fingerprint zero and link to each other. A text with fewer
 words than a shingle is one shingle. Repeats of a shingle count once. Rows with a null id are never linked and stay.
@@ -42,6 +43,9 @@ BLOCKS = (11, 11, 10)
 SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 LIMIT = int(SECTIONS * WIDTH * SHARE + 3 * math.sqrt(SECTIONS * WIDTH * SHARE * (1 - SHARE)))
 
+#: Pairs of rows written out at once.
+PRODUCT = 1 << 20
+
 #: The multipliers of the published splitmix64 generator.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 SALTS = np.array([(k + 1) * GOLDEN & (1 << 64) - 1 for k in range(SECTIONS * WIDTH // 64)], np.uint64)[:, None]
@@ -152,6 +156,56 @@ def witness_pairs(group: np.ndarray, value: np.ndarray, node: np.ndarray, comp:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+class Between(Forest):
+    """Keeps every pair of places of different components. A place of several components has a label of its own."""
+
+    def __init__(self, label: np.ndarray):
+        self.label, self.pairs = label, []
+        self.settle()
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = (a < b) & (self.label[a] != self.label[b])
+        self.pairs.append((a[apart], b[apart]))
+
+
+def all_pairs(group: np.ndarray, value: np.ndarray, comp: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of different components in one group whose values differ in DISTANCE bits at most, PRODUCT or a row's pairs at once. Values of a group share their first depth bits."""
+    order = np.lexsort((value, group))
+    group, value, comp = group[order], value[order], comp[order]
+    if not len(group):
+        return
+    first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])]))
+    last = np.append(first[1:], len(group))
+    low, high = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
+    held, names = group[first], np.unique(comp)
+    label = np.where(low == high, np.searchsorted(names, low), len(names) + np.arange(len(first)))
+    cut = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    ends = np.append(cut[1:], len(held))
+    for lo, hi in _runs(cut, ends, held, value[first]):
+        starts = cut[(cut >= lo) & (cut < hi)] - lo
+        stops = np.append(starts[1:], hi - lo)
+        roots = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], 1)[stops - starts > 1]
+        found = Between(label[lo:hi])
+        if len(roots):
+            _walk(value[first[lo:hi]], roots, depth, DISTANCE, found)
+        own = np.flatnonzero(low[lo:hi] != high[lo:hi])
+        x, y = (lo + np.concatenate(k) for k in zip((own, own), *found.pairs))
+        wide = last[y] - first[y]
+        rows = (last[x] - first[x]).cumsum()
+        # each row of x against all rows of y
+        at, of = 0, np.repeat(np.arange(len(x)), last[x] - first[x])
+        left = first[x][of] + np.arange(len(of)) - np.concatenate([[0], rows])[of]
+        size = wide[of].cumsum()
+        while at < len(of):
+            to = max(int(np.searchsorted(size, (size[at - 1] if at else 0) + PRODUCT, side="right")), at + 1)
+            k = np.repeat(np.arange(at, to), wide[of[at:to]])
+            right = first[y][of[k]] + np.arange(len(k)) - np.repeat(size[at:to] - wide[of[at:to]] - (size[at - 1] if at else 0), wide[of[at:to]])
+            a, b = left[k], right
+            apart = (comp[a] != comp[b]) & ((x != y)[of[k]] | (a < b))
+            yield order[a[apart]], order[b[apart]]
+            at = to
+
+
 def candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
     """a, b: pairs of nodes of different components (node, comp, fp) that come near in one of the sections first to last."""
     spark = nodes.sparkSession
@@ -181,10 +235,45 @@ def candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
     return equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, first: int, last: int, shingle: int) -> DataFrame:
-    """a, b, of the candidates those whose texts are similar; the texts of other documents are not moved."""
+def candidates_between(nodes: DataFrame) -> DataFrame:
+    """a, b: every pair of nodes of different components (node, comp, fp) that come near in one of the sections."""
+    spark = nodes.sparkSession
+    rows = nodes.select("node", "comp", F.posexplode("fp").alias("t", "s")).withColumn("s", F.col("s").cast("long").bitwiseAND((1 << WIDTH) - 1))
+    # nodes of a component with equal sections are walked as one, and all put in where it was found
+    held = materialise(rows.groupBy("t", "s", "comp").agg(F.min("node").alias("node"), (F.count("*") > 1).alias("more")), "similar-between")
+    offset = [0, BLOCKS[0], BLOCKS[0] + BLOCKS[1]]
+    blocks = F.array(*(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned("s", WIDTH - at - w).bitwiseAND((1 << w) - 1).alias("key")) for r, (at, w) in enumerate(zip(offset, BLOCKS))))
+    dealt = held.select("t", "s", "comp", "node", "more", F.explode(blocks).alias("block")).select("t", "s", "comp", "node", "more", "block.r", "block.key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.count() * len(BLOCKS) / ROWS_PER_TASK))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batches = list(batches)
+        if not batches:
+            return
+        held = pd.concat(batches)
+        for r, part in held.groupby("r"):
+            s, at = part.s.to_numpy(np.uint64), np.uint64(offset[r])
+            turned = ((s << at) | (s >> (np.uint64(WIDTH) - at))) << np.uint64(WIDTH)
+            t, node, more = part.t.to_numpy(np.int64), part.node.to_numpy(np.int64), part.more.to_numpy(bool)
+            for a, b in all_pairs(t << 32 | part.key.to_numpy(np.int64), turned, part.comp.to_numpy(np.int64), BLOCKS[r]):
+                yield pd.DataFrame({"t": t[a], "a": node[a], "b": node[b], "more_a": more[a], "more_b": more[b]})
+
+    found = materialise(dealt.repartition(parts, "t", "r", "key").mapInPandas(run, "t int, a long, b long, more_a boolean, more_b boolean"), "similar-found")
+    needed = found.where("more_a").select("t", F.col("a").alias("node")).union(found.where("more_b").select("t", "b")).distinct()
+    named = materialise(held.where("more").join(needed, ["t", "node"]).select("t", "s", "comp", F.col("node").alias("as")), "similar-named-by")
+    members = materialise(rows.join(sized_broadcast(named), ["t", "s", "comp"]).select("t", "as", "node"), "similar-members")
+    single = found.where("not more_a and not more_b").select("a", "b")
+    several = found.where("more_a or more_b").select("t", "a", "b").distinct()
+    for side in ("a", "b"):
+        several = several.join(members.select("t", F.col("as").alias(side), F.col("node").alias(f"of_{side}")), ["t", side], "left")
+    several = several.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    return single.unionByName(several).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """a, b, of the pairs of nodes those whose texts are similar; the texts of other documents are not moved."""
     fp = nodes.select("node", "fp")
-    pairs = candidates(nodes, first, last).join(fp.toDF("a", "fp_a"), "a").join(fp.toDF("b", "fp_b"), "b")
+    pairs = pairs.join(fp.toDF("a", "fp_a"), "a").join(fp.toDF("b", "fp_b"), "b")
     differ = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND((1 << WIDTH) - 1))), F.lit(0), lambda n, x: n + x)
     pairs = materialise(pairs.where(differ <= LIMIT).select("a", "b"), "similar-pairs")
     needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-needed")
@@ -203,10 +292,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its near copies, itself included) of every row; null for a null id."""
     rows = materialise(sketches(docs, shingle), "similar-fp")
     nodes = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "similar-nodes")
-    early = materialise(links(docs, nodes.withColumn("comp", F.col("node")), 0, FIRST, shingle), "similar-early")
+    early = materialise(links(docs, nodes, candidates(nodes.withColumn("comp", F.col("node")), 0, FIRST), shingle), "similar-early")
     joined = components(early).withColumnRenamed("root", "comp")
     named = materialise(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "similar-named")
-    late = materialise(links(docs, named, FIRST, SECTIONS, shingle), "similar-late")
+    late = materialise(links(docs, named, candidates_between(named), shingle), "similar-late")
     root = components(early.unionByName(late))
     names = materialise(nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "similar-names")
     return rows.join(names, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -227,3 +227,25 @@ def test_long_fingerprint():
     mix = lambda z: (z := (z ^ z >> 30) * similar.MIX_1 & (1 << 64) - 1, z := (z ^ z >> 27) * similar.MIX_2 & (1 << 64) - 1, z ^ z >> 31)[-1]
     want = [[sum(mix(z) >> (8 * j + b) & 1 for z in row) for j in range(8) for b in range(8)] for row in salted]
     assert similar._ones(h).reshape(-1, 64).tolist() == want
+
+
+@pytest.mark.parametrize("bits", [(3, 1, 2), (0, 0, 0)])
+def test_false_candidates_do_not_stand_in_for_near_copies(spark, monkeypatch, bits):
+    rng = random.Random(6)
+    text = [rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(200)]
+    rows = [(0, " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(200))), (1, " ".join(text)), (2, " ".join([*text[:-1], "edit"]))]
+    # in the second section all three come near, the similar ones by way of the other at most; in the others none do
+    fps = [[(7 << 4 * i) if t != 1 else bits[i] for t in range(similar.SECTIONS)] for i in range(3)]
+    real, made = similar.sketches, spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "doc_id long, fp array<int>")
+    monkeypatch.setattr(similar, "sketches", lambda docs, shingle: real(docs, shingle).drop("fp").join(made, "doc_id"))
+    assert {r.doc_id: r.component_id for r in similar.near_copies(frame(spark, rows)).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_all_pairs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 32, 40, dtype=np.uint64)
+    value = np.concatenate([base, base, *(base ^ (np.uint64(1) << rng.integers(0, 21, 40).astype(np.uint64)) for _ in range(6))]) << np.uint64(32)
+    group, comp = (value >> np.uint64(53)).astype(np.int64), rng.integers(0, 60, len(value))
+    found = [(int(x), int(y)) for a, b in similar.all_pairs(group, value, comp, 11) for x, y in zip(a, b)]
+    near = (group[:, None] == group) & (np.bitwise_count(value[:, None] ^ value) <= 2) & (comp[:, None] != comp)
+    assert len(found) == len(set(found)) and {(min(p), max(p)) for p in found} == {(int(x), int(y)) for x, y in np.argwhere(near) if x < y}
