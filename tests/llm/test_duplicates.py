@@ -157,6 +157,27 @@ def test_decontamination_of_long_items(spark):
     assert found == {(i, i) for i in range(5)} | {(10 + i, i) for i in range(5)}
 
 
+def test_decontamination_finds_every_close_copy(spark):
+    rng = random.Random(9)
+    texts = [w for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if len(w := decontaminate.words(r.text)) > 60]
+    common = [w for t in texts[:40] for w in t]
+    items, rows = [], []
+    for n in [rng.randint(4, 7) for _ in range(120)] + [rng.randint(8, 15) for _ in range(120)] + [rng.randint(16, 24) for _ in range(60)]:
+        source, other = rng.sample(texts, 2)
+        at, to = rng.randrange(len(source) - n), rng.randrange(len(other))
+        items.append(source[at : at + n])
+        copy = list(items[-1])
+        if len(items) % 2 and n >= decontaminate.SHORT:
+            for k in rng.sample(range(n), decontaminate.allowed(n)):
+                copy[k] = rng.choice(common)
+        rows.append((1000 + len(rows), " ".join(other[:to] + copy + other[to:])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(frame(spark, rows), bench).collect()}
+    missed = [i for i in range(len(items)) if (1000 + i, i) not in found]
+    print("found of 4-7, 8-15, 16-24 words:", *(hi - lo - sum(lo <= i < hi for i in missed) for lo, hi in ((0, 120), (120, 240), (240, 300))))
+    assert not missed
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
