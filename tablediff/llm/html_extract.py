@@ -3,7 +3,9 @@
 Each page's elements become a tree. For every node the composite text density compares its characters
 with its tags, adjusted for how much of either stands in links; a node's density sum adds up the densities
 of its children. The node of the largest sum in the body names a threshold: the least density on its path
-up to the body. Among the nodes that reach the threshold the subtree of the largest sum is taken as main text.
+up to the body. Its subtree is main text, and so is, in every other branch that reaches the threshold, the subtree of
+the largest sum, for which a node's own text counts as a child. Where the first stands in an article or main element,
+only what stands in one is taken.
 
 Beforehand navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and
 reader comments are cut out, by element, role, and words of class and id.
@@ -48,12 +50,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("name", "parent", "parts", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "own")
 
     def __init__(self, name: str, parent: Node | None, cut: bool):
         self.name, self.parent, self.cut, self.parts = name, parent, cut, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.total = self.own = 0.0
 
 
 def _cut(name: str, attributes: str, inside: set[str]) -> bool:
@@ -155,7 +157,8 @@ def _order(root: Node) -> list[Node]:
 
 def _measure(nodes: list[Node], body: Node) -> None:
     for node in reversed(nodes):
-        node.chars += sum(len(p.split()) and sum(map(len, p.split())) for p in node.parts if isinstance(p, str))
+        node.own = sum(len(p.split()) and sum(map(len, p.split())) for p in node.parts if isinstance(p, str))
+        node.chars += node.own
         if node.name == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         up = node.parent
@@ -191,6 +194,49 @@ def main_node(root: Node) -> tuple[Node, float]:
     return (best if best.total > 0 else body), threshold
 
 
+def content(root: Node) -> list[Node]:
+    """The subtrees of main text, in page order; none lies in another."""
+    top, threshold = main_node(root)
+    nodes = _order(root)
+    best = {}  # the node of the largest sum in each subtree
+    for node in reversed(nodes):
+        weight = node.total + (node.density * node.own / node.chars if node.chars else 0.0)
+        found = max([(weight, node), *(best[p] for p in node.parts if isinstance(p, Node) and p in best)], key=lambda x: x[0])
+        best[node] = found
+    around, up = set(), top
+    while up is not None:
+        around.add(up)
+        up = up.parent
+    taken, stack = set(), [next((x for x in nodes if x.name == "body"), root)]
+    while stack:
+        node = stack.pop()
+        if node is top or node in taken:
+            continue
+        if node not in around and node.density >= threshold > 0:
+            taken.add(best[node][1])
+            if best[node][1] is node:
+                continue
+        stack += [p for p in node.parts if isinstance(p, Node) and not p.cut]
+    wholes = {_whole(top)}
+    edges = [_whole(x) for x in taken]
+    if _whole(top).name in ("article", "main"):
+        edges = [x for x in edges if x.name in ("article", "main")]
+    wholes.update(edges)
+    return [x for x in nodes if x in wholes and not any(x is not y and _under(x, y) for y in wholes)]
+
+
+def _whole(best: Node) -> Node:
+    # an article or main element around the densest subtree is the page's own word for where its text ends
+    node, whole = best, best
+    while node is not None:
+        if node.name in ("article", "main"):
+            return node
+        node = node.parent
+    while whole.parent is not None and whole.name not in BLOCKS:
+        whole = whole.parent
+    return whole
+
+
 def _under(node: Node, body: Node) -> bool:
     while node is not None and node is not body:
         node = node.parent
@@ -229,19 +275,7 @@ def blocks(node: Node) -> list[str]:
 def extract(html: str | None) -> str:
     if not html:
         return ""
-    root = parse(html)
-    best, _ = main_node(root)
-    # an article or main element around the densest subtree is the page's own word for where its text ends
-    node, whole = best, best
-    while node is not None:
-        if node.name in ("article", "main"):
-            whole = node
-            break
-        node = node.parent
-    if whole is best and best.name not in BLOCKS:
-        while whole.parent is not None and whole.name not in BLOCKS:
-            whole = whole.parent
-    return "\n".join(blocks(whole))
+    return "\n".join(line for node in content(parse(html)) for line in blocks(node))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

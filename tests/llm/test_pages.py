@@ -48,6 +48,19 @@ def test_density_picks_the_text():
     assert [p.name for p in best.parts if not isinstance(p, str)] == ["p"] * 5
 
 
+def test_sibling_containers_are_kept():
+    story = ["Words of the story go on and on for a good while here, number %d. " % k * 6 for k in range(6)]
+    lines = [" ".join(x.split()) for x in story]
+    box = lambda xs: "<div>" + "".join(f"<p>{x}</p>" for x in xs) + "</div>"
+    links = "<div>" + "<a href=x>link text</a>" * 30 + "</div>"
+    assert html_extract.extract("<body>" + box(story[:3]) + links + box(story[3:]) + "</body>") == "\n".join(lines)
+    text_only = "<div>" + "<br>".join(story[3:]) + "</div>"
+    assert html_extract.extract("<body>" + links + box(story[:3]) + text_only + "</body>") == "\n".join(lines[:3] + [" ".join(lines[3:])])
+    assert html_extract.extract("<body><div><section>" + box(story[:2]) + "</section></div><section>" + box(story[2:]) + links + "</section></body>") == "\n".join(lines)
+    articles = "<article>" + box(story[:3]) + "</article>" + "<article>" + box(story[3:]) + "</article>"
+    assert html_extract.extract("<body>" + articles + "</body>") == "\n".join(lines)
+
+
 def test_warc_equals_sql(spark):
     duckdb.sql(f"create or replace view pages as select * from '{SF}/pages.parquet'")
     df = warc.op8_warc(spark, SF)
