@@ -1,7 +1,7 @@
 """Secret scans: candidate strings by pattern, false positives removed by a random forest.
 
 A candidate is a run of at least LEAST_LENGTH key characters with a digit or mixed case, a value that is assigned to a
-name such as password, or a private key block. The forest sees its length, how characters change class and
+name such as password, quoted or not, or a private key block, each of any length. The forest sees its length, how characters change class and
 follow one another, how much of it dictionary words cover, the path it stands in, and the words around it.
 
 It is trained on labelled findings: (before, candidate, after, path, label) rows. Where a caller has none, a fixed
@@ -37,7 +37,12 @@ DENY = frozenset("blob changeset checksum commit digest etag example fingerprint
 DICTIONARY = frozenset("access account action admin after agent alert alpha array async author back base batch before beta block body build button cache call change channel check child class client close code color column command common component config connection console container content context control copy core count create current data date debug default delete demo design detail device dialog display document domain down driver dummy edit element email enable end engine entry error event example factory field file filter first folder font form format frame from function general global group handler hash head header help hidden home host icon image import index info init input inner install instance interface internal item java json key label language last layout left length level library line link list load local lock log login main make manager map mark master member memory menu message method model module month mount name native network next node null number object offset open option order output page panel parent parse password path pattern placeholder player point pool port position post prefix press print private process product profile project property protocol provider public query queue random range read record region release remote remove render report request reset resource response result return right role root route rule sample save scale schema scope screen script search second secret section select server service session set size source spec stack start state static status storage store stream string style submit suite super switch symbol system table target task template test text theme thread time title token tool total track transfer transform tree type under unit update upload user util value variable vector version video view web widget width window word work wrapper write year your zone".split())
 
 KEY = r"[A-Za-z0-9+/=_\-]"
-CANDIDATE = re.compile(rf"-----BEGIN [A-Z ]*PRIVATE KEY-----.{{0,8000}}?-----END [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9+/=_\-.])(?=[^\s]{{0,80}}?[0-9A-Z])(?:eyJ{KEY}+\.{KEY}+\.{KEY}+|{KEY}{{{LEAST_LENGTH},}})(?![A-Za-z0-9_])|(?<=[=:\s\"'])(?<!\w)[^\s\"'<>]{{6,64}}(?=[\"'])", re.S)
+MARKER = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+BLOCK = re.compile(rf"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:(?!{MARKER})-[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----")
+RUN = re.compile(rf"(?<![A-Za-z0-9+/=_\-.])(?={KEY}*?[0-9A-Z]|[^\s]{{0,80}}?[0-9A-Z])(?:eyJ{KEY}+\.{KEY}+\.{KEY}+|{KEY}{{{LEAST_LENGTH},}})(?![A-Za-z0-9_])")
+NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*=")
+QUOTED = re.compile(r"(?<![^\s\"'<>])[^\s\"'<>]{6,}+(?=[\"'])")
+VALUE = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key)[\"']?\s*+[:=]\s*+[\"']?(?![=:])([^\s\"'<>]{6,}+)([\"']?)")
 ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?$")
 NEIGHBOUR = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+\d*")
 MIXED = re.compile(r"\d")
@@ -59,7 +64,7 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 
 
 def features(before: str, candidate: str, after: str, path: str) -> list[float]:
-    n, c = len(candidate), candidate[:512]
+    n, c = len(candidate), candidate
     m = len(c)
     kinds = ["d" if x.isdigit() else "u" if x.isupper() else "l" if x.islower() else "s" for x in c]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
@@ -166,13 +171,53 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None) -> Rando
     return RandomForest().fit(np.array([features(*r[:4]) for r in rows]), np.array([float(r[4]) for r in rows]))
 
 
+def _fixed(text: str) -> Iterator[tuple[int, int, int]]:
+    """Where what announces it begins, begin and end of key blocks and assigned values."""
+    found, at = [(m.start(), m.start(), m.end()) for m in BLOCK.finditer(text)], 0
+    for m in VALUE.finditer(text):
+        end = m.end(1) if m[2] else m.start(1) + len(m[1].rstrip(",;)]}"))
+        if end - m.start(1) >= 6:
+            found.append((m.start(), m.start(1), end))
+    for first, begin, end in sorted(found, key=lambda x: (x[1], -x[2])):
+        if begin >= at:
+            yield max(first, at), begin, end
+            at = end
+
+
+def _loose(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """Runs of key characters and quoted values between low and high, from the left."""
+    quoted = [m.span() for m in QUOTED.finditer(text, low, min(high + 1, len(text))) if m.end() <= high]
+    k = 0
+    while low < high:
+        run = RUN.search(text, low, high)
+        span = run.span() if run else (high, high)
+        if run and (name := NAMED.match(text, *span)) and span[1] - name.end() >= LEAST_LENGTH:
+            span = (name.end(), span[1])
+        while k < len(quoted):
+            a, b = quoted[k]
+            if a < low or not a or text[a - 1] in "<>":
+                a = next((i + 1 for i in range(max(a, low - 1), b) if text[i] in "=:"), b)
+            if b - a >= 6:
+                break
+            k += 1
+        if k < len(quoted) and a < (run.start() if run else high):
+            span = (a, b)
+        if span[0] >= high:
+            return
+        yield span
+        low = span[1]
+
+
 def find_candidates(text: str) -> Iterator[tuple[int, int]]:
-    for m in CANDIDATE.finditer(text):
-        found = m[0]
-        if len(found) < LEAST_LENGTH and not ASSIGNED.search(text[max(0, m.start() - AROUND) : m.start()]):
-            continue
-        if MIXED.search(found) or not (found.islower() or found.isupper() or found.istitle()):
-            yield m.span()
+    low = 0
+    for first, begin, end in [*_fixed(text), (len(text),) * 3]:
+        for a, b in [*_loose(text, low, first), (begin, end)]:
+            found = text[a:b]
+            if len(found) < LEAST_LENGTH and not ASSIGNED.search(text[max(0, a - AROUND) : a]):
+                continue
+            if MIXED.search(found) or not (found.islower() or found.isupper() or found.istitle()):
+                yield a, b
+        low = end
 
 
 def scan(docs: DataFrame, path: str = "source", findings: list | None = None) -> DataFrame:
