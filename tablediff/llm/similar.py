@@ -7,6 +7,10 @@ the sections with a chance of about 0.95, a pair at 0.9 of over 0.99. Every pair
 against the whole fingerprint, and if at most LIMIT of all bits differ, against the texts: it is a link if the Jaccard
 similarity of their sets of shingles is SIMILARITY at least.
 
+Texts of few shingles are a matter of chance no more: a fingerprint of few shingles differs in more bits. Where one of two
+texts has under FEW shingles, the pair is found by its rarest shingles: of two sets at SIMILARITY, ordered alike, the first
+n - ceil(SIMILARITY n) + 1 shingles have one in common. Their whole sets are compared, without LIMIT.
+
 Large groups: equal sections collapse to one before they are dealt out (a grouped minimum), so a subtree holds no more than
 2^22 values of a section however many documents there are. The first FIRST sections are walked alone and report a spanning
 forest of their near pairs; those whose texts are similar are links, and what they link is one component. Then all
@@ -43,6 +47,8 @@ BLOCKS = (11, 11, 10)
 SHARE = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 LIMIT = int(SECTIONS * WIDTH * SHARE + 3 * math.sqrt(SECTIONS * WIDTH * SHARE * (1 - SHARE)))
 
+#: Texts of fewer shingles have an exact way, and with them those that can be similar to one.
+FEW = 32
 #: Pairs of rows written out at once.
 PRODUCT = 1 << 20
 
@@ -86,7 +92,10 @@ def similar(a: str, b: str, shingle: int = SHINGLE) -> bool:
 
 def sketch(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The sections of a text's fingerprint. A bit is set if over half of the different shingles set it."""
-    h = shingles(text, shingle)
+    return _sketch(shingles(text, shingle))
+
+
+def _sketch(h: np.ndarray) -> np.ndarray:
     if not len(h):
         return np.zeros(SECTIONS, np.int32)
     ones = sum(_ones(h[at : at + (1 << 15)]) for at in range(0, len(h), 1 << 15))
@@ -94,17 +103,19 @@ def sketch(text: str, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the sections of its fingerprint."""
+    """doc_id, fp, the sections of its fingerprint, and few, the shingles of a text that has few or can be similar to one of few; null for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = np.concatenate([sketch(t.as_py(), shingle) for t in part.column("text")])
+                sets = [shingles(t.as_py(), shingle) for t in part.column("text")]
+                found = np.concatenate([_sketch(h) for h in sets])
+                few = pa.array([h.view(np.int64) if len(h) * SIMILARITY < FEW else None for h in sets], pa.list_(pa.int64()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SECTIONS), pa.array(found))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, few], ["doc_id", "fp", "few"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp array<int>")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp array<int>, few array<long>")
 
 
 class WitnessForest(Forest):
@@ -288,14 +299,45 @@ def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) ->
     return with_texts.where(alike("text_a", "text_b")).select("a", "b").distinct()
 
 
+def rarest(nodes: DataFrame) -> DataFrame:
+    """node, few and h, for each of the rarest shingles of which similar sets have one in common."""
+    each = nodes.where("few is not null").select("node", F.explode("few").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("n"))
+    sets = each.join(counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held"))
+    n = F.size("held")
+    # whole numbers: SIMILARITY is four fifths
+    first = F.slice("held", F.lit(1), (n - F.ceil(n * F.lit(4) / F.lit(5)) + 1).cast("int"))
+    return sets.select("node", F.explode(first).alias("of")).where("of.n > 1").select("node", "of.h")
+
+
+def few_links(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, of the pairs those whose sets few are similar."""
+    sets = nodes.where("few is not null").select("node", "few")
+    held = pairs.distinct().join(sets.toDF("a", "few_a"), "a").join(sets.toDF("b", "few_b"), "b")
+    both = F.size(F.array_intersect("few_a", "few_b"))
+    return held.where(both >= SIMILARITY * (F.size("few_a") + F.size("few_b") - both)).select("a", "b")
+
+
+def few_between(posted: DataFrame, named: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes of different components with a rarest shingle in common."""
+    rows = posted.join(named.select("node", "comp"), "node")
+    mixed = rows.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("h")
+    rows = rows.join(mixed, "h")
+    x, y = rows.toDF("h", "a", "comp_a"), rows.toDF("h", "b", "comp_b")
+    return x.join(y, "h").where("a < b and comp_a <> comp_b").select("a", "b")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its near copies, itself included) of every row; null for a null id."""
     rows = materialise(sketches(docs, shingle), "similar-fp")
-    nodes = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "similar-nodes")
+    nodes = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("few", "doc_id").alias("few")), "similar-nodes")
     early = materialise(links(docs, nodes, candidates(nodes.withColumn("comp", F.col("node")), 0, FIRST), shingle), "similar-early")
+    posted = materialise(rarest(nodes), "similar-rarest")
+    star = posted.join(posted.groupBy("h").agg(F.min("node").alias("a")), "h").where("a < node").select("a", F.col("node").alias("b"))
+    early = materialise(early.unionByName(few_links(nodes, star)), "similar-first")
     joined = components(early).withColumnRenamed("root", "comp")
-    named = materialise(nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("comp", "node").alias("comp")), "similar-named")
-    late = materialise(links(docs, named, candidates_between(named), shingle), "similar-late")
+    named = materialise(nodes.join(joined, "node", "left").select("node", "fp", "few", F.coalesce("comp", "node").alias("comp")), "similar-named")
+    late = materialise(links(docs, named, candidates_between(named), shingle).unionByName(few_links(nodes, few_between(posted, named))), "similar-late")
     root = components(early.unionByName(late))
     names = materialise(nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "similar-names")
     return rows.join(names, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

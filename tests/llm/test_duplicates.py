@@ -270,3 +270,17 @@ def test_all_pairs_equal_brute_force():
     found = [(int(x), int(y)) for a, b in similar.all_pairs(group, value, comp, 11) for x, y in zip(a, b)]
     near = (group[:, None] == group) & (np.bitwise_count(value[:, None] ^ value) <= 2) & (comp[:, None] != comp)
     assert len(found) == len(set(found)) and {(min(p), max(p)) for p in found} == {(int(x), int(y)) for x, y in np.argwhere(near) if x < y}
+
+
+def test_short_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    text = lambda n: [rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n)]
+    rows = []
+    for n in [8, 8, 13, 18, 23, 28, 33] * 8:
+        base = text(n)
+        cut = (n - 4) // 5  # leaves four fifths of the shingles
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, *text((n - 4) // 4)])), (len(rows) + 2, " ".join(base[: n - cut]))]
+    found = {r.doc_id: r.component_id for r in similar.near_copies(frame(spark, rows)).collect()}
+    want = brute_near(rows)
+    print("found", sum(d != c and found[d] == c for d, c in want.items()), "of", sum(d != c for d, c in want.items()))
+    assert found == want
