@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +18,8 @@ FOLDS, HELD_FOLD = 4, 2
 BROADCAST_ROWS = 200_000
 
 
-#: Rows that executors and their Python workers exchange at once; with the default of 10,000 texts they would hold a tenth of a GB each.
-BATCH_ROWS = 1024
+#: Rows, and bytes, that executors and their Python workers exchange at once; with the defaults of 10,000 texts and no bound they would hold a tenth of a GB each.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +28,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lowers the session's rows and bytes of an Arrow batch to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not held.lstrip("-").isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, most)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             folder = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="tablediff-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -80,3 +86,25 @@ def ship(spark: SparkSession, thing):
 
 def unship(shared):
     return cloudpickle.loads(shared.value)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow or mapInPandas; when a task ends its worker, which stays for later tasks, gives back the memory that it does not use."""
+
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only some C libraries have it
+        pass

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, ship, unship, whole_text
+from .common import held_out, read_table, released, ship, unship, whole_text
 
 TRAIN_ROWS = 1500
 WIDTH_BITS = 15
@@ -164,7 +164,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
             found = [profile(t) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id, "lang": batch.lang, "at": [a.astype(np.int32) for a, _ in found], "v": [v.astype(np.float32) for _, v in found]})
 
-    sample = texts.mapInPandas(run, "doc_id long, lang string, at array<int>, v array<float>").toPandas()
+    sample = texts.mapInPandas(released(run), "doc_id long, lang string, at array<int>, v array<float>").toPandas()
     sample = sample[sample["at"].map(len) > 0].sort_values(["doc_id", "lang"])
     return LanguageModel([(np.asarray(a, np.int64), np.asarray(v, float)) for a, v in zip(sample["at"], sample.v)], sample.lang.tolist())
 
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 found = [own.predict(t.as_py()) for t in part.column("text")]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

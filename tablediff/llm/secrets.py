@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, unship, whole_text
+from .common import read_table, released, ship, unship, whole_text
 
 LEAST_LENGTH, THRESHOLD, TRAIN_ROWS, AROUND = 16, 0.5, 20_000, 48
 
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, path: str = "source", findings: list | None = None) ->
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(score)], names)
 
-    found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), where.alias("path")).mapInArrow(run, "doc_id long, begin long, end long, secret_sha256 string, score double")
+    found = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), where.alias("path")).mapInArrow(released(run), "doc_id long, begin long, end long, secret_sha256 string, score double")
     return found.withColumn("is_secret", F.col("score") >= THRESHOLD)
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, sized_broadcast, whole_text
+from .common import materialise, read_table, released, sized_broadcast, whole_text
 from .components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 2, 3, 42
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 fps = np.array([fingerprint(t.as_py(), shingle) for t in part.column("text")], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(released(run), "doc_id long, fp long")
 
 
 class Forest:
@@ -216,7 +216,7 @@ def links(distinct: DataFrame, budget: int = DISTANCE, hot: int = HOT_SUBTREE) -
             back = (BITS - offset[r]) % BITS
             yield pd.DataFrame({"a": _turn(a, back).view(np.int64), "b": _turn(b, back).view(np.int64)})
 
-    return dealt.repartition(parts, "r", "key", "pair").mapInPandas(run, "a long, b long")
+    return dealt.repartition(parts, "r", "key", "pair").mapInPandas(released(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

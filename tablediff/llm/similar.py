@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sized_broadcast, whole_text
+from .common import materialise, released, sized_broadcast, whole_text
 from .components import components
 from .simhash import DISTANCE, LOWER, ROWS_PER_TASK, SEED, WORD, Forest, _runs, _walk
 
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SECTIONS), pa.array(found))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, few], ["doc_id", "fp", "few"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp array<int>, few array<long>")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(released(run), "doc_id long, fp array<int>, few array<long>")
 
 
 class WitnessForest(Forest):
@@ -242,7 +242,7 @@ def candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
             a, b = witness_pairs(group, turned, part.node.to_numpy(np.int64), part.comp.to_numpy(np.int64), BLOCKS[r])
             yield pd.DataFrame({"a": a, "b": b})
 
-    near = dealt.repartition(parts, "t", "r", "key").mapInPandas(run, "a long, b long")
+    near = dealt.repartition(parts, "t", "r", "key").mapInPandas(released(run), "a long, b long")
     return equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -269,7 +269,7 @@ def candidates_between(nodes: DataFrame) -> DataFrame:
             for a, b in all_pairs(t << 32 | part.key.to_numpy(np.int64), turned, part.comp.to_numpy(np.int64), BLOCKS[r]):
                 yield pd.DataFrame({"t": t[a], "a": node[a], "b": node[b], "more_a": more[a], "more_b": more[b]})
 
-    found = materialise(dealt.repartition(parts, "t", "r", "key").mapInPandas(run, "t int, a long, b long, more_a boolean, more_b boolean"), "similar-found")
+    found = materialise(dealt.repartition(parts, "t", "r", "key").mapInPandas(released(run), "t int, a long, b long, more_a boolean, more_b boolean"), "similar-found")
     needed = found.where("more_a").select("t", F.col("a").alias("node")).union(found.where("more_b").select("t", "b")).distinct()
     named = materialise(held.where("more").join(needed, ["t", "node"]).select("t", "s", "comp", F.col("node").alias("as")), "similar-named-by")
     members = materialise(rows.join(sized_broadcast(named), ["t", "s", "comp"]).select("t", "as", "node"), "similar-members")

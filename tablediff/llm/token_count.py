@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, whole_text
+from .common import read_table, released, whole_text
 
 OVER_LIMIT = 1024
 #: Pre-tokens that a worker remembers before it starts anew; bounds its memory, not its work.
@@ -179,7 +179,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, over_limit: int = OVER_LI
 
     rows = docs.select(F.col("doc_id"), whole_text().alias("text"), F.octet_length(whole_text()).cast("long").alias("n_bytes"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(over_limit))
 
 

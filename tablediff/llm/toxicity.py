@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import held_out, materialise, read_table, ship, unship, whole_text
+from .common import held_out, materialise, read_table, released, ship, unship, whole_text
 
 TRAIN_ROWS, THRESHOLD = 24_000, 0.3
 #: Beginnings of words that the lexicon considers, in letters.
@@ -79,7 +79,7 @@ def _document_counts(rows: DataFrame, keep: frozenset | None) -> DataFrame:
                 found.update(own if shared is None else own & shared.value)
             yield pd.DataFrame({"term": list(found), "n": np.fromiter(found.values(), np.int64, len(found))})
 
-    return rows.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInPandas(released(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "f": [features.of(t) for t in batch.text]})
 
     # one row of numbers for each row of the bounded sample
-    found = sample.mapInPandas(run, "doc_id long, toxic int, f array<double>").toPandas().sort_values("doc_id")
+    found = sample.mapInPandas(released(run), "doc_id long, toxic int, f array<double>").toPandas().sort_values("doc_id")
     x, y = np.array(found.f.tolist()), found.toxic.to_numpy(float)
     part = np.random.default_rng(7).permutation(len(y)) % 5
     margins = np.zeros(len(y))
@@ -192,7 +192,7 @@ def scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score(part.column("text").to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(released(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:

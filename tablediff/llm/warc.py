@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, scratch_path, sized_broadcast
+from .common import materialise, read_table, released, scratch_path, sized_broadcast
 
 SEGMENT_BYTES, CHUNK_BYTES, LEAST_REVISIT_BYTES = 32_768, 8_192, 0
 #: Records of one archive file at most; bounds what a lost task has to write again.
@@ -141,7 +141,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                     out += records(r["page_id"], r["url"], r["payload"], f"{r['page_id']}/{r['row']}", digest(r["payload"]), r["first"], r["revisit"], segment_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    framed = own.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    framed = own.mapInArrow(released(run), "record binary").select(F.col("record").cast("string").alias("value"))
     framed.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -155,7 +155,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([parse_record(r.as_py()) for r in batch.slice(at, 256).column(0)], schema)
 
     lines = spark.read.option("lineSep", START.decode()).option("recursiveFileLookup", "true").text(path)
-    return lines.select(F.col("value").cast("binary").alias("value")).where(F.octet_length("value") > 0).mapInArrow(run, FIELDS)
+    return lines.select(F.col("value").cast("binary").alias("value")).where(F.octet_length("value") > 0).mapInArrow(released(run), FIELDS)
 
 
 def reassemble(found: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["page_id", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"])
 
-    return reassemble(read_records(spark, path)).where("kind in ('response', 'revisit')").mapInArrow(run, "page_id long, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
+    return reassemble(read_records(spark, path)).where("kind in ('response', 'revisit')").mapInArrow(released(run), "page_id long, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
