@@ -12,14 +12,51 @@ SF = "/root/testdata/sf0.01"
 PAGES = "page_id long, url string, html string, text string"
 
 
+def template_text(page):
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    lines = [" ".join(entities.unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(x for x in lines if x)
+
+
 def test_extraction_equals_template(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     found = html_extract.op7_html_extraction(spark, SF).collect()
-    for r in found:
-        inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
-        lines = [" ".join(entities.unescape(re.sub("<[^>]+>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
-        assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text)
-    assert len(found) == len(pages)
+    assert all(r.text == template_text(pages[r.page_id]) and r.n_chars == len(r.text) for r in found) and len(found) == len(pages)
+
+
+@pytest.mark.parametrize("change", [
+    lambda h: h.replace("article>", "div>"),
+    lambda h: h.replace("article>", "section>"),
+    lambda h: h.replace("<article>", "").replace("</article>", ""),
+    lambda h: h.replace("<article>", "<div id=page><div class='post social-science'>").replace("</article>", "</div></div>"),
+    lambda h: h.replace("<article>", "<main><article>").replace("</article>", "</article><div><a href='/x'>Another story to read</a><p>Short teaser.</p></div></main>"),
+    lambda h: h.replace("</article>", "<div class='comments'><p>" + "a reader says something long here " * 10 + "</p></div></article>"),
+])
+def test_density_finds_the_article_whatever_its_element(change):
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist():
+        assert html_extract.extract(change(page)) == template_text(page)
+
+
+@pytest.mark.parametrize("markup", ["<a href=\"x " * 90_000, "<a href='x> " * 90_000, "<" * 10**6, "<div>" * 200_000, "<b>" * 150_000 + "<p></p>" * 120_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 150_000, "<div>" * 100_000 + "<td>" * 100_000, "<div>" * 90_000 + "</section>" * 90_000, "<a " + "a" * 10**6, "<a " + "a=' " * 300_000 + ">x", "<!--" * 250_000, "<p>x</script><script>" * 60_000])
+def test_broken_markup_takes_time_in_proportion(markup):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(markup)
+    assert time.process_time() - began < 8  # a square of the length would take minutes
+
+
+def test_class_words():
+    story = "Words of the story go on and on for a good while here."
+    page = lambda name: f"<body><div><p>{story}</p><p class='{name}'>{story}</p><p>{story}</p></div></body>"
+    for name in ("post social-science", "side-effects", "railway", "notice-of-meaning", "replies-of-poets"):
+        assert html_extract.extract(page(name)) == "\n".join([story] * 3), name
+    for name in ("comments", "social share-box", "cookie-policy", "relatedPosts", "sidebar right"):
+        assert html_extract.extract(page(name)) == "\n".join([story] * 2), name
+    assert html_extract.extract(f"<body><div class='notice'><p>{story}</p></div></body>") == story
+    assert html_extract.extract(f"<body><p title='a hidden gem'>{story}</p><p hidden>gone</p></body>") == story
 
 
 @pytest.mark.parametrize(("source", "text"), [
