@@ -2,14 +2,16 @@
 
 Digests of the documents (never their texts) are staged as a table in the shared folder, and a stream
 takes them up. Its state, in RocksDB without expiry, holds for each digest the stable identifier of the row
-that stays, its content locator and the number of rows seen; copies are combined before they are dealt
-out, so a digest with a third of all rows costs no more than any other. A later call with the same
-state folder goes on from the state that is there. Where a digest was hit more than once the full
-normalised bytes of its rows are compared; if they differ the rows are regrouped by their bytes.
+that stays, its content locator (the number of the call and the row's place in it) and the number of rows seen; copies are
+combined before they are dealt out, so a digest with a third of all rows costs no more than any other. Where a digest was
+hit more than once the full normalised bytes of its rows are compared; if they differ the rows are regrouped by their bytes.
+
+A later call with the same state folder goes on from the state that is there, and gives all rows seen so far. For that the folder
+also holds the content: under each digest the least and the greatest of its texts, which are one unless digests clash.
 
 Cases: null text counts as empty, empty texts are equal to each other. Ties in length go to the smallest
 doc_id; null ids come last and never win over a real id. Of repeated rows with one id the first by
-locator is kept. Extra columns are ignored by find_copies and carried through by drop_copies. An empty
+locator is kept, in one call or over several. Extra columns are ignored by find_copies and carried through by drop_copies. An empty
 table gives an empty result.
 """
 
@@ -34,18 +36,23 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _rank(points: str, doc_id: str, locator: str) -> Column:
-    """Orders as: most code points, then a real id, then the smallest id, then the first locator; the maximum stays."""
-    return F.struct(F.col(points).alias("points"), F.col(doc_id).isNotNull().alias("real"), (-F.coalesce(F.col(doc_id), F.lit(0))).alias("less"), (-F.col(locator)).alias("before"))
+def _rank() -> Column:
+    """Orders as: most code points, then a real id, then the smallest id, then the first call and place; the maximum stays."""
+    return F.struct("points", F.col("doc_id").isNotNull().alias("real"), (-F.coalesce("doc_id", F.lit(0))).alias("less"), (-F.col("call")).alias("call"), (-F.col("locator")).alias("before"))
+
+
+def _kept(rank: str) -> list[Column]:
+    """The id and the locator of the row that stays."""
+    return [F.when(F.col(f"{rank}.real"), -F.col(f"{rank}.less")).alias("keep_id"), (-F.col(f"{rank}.call")).alias("keep_call"), (-F.col(f"{rank}.before")).alias("keep_at")]
 
 
 def keyed_state(spark: SparkSession, staged: str, schema, state: str) -> DataFrame:
-    """Runs the stream over what is new in staged and returns its state: digest, points, keep_id, locator, group_size."""
+    """Runs the stream over what is new in staged and returns its state: digest, keep_id, keep_call, keep_at, group_size."""
     was = {k: spark.conf.get(k, None) for k in STREAM_CONF}
     try:
         for k, v in STREAM_CONF.items():
             spark.conf.set(k, v)
-        groups = spark.readStream.schema(schema).parquet(staged).groupBy("digest").agg(F.max(_rank("points", "doc_id", "locator")).alias("kept"), F.count("*").alias("group_size"))
+        groups = spark.readStream.schema(schema).parquet(staged).groupBy("digest").agg(F.max(_rank()).alias("kept"), F.count("*").alias("group_size"))
         stream = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
         stream.awaitTermination()
         found = spark.read.format("statestore").option("path", state).load()
@@ -54,37 +61,60 @@ def keyed_state(spark: SparkSession, staged: str, schema, state: str) -> DataFra
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     # the state's value holds the aggregates in the order in which the query lists them
     kept, size = (f"value.`{c}`" for c in found.schema["value"].dataType.names)
-    return found.select(F.col("key.digest").alias("digest"), F.col(f"{kept}.points").alias("points"), F.when(F.col(f"{kept}.real"), -F.col(f"{kept}.less")).alias("keep_id"), (-F.col(f"{kept}.before")).alias("locator"), F.col(size).alias("group_size"))
+    return found.select(F.col("key.digest").alias("digest"), *_kept(kept), F.col(size).alias("group_size"))
 
 
-def _differing(docs: DataFrame, groups: DataFrame, digest) -> DataFrame:
-    """Digests whose rows are not byte for byte alike. Both extremes are combined before the shuffle, so copies meet as one row for each task."""
-    hits = groups.where("group_size > 1").select("digest")
-    texts = docs.select(normal().alias("bytes")).select("bytes", digest(F.col("bytes")).alias("digest"))
-    extremes = texts.join(sized_broadcast(hits), "digest").groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
-    return extremes.where("least <> most").select("digest")
+def _extremes(texts: DataFrame) -> DataFrame:
+    """digest, least, most: of (digest, least, most). Both are combined before the shuffle, so copies meet as one row for each task."""
+    return texts.groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _texts(docs: DataFrame, digest) -> DataFrame:
+    own = docs.select(normal().alias("bytes"))
+    return own.select(digest(F.col("bytes")).alias("digest"), F.col("bytes").alias("least"), F.col("bytes").alias("most"))
+
+
+def _calls(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that earlier calls have written, if there is one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
+def _remember(docs: DataFrame, path: str, call: int, digest) -> DataFrame:
+    """digest, least, most of all calls; those of this call that are new are written first, so a call that is run again finds them."""
+    earlier = _calls(docs.sparkSession, path)
+    own = _extremes(_texts(docs, digest))
+    if earlier is not None:
+        own = own.join(_extremes(earlier).toDF("digest", "first", "last"), "digest", "left").where("first is null or least < first or most > last").select("digest", "least", "most")
+    own.write.mode("overwrite").parquet(f"{path}/call={call}")
+    return _extremes(docs.sparkSession.read.parquet(path).select("digest", "least", "most"))
 
 
 def find_copies(docs: DataFrame, state: str | None = None, digest=sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, locator of every row. digest may be replaced by a weaker one; results stay exact."""
+    """doc_id, keep_id, group_size, kept, text_sha256, call, locator of every row of this call and, with a state folder, of the calls before. digest may be replaced by a weaker one; results stay exact."""
     spark = docs.sparkSession
     base = state or scratch_path(spark, "exact")
-    narrow = docs.select("doc_id", normal().alias("bytes"), F.length(whole_text()).alias("points")).select(F.col("doc_id").cast("long"), "points", digest(F.col("bytes")).alias("digest"), sha256(F.col("bytes")).alias("text_sha256"), F.monotonically_increasing_id().alias("locator"))
     staged = f"{base}/staged"
+    before = _calls(spark, staged)
+    call = 0 if before is None else (before.agg(F.max("call")).first()[0] or 0) + 1
+    narrow = docs.select("doc_id", normal().alias("bytes"), F.length(whole_text()).alias("points")).select(F.col("doc_id").cast("long"), "points", digest(F.col("bytes")).alias("digest"), sha256(F.col("bytes")).alias("text_sha256"), F.lit(call).cast("long").alias("call"), F.monotonically_increasing_id().alias("locator"))
+    content = _remember(docs, f"{base}/content", call, digest) if state else None
     narrow.write.mode("append").parquet(staged)
     rows = spark.read.schema(narrow.schema).parquet(staged)
     groups = materialise(keyed_state(spark, staged, narrow.schema, f"{base}/state"), "exact-groups")
-    bad = materialise(_differing(docs, groups, digest), "exact-collisions")
+    hits = groups.where("group_size > 1").select("digest")
+    found = _extremes(_texts(docs, digest).join(sized_broadcast(hits), "digest")) if content is None else content.join(hits, "digest", "left_semi")
+    bad = materialise(found.where("least <> most").select("digest"), "exact-collisions")
     if not bad.isEmpty():
         # the digest named texts that differ: such rows are grouped anew by what their full bytes name
         bad = sized_broadcast(bad)
-        again = rows.join(bad, "digest").groupBy("digest", "text_sha256").agg(F.max(_rank("points", "doc_id", "locator")).alias("k"), F.count("*").alias("group_size"))
-        again = again.select("digest", "text_sha256", F.when(F.col("k.real"), -F.col("k.less")).alias("keep_id"), (-F.col("k.before")).alias("keep_at"), "group_size")
-        true = rows.join(bad, "digest", "left_anti").join(groups.select("digest", "keep_id", F.col("locator").alias("keep_at"), "group_size"), "digest")
-        joined = true.unionByName(rows.join(again, ["digest", "text_sha256"]))
+        again = rows.join(bad, "digest").groupBy("digest", "text_sha256").agg(F.max(_rank()).alias("k"), F.count("*").alias("group_size"))
+        again = again.select("digest", "text_sha256", *_kept("k"), "group_size")
+        joined = rows.join(bad, "digest", "left_anti").join(groups, "digest").unionByName(rows.join(again, ["digest", "text_sha256"]))
     else:
-        joined = rows.join(groups.select("digest", "keep_id", F.col("locator").alias("keep_at"), "group_size"), "digest")
-    return joined.select("doc_id", "keep_id", "group_size", (F.col("locator") == F.col("keep_at")).alias("kept"), "text_sha256", "locator")
+        joined = rows.join(groups, "digest")
+    kept = (F.col("call") == F.col("keep_call")) & (F.col("locator") == F.col("keep_at"))
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "call", "locator")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
@@ -110,7 +140,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_copies(read_table(spark, sf_dir, "documents")).drop("locator")
+    return find_copies(read_table(spark, sf_dir, "documents")).drop("call", "locator")
 
 
 OP3_SQL = r"""

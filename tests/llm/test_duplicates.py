@@ -44,12 +44,21 @@ def test_exact_drops_copies_only(spark):
     assert exact_dedup.find_copies(frame(spark, CASES).limit(0)).count() == 0
 
 
-def test_exact_state_goes_on(spark, tmp_path):
-    state = f"file://{tmp_path}/state"
-    first = exact_dedup.find_copies(frame(spark, [(1, "a"), (2, "b")]), state)
-    assert first.where("kept").count() == 2
-    later = exact_dedup.find_copies(frame(spark, [(3, "a"), (4, "c")]), state).collect()
-    assert {(r.doc_id, r.keep_id) for r in later} == {(1, 1), (2, 2), (3, 1), (4, 4)}
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.lit("same"), lambda c: F.substring(exact_dedup.sha256(c), 1, 1)])
+def test_exact_state_goes_on(spark, tmp_path, digest):
+    state, seen = f"file://{tmp_path}/state", []
+    for rows in ([(1, "a"), (2, "b")], [(3, "a"), (4, "c"), (2, "b")], [(9, " zz"), (0, "a"), (5, "a  "), (None, "c"), (6, None)]):
+        seen += rows
+        found = exact_dedup.find_copies(frame(spark, rows), state, digest).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((i is None, i or 0) for i, _ in seen)
+        groups = {}
+        for i, t in seen:
+            groups.setdefault("".join((t or "").split()), []).append((-len(t or ""), i is None, i or 0))
+        for own in groups.values():
+            keep = min(own)
+            of = [r for r in found if r.keep_id == (None if keep[1] else keep[2])]
+            assert len(of) == len(own) and all(r.group_size == len(own) for r in of) and sum(r.kept for r in of) == 1
+            assert next(r.doc_id for r in of if r.kept) == of[0].keep_id
 
 
 def test_exact_equals_sql(spark):
