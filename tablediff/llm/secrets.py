@@ -37,13 +37,14 @@ DENY = frozenset("blob changeset checksum commit digest etag example fingerprint
 DICTIONARY = frozenset("access account action admin after agent alert alpha array async author back base batch before beta block body build button cache call change channel check child class client close code color column command common component config connection console container content context control copy core count create current data date debug default delete demo design detail device dialog display document domain down driver dummy edit element email enable end engine entry error event example factory field file filter first folder font form format frame from function general global group handler hash head header help hidden home host icon image import index info init input inner install instance interface internal item java json key label language last layout left length level library line link list load local lock log login main make manager map mark master member memory menu message method model module month mount name native network next node null number object offset open option order output page panel parent parse password path pattern placeholder player point pool port position post prefix press print private process product profile project property protocol provider public query queue random range read record region release remote remove render report request reset resource response result return right role root route rule sample save scale schema scope screen script search second secret section select server service session set size source spec stack start state static status storage store stream string style submit suite super switch symbol system table target task template test text theme thread time title token tool total track transfer transform tree type under unit update upload user util value variable vector version video view web widget width window word work wrapper write year your zone".split())
 
 KEY = r"[A-Za-z0-9+/=_\-]"
-MARKER = r"-----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----"
-BLOCK = re.compile(rf"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:(?!{MARKER})-[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----")
+MARKER = r"-----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+BLOCK = re.compile(rf"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:(?!{MARKER})-[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
 RUN = re.compile(rf"(?<![A-Za-z0-9+/=_\-.])(?={KEY}*?[0-9A-Z]|[^\s]{{0,80}}?[0-9A-Z])(?:eyJ{KEY}+\.{KEY}+\.{KEY}+|{KEY}{{{LEAST_LENGTH},}})(?![A-Za-z0-9_])")
 NAMED = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*=")
 QUOTED = re.compile(r"(?<![^\s\"'<>])[^\s\"'<>]{6,}+(?=[\"'])")
 VALUE = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key)[\"']?\s*+[:=]\s*+[\"']?(?![=:])([^\s\"'<>]{6,}+)([\"']?)")
 ASSIGNED = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?$")
+NEXT = re.compile(r"&[A-Za-z_][A-Za-z0-9_\-]*=")
 NEIGHBOUR = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+\d*")
 MIXED = re.compile(r"\d")
 
@@ -92,7 +93,7 @@ def labelled_findings(rows: int = 6000, seed: int = 5) -> list[tuple[str, str, s
     paths = ["", "src0", "src7", "src/main/app.py", "config/prod.env", "deploy/settings.yaml", "docs/readme.md"]
     ann = ["token", "api_key", "apikey", "secret", "password", "auth_token", "access_key", "client_secret", "private_key", "passwd"]
     key = [lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + draw(an, 36), lambda: "sk_live_" + draw(an, 24), lambda: "xoxb-" + draw(string.digits, 12) + "-" + draw(an, 24), lambda: "AIza" + draw(an + "-_", 35), lambda: draw(hexes, pick([32, 40, 48, 64])), lambda: draw(an, int(rng.integers(20, 64))), lambda: draw(an + "+/", 40), lambda: "eyJ" + draw(an, 30) + "." + draw(an, 60) + "." + draw(an + "-_", 43), lambda: draw(an + "!#%&*", int(rng.integers(8, 18)))]
-    like = [lambda: draw(hexes, pick([32, 40, 64])), lambda: "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "_".join(pick(words) for _ in range(int(rng.integers(3, 6)))), lambda: "".join(pick(words).title() for _ in range(int(rng.integers(3, 6)))) + str(rng.integers(100)), lambda: "/".join(pick(words) for _ in range(4)) + "/V" + str(rng.integers(10)), lambda: draw(string.digits, int(rng.integers(16, 24))), lambda: pick(["YOUR_API_KEY_HERE", "EXAMPLE_TOKEN_0000000000", "xxxxxxxxxxxxxxxx1234", "AAAAAAAAAAAAAAAAAAAA", "0000000000000000000000", "changeme_password_1"]), lambda: pick(words).title() + draw("aeiourstln", int(rng.integers(12, 24)))]
+    like = [lambda: draw(hexes, pick([32, 40, 64])), lambda: "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12)), lambda: "_".join(pick(words) for _ in range(int(rng.integers(3, 6)))), lambda: "".join(pick(words).title() for _ in range(int(rng.integers(3, 6)))) + str(rng.integers(100)), lambda: "/".join(pick(words) for _ in range(4)) + "/V" + str(rng.integers(10)), lambda: draw(string.digits, int(rng.integers(16, 24))), lambda: pick(["YOUR_API_KEY_HERE", "EXAMPLE_TOKEN_0000000000", "xxxxxxxxxxxxxxxx1234", "AAAAAAAAAAAAAAAAAAAA", "0000000000000000000000", "changeme_password_1"]), lambda: pick(words).title() + draw("aeiourstln", int(rng.integers(12, 24))), lambda: pick(["sha256-", "sha384-", "sha512-"]) + draw(an + "+/", pick([43, 64, 86])) + pick(["", "=", "=="])]
     deny = ["commit", "sha256", "sha1", "checksum", "md5", "uuid", "id", "revision", "integrity", "etag", "digest"]
     join = [' = "', ': "', "=", ": ", "='", ' := "']
     out = []
@@ -104,7 +105,7 @@ def labelled_findings(rows: int = 6000, seed: int = 5) -> list[tuple[str, str, s
             out.append((f"{prose()} {said}", key[k](), pick(['"', "'", " ", ""]), pick(paths), 1))
         else:
             k = int(rng.integers(len(like)))
-            said = pick(deny) + pick(join + [" "]) if k < 2 or rng.random() < 0.4 else pick(["", "", pick(words) + " ", pick(ann) + pick(join) if k == 6 else ""])
+            said = pick(deny) + pick(join + [" "]) if k in (0, 1, 8) or rng.random() < 0.4 else pick(["", "", pick(words) + " ", pick(ann) + pick(join) if k == 6 else ""])
             path = pick(paths + ["tests/fixtures/data.json", "package-lock.json"])
             out.append((f"{prose()} {said}", like[k](), pick(['"', " ", ""]), path, 0))
     return out
@@ -175,7 +176,7 @@ def _fixed(text: str) -> Iterator[tuple[int, int, int]]:
     """Where what announces it begins, begin and end of key blocks and assigned values."""
     found, at = [(m.start(), m.start(), m.end()) for m in BLOCK.finditer(text)], 0
     for m in VALUE.finditer(text):
-        end = m.end(1) if m[2] else m.start(1) + len(m[1].rstrip(",;)]}"))
+        end = m.end(1) if m[2] else m.start(1) + len(NEXT.split(m[1], maxsplit=1)[0].rstrip(",;)]}"))
         if end - m.start(1) >= 6:
             found.append((m.start(), m.start(1), end))
     for first, begin, end in sorted(found, key=lambda x: (x[1], -x[2])):
@@ -215,7 +216,7 @@ def find_candidates(text: str) -> Iterator[tuple[int, int]]:
             found = text[a:b]
             if len(found) < LEAST_LENGTH and not ASSIGNED.search(text[max(0, a - AROUND) : a]):
                 continue
-            if MIXED.search(found) or not (found.islower() or found.isupper() or found.istitle()):
+            if MIXED.search(found) or PREFIX.match(found) or not (found.islower() or found.isupper() or found.istitle()):
                 yield a, b
         low = end
 

@@ -153,6 +153,44 @@ def test_secret_candidates_are_whole():
     assert row("0Z" * 100)[1:] != row("aa" * 100)[1:]
 
 
+def planted(rng):
+    """Findings in the shapes that systems document, written apart from the ones the forest learns from: (before, candidate, after, is a secret)."""
+    import base64
+    import uuid
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    raw = rng.randbytes
+    b64 = lambda n: base64.b64encode(raw(n)).decode()
+    u64 = lambda n: base64.urlsafe_b64encode(raw(n)).decode().rstrip("=")
+    an = lambda n, more="": "".join(rng.choice(letters + more) for _ in range(n))
+    upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    number = lambda: str(rng.randrange(10**11, 10**12))
+    block = lambda kind, n: f"-----BEGIN {kind}-----\n" + "\n".join(b64(48) for _ in range(n)) + f"\n-----END {kind}-----"
+    secret = [("aws_access_key_id = ", "AKIA" + upper(16), "\n"), ("AWS_SECRET_ACCESS_KEY=", b64(30), "\n"), ('"github_token": "', "ghp_" + an(36), '",'), ("use token ", "gho_" + an(36), " now"), ("STRIPE_KEY=", "sk_live_" + an(24), "\n"), ("slack: ", f"xoxp-{number()}-{number()}-{an(24)}", " "), ("Authorization: Bearer ", f"eyJ{u64(24)}.eyJ{u64(60)}.{u64(32)}", "\n"), ('password: "', an(14, "!@#$%^&*"), '"'), ("api_key=", raw(16).hex(), "&x=1"), ("client_secret: ", raw(32).hex(), "\n"), ("GOOGLE=", "AIza" + u64(26)[:35], " "), ("", block("PGP PRIVATE KEY BLOCK", 30), "\n"), ("", block("OPENSSH PRIVATE KEY", 200), "\n"), ("npm token ", "npm_" + an(36), " "), ("glpat: ", "glpat-" + an(20), " ")]
+    other = [("commit ", raw(20).hex(), "\n"), ("sha256:", raw(32).hex(), " "), ("request id ", str(uuid.UUID(bytes=raw(16))), " "), ("call ", f"getUserAccountSettingsForAdmin{rng.randrange(99)}", "()"), ("see ", f"https://example.org/a/Blog/2021/{an(5)}", " "), ('password: "', "changeme", '"'), ('token = "', "YOUR_TOKEN_HERE_123", '"'), ("isbn ", str(rng.randrange(10**15, 10**17)), " "), ("md5 ", raw(16).hex(), " "), ('integrity="', "sha384-" + b64(48), '"'), ("const ", "MAX_CONNECTION_RETRY_COUNT_2", " "), ("etag ", raw(16).hex(), " ")]
+    return [(*x, True) for x in secret] + [(*x, False) for x in other]
+
+
+def test_planted_secrets_are_found_where_they_stand(spark):
+    rng = random.Random(12)
+    texts = [t for r in spark.read.parquet(f"{SF}/documents.parquet").limit(400).collect() if 200 < len(t := r.text) < 5000]
+    rows, want = [], {}
+    for i in range(40):
+        for before, candidate, after, is_secret in planted(rng):
+            text = rng.choice(texts)
+            at = text.index(" ", rng.randrange(len(text) // 2))
+            begin = at + 1 + len(before)
+            want[len(rows)] = (begin, begin + len(candidate), hashlib.sha256(candidate.encode()).hexdigest(), is_secret)
+            rows.append((len(rows), f"{text[:at]} {before}{candidate}{after} {text[at:]}", "en", "", 1, ""))
+    found = [r for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect() if r.is_secret]
+    hits = {r.doc_id for r in found if (r.begin, r.end, r.secret_sha256) == want[r.doc_id][:3]}
+    touched = {r.doc_id for r in found if r.begin < want[r.doc_id][1] and r.end > want[r.doc_id][0]}
+    secret = {i for i, w in want.items() if w[3]}
+    recall, precision = len(hits & secret) / len(secret), len(hits & secret) / max(len(touched), 1)
+    print("recall", recall, "precision", precision)
+    assert recall > 0.97 and precision > 0.97
+
+
 def test_secret_candidates_of_documents_stay(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()]
     assert all(a < b <= len(t) for t in texts for a, b in secrets.find_candidates(t))
