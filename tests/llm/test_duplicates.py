@@ -187,6 +187,48 @@ def test_decontamination_finds_every_close_copy(spark):
     assert not missed
 
 
+def brute_contamination(rows, items):
+    """Every pair of a row and an item of SHORT words at least, by the longest common subsequence at every word that the item has."""
+    out = set()
+    for d, text in rows:
+        own = decontaminate.words(text)
+        for i, item in items:
+            n, seen = len(item), set(item)
+            at = np.array([k for k, w in enumerate(own) if w in seen])
+            for k in at:
+                region = [own[x] for x in at[(at >= k) & (at < k + n + n // 4)]]
+                share = decontaminate.lcs(item, region) / n if len(region) >= decontaminate.PARAPHRASE * n else 0
+                if share >= decontaminate.COPY or share >= decontaminate.PARAPHRASE and decontaminate.lcs(item[-6:], region) >= decontaminate.ANSWER * 6:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_paraphrases_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASSAGES_PER_BLOCK", 9)  # several blocks, and several passes
+    monkeypatch.setattr(decontaminate, "BLOCKS_PER_PASS", 2)
+    rng = random.Random(5)
+    bench = sorted((r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect())
+    items = [(i, decontaminate.words(t)) for i, t in bench]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(330).collect()]
+    common, rows = [w for _, ws in items for w in ws], []
+    for d, text in enumerate(texts):
+        own = text.split()
+        if d % 3:
+            words = rng.choice(items)[1]
+            keep = {*rng.sample(range(len(words)), round(len(words) * rng.uniform(0.62, 0.85))), *range(len(words) - 6, len(words))}
+            at = rng.randrange(len(own))
+            own[at:at] = [x for k, w in enumerate(words) for x in ([w] if k in keep else [rng.choice(common)][: rng.random() < 0.7])]
+        rows.append((d, " ".join(own)))
+    rows.append(rows[1])
+    frames = frame(spark, rows), spark.createDataFrame([*bench, (1000, bench[3][1])], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(*frames).collect()}
+    assert {d for d, i in found if i == 1000} == {d for d, i in found if i == bench[3][0]}
+    found, want = {x for x in found if x[1] != 1000}, brute_contamination(rows, items)
+    print("recall", len(found & want) / len(want), "of", len(want), "besides", len(found - want))
+    assert len(want) > 150 and len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.05 * len(want)
+
+
 def test_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
