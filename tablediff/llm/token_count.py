@@ -6,7 +6,7 @@ texts into pre-tokens, count the proven ones directly and leave merging to the l
 each distinct pre-token once.
 
 The shortcut is used on code points whose letter, number and white-space classes are proven to be the
-same in Python and in the library (tests/llm/test_token_count.py goes through all of them). Any other
+same in Python and in the library (tests/llm/test_texts.py goes through all of them). Any other
 text, and any tokenizer that is not plain byte-level BPE, is encoded by the library as a whole.
 
 Cases: null or empty text has 0 tokens and 0 bytes; repeated rows and null ids are kept as they are;

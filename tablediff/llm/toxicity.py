@@ -5,7 +5,8 @@ texts than others. Beside its densities the trees see how near its words stand t
 much is in capitals, punctuation and disguised spellings (digits or signs for letters, drawn-out letters).
 
 Learning takes a bounded sample, at most TRAIN_ROWS labelled rows in the order of a hash of their id, and
-only rows outside the held-out fold. Scores see nothing but the text. Scoring reads every whole text.
+only rows outside the held-out fold. The calibration sees the sample in PARTS parts, each scored by a lexicon and trees
+that have learned from the other parts alone. Scores see nothing but the text. Scoring reads every whole text.
 
 Cases: null text counts as empty and gets the score of an empty text. Labels that are null or not 0 or 1,
 and labels of null ids, teach nothing; of several labels for one id the largest counts. Repeated rows get
@@ -17,7 +18,6 @@ an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .boosting import BoostedTrees, Isotonic
 from .common import held_out, materialise, read_table, released, ship, unship, whole_text
 
-TRAIN_ROWS, THRESHOLD = 24_000, 0.3
+TRAIN_ROWS, THRESHOLD, PARTS = 24_000, 0.3, 5
 #: Beginnings of words that the lexicon considers, in letters.
 STEMS = range(4, 10)
 LEXICON_SIZE, LEAST_WEIGHT = 4000, 2.0
@@ -68,67 +68,97 @@ def text_terms(text: str) -> set[str]:
 
 
 def _document_counts(rows: DataFrame, keep: frozenset | None) -> DataFrame:
-    """term, n: in how many texts a term stands, of those in keep if that is given. Counts are summed for each task before the shuffle."""
-    shared = None if keep is None else rows.sparkSession.sparkContext.broadcast(keep)
+    """term, n: in how many texts of each part a term stands, of those in keep if that is given. Counts are summed for each task before the shuffle."""
+    spark = rows.sparkSession
+    shared = None if keep is None else spark.sparkContext.broadcast(keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: Counter = Counter()
-            for text in batch.text:
+            found: dict[str, list[int]] = {}
+            for text, part in zip(batch.text, batch.part):
                 own = text_terms(text)
-                found.update(own if shared is None else own & shared.value)
-            yield pd.DataFrame({"term": list(found), "n": np.fromiter(found.values(), np.int64, len(found))})
+                for term in own if shared is None else own & shared.value:
+                    counts = found.get(term)
+                    if counts is None:
+                        counts = found[term] = [0] * PARTS
+                    counts[part] += 1
+            counts = np.array(list(found.values()), np.int64).reshape(len(found), PARTS)
+            yield pd.DataFrame({"term": pd.Series(list(found), dtype=object)} | {f"n{k}": counts[:, k] for k in range(PARTS)})
 
-    return rows.select("text").mapInPandas(released(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    names = [f"n{k}" for k in range(PARTS)]
+    counted = rows.select("text", "part").mapInPandas(released(run), "term string, " + ", ".join(f"{n} long" for n in names))
+    return counted.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+def _weights(in_toxic: dict[str, int], in_clean: dict[str, int], toxic: int, clean: int) -> dict[str, float]:
     """Term to log odds. Only terms in at least a two-hundredth of the toxic texts (3 at least) are looked at, LEXICON_SIZE of them at most are kept."""
     least = max(3, toxic // 200)
-    often = _document_counts(sample.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(20 * LEXICON_SIZE)
-    in_toxic = {r.term: r.n for r in often.collect()}
-    in_clean = {r.term: r.n for r in _document_counts(sample.where("toxic = 0"), frozenset(in_toxic)).collect()}
-    weight = {t: float(np.log((n + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1))) for t, n in in_toxic.items()}
+    weight = {t: float(np.log((n + 0.5) / (toxic + 1)) - np.log((in_clean.get(t, 0) + 0.5) / (clean + 1))) for t, n in in_toxic.items() if n >= least}
     best = sorted((t for t in weight if weight[t] >= LEAST_WEIGHT), key=lambda t: (-weight[t] * in_toxic[t], t))[:LEXICON_SIZE]
     return {t: weight[t] for t in best}
 
 
+def learn_lexicons(sample: DataFrame, toxic: list[int], clean: list[int]) -> list[dict[str, float]]:
+    """The lexicon of the whole sample, then for each part that of all other parts. toxic and clean: rows of each part."""
+    n = sum((F.col(f"n{k}") for k in range(PARTS)), F.lit(0))
+    often = _document_counts(sample.where("toxic = 1"), None).where(n >= max(3, (sum(toxic) - max(toxic)) // 200)).orderBy(F.desc(n), "term").limit(20 * LEXICON_SIZE)
+    in_toxic = {r.term: np.array(r[1:]) for r in often.collect()}
+    in_clean = {r.term: np.array(r[1:]) for r in _document_counts(sample.where("toxic = 0"), frozenset(in_toxic)).collect()}
+    toxic, clean = np.array(toxic), np.array(clean)
+    out = []
+    for without in (None, *range(PARTS)):
+        use = np.arange(PARTS) != (PARTS if without is None else without)
+        own = lambda counts, use=use: {t: int(c[use].sum()) for t, c in counts.items()}
+        out.append(_weights(own(in_toxic), own(in_clean), int(toxic[use].sum()), int(clean[use].sum())))
+    return out
+
+
 class Features:
-    """Dense features of one text."""
+    """Dense features of one text; those of the lexicon for each of several lexicons."""
 
     names = ("words", "hits", "hit_density", "weight_density", "top_weight", "second_hit_weight", "distinct_hits", "near_second", "second_density", "capitals", "all_caps", "shouts", "punctuation", "drawn", "disguised", "digits", "distinct", "word_length")
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.memo = lexicon, {}
+    def __init__(self, *lexicons: dict[str, float]):
+        self.lexicons, self.memo = lexicons, {}
 
-    def weigh(self, token: str) -> float:
+    def weigh(self, token: str) -> tuple[float, ...]:
+        """The token's weight in each lexicon; -1 for a second person; empty if it is neither."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         word = plain(token)
-        found = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0) if word else 0.0
-        self.memo[token] = found = -1.0 if not found and word in SECOND_PERSON else found
+        found = tuple(max((x.get(t, 0.0) for t in terms(word)), default=0.0) for x in self.lexicons) if word else ()
+        if not any(found):
+            found = ()
+        if word in SECOND_PERSON:
+            found = tuple(w or -1.0 for w in found or (0.0,) * len(self.lexicons))
+        self.memo[token] = found
         return found
 
     def of(self, text: str) -> tuple[float, ...]:
+        return self.each(text)[0]
+
+    def each(self, text: str) -> list[tuple[float, ...]]:
         tokens, memo = TOKEN.findall(text), self.memo
         n, chars, kinds = len(tokens), len(text), set(tokens)
         marks = {t: w for t in kinds if (w := memo[t] if t in memo else self.weigh(t))}
-        hits, you = [], []
-        if marks:
-            for i, t in enumerate(tokens):
-                if t in marks:
-                    (hits if marks[t] > 0 else you).append(i)
-        weights = sorted((w for w in marks.values() if w > 0), reverse=True)
-        near = 0
-        if hits and you:
-            at = np.searchsorted(you, hits)
-            left = np.array(hits) - np.array([-99, *you])[at]
-            right = np.array([*you, n + 99])[at] - np.array(hits)
-            near = int((np.minimum(left, right) <= 6).sum())
+        places = [(i, marks[t]) for i, t in enumerate(tokens) if t in marks] if marks else []
         per, by = 1.0 / max(n, 1), 1.0 / max(chars, 1)
-        total = sum(marks[tokens[i]] for i in hits)
         count = lambda p: len(p.findall(text))
-        return (float(np.log1p(n)), float(len(hits)), len(hits) * per, total * per, weights[0] if weights else 0.0, weights[1] if len(weights) > 1 else 0.0, float(len(weights)), near * per, len(you) * per, count(CAPITALS) * by, sum(t.isupper() and len(t) > 2 for t in kinds) * per, count(SHOUT) * by, count(PUNCTUATION) * by, count(DRAWN) * per, count(DISGUISED) * per, count(DIGIT) * by, len(kinds) * per, chars * per)
+        first = float(np.log1p(n))
+        last = (count(CAPITALS) * by, sum(t.isupper() and len(t) > 2 for t in kinds) * per, count(SHOUT) * by, count(PUNCTUATION) * by, count(DRAWN) * per, count(DISGUISED) * per, count(DIGIT) * by, len(kinds) * per, chars * per)
+        out = []
+        for k in range(len(self.lexicons)):
+            hits, you = [i for i, w in places if w[k] > 0], [i for i, w in places if w[k] < 0]
+            weights = sorted((w[k] for w in marks.values() if w[k] > 0), reverse=True)
+            near = 0
+            if hits and you:
+                at = np.searchsorted(you, hits)
+                left = np.array(hits) - np.array([-99, *you])[at]
+                right = np.array([*you, n + 99])[at] - np.array(hits)
+                near = int((np.minimum(left, right) <= 6).sum())
+            total = sum(w[k] for _, w in places if w[k] > 0)
+            out.append((first, float(len(hits)), len(hits) * per, total * per, weights[0] if weights else 0.0, weights[1] if len(weights) > 1 else 0.0, float(len(weights)), near * per, len(you) * per, *last))
+        return out
 
 
 class ToxicityModel:
@@ -154,31 +184,36 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most rows narrow rows, so their broadcast is bounded
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")
+    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("part", part)
     sample = materialise(texts, "toxicity-sample")
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = n.get(1, 0), n.get(0, 0)
-    if not toxic or not clean:
-        return ToxicityModel({}, share=float(toxic > 0))
-    lexicon = learn_lexicon(sample, toxic, clean)
-    shared = spark.sparkContext.broadcast(lexicon)
+    n = {(r.toxic, r.part): r.n for r in sample.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = ([n.get((label, k), 0) for k in range(PARTS)] for label in (1, 0))
+    if not sum(toxic) or not sum(clean):
+        return ToxicityModel({}, share=float(sum(toxic) > 0))
+    lexicons = learn_lexicons(sample, toxic, clean)
+    shared = spark.sparkContext.broadcast(lexicons)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(shared.value)
+        features = Features(*shared.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "f": [features.of(t) for t in batch.text]})
-
-    # one row of numbers for each row of the bounded sample
-    found = sample.mapInPandas(released(run), "doc_id long, toxic int, f array<double>").toPandas().sort_values("doc_id")
-    x, y = np.array(found.f.tolist()), found.toxic.to_numpy(float)
-    part = np.random.default_rng(7).permutation(len(y)) % 5
-    margins = np.zeros(len(y))
-    for k in range(5):  # margins of rows that their trees have not seen, for calibration
-        other = part != k
-        if other.any() and (~other).any():
-            margins[~other] = BoostedTrees(trees=40).fit(x[other], y[other]).margin(x[~other])
-    calibrate = Isotonic().fit(margins, y)
-    return ToxicityModel(lexicon, BoostedTrees(trees=40).fit(x, y), calibrate)
+            found = [features.each(t) for t in batch.text]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "part": batch.part, "f": [np.concatenate(x) for x in found]})
+
+    # PARTS + 1 rows of numbers for each row of the bounded sample
+    found = sample.mapInPandas(released(run), "doc_id long, toxic int, part int, f array<double>").toPandas().sort_values("doc_id")
+    shared.destroy()
+    x = np.array(found.f.tolist()).reshape(len(found), 1 + PARTS, -1)
+    y, parts = found.toxic.to_numpy(float), found.part.to_numpy()
+    margins = np.full(len(y), np.nan)
+    for k in range(PARTS):
+        own = parts == k
+        if own.any() and 0 < y[~own].sum() < (~own).sum():
+            margins[own] = BoostedTrees(trees=40).fit(x[~own, 1 + k], y[~own]).margin(x[own, 1 + k])
+    trees = BoostedTrees(trees=40).fit(x[:, 0], y)
+    known = ~np.isnan(margins)
+    calibrate = Isotonic().fit(margins[known], y[known]) if known.any() else Isotonic().fit(trees.margin(x[:, 0]), y)
+    return ToxicityModel(lexicons[0], trees, calibrate)
 
 
 def scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
