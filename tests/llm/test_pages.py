@@ -125,6 +125,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(spark, f"{tmp_path}/none").count() == 0
 
 
+def foreign(version, kind, uri, block, digest=None):
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uri}>", f"WARC-Target-URI: {uri}", "WARC-Date: 2020-01-01T00:00:00Z", *([f"WARC-Payload-Digest:", f"  sha1:{digest}"] if digest else []), f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("version", ["1.0", "1.1"])
+@pytest.mark.parametrize("packed", [True, False])
+def test_archives_of_others(spark, tmp_path, version, packed):
+    import gzip
+
+    framed = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b"6\r\nWARC/1\r\n5\r\n.0 x\xff\r\n0\r\n\r\n"
+    inner = f"HTTP/1.1 200 OK\r\n\r\n{EVIL * 40}WARC/1.0\r\nContent-Length: 3\r\n\r\nabc".encode()
+    made = [foreign(version, "warcinfo", "info", b"software: x\r\n"), foreign(version, "request", "a", b"GET / HTTP/1.1\r\n\r\n"), foreign(version, "response", "a", inner, warc.digest(inner.partition(b"\r\n\r\n")[2])), foreign(version, "response", "WARC/1.1", framed + body, warc.digest(body)), foreign(version, "response", "c", framed + body, warc.digest(b"WARC/1.0 x\xff").lower()), foreign(version, "revisit", "d", b"HTTP/1.1 200 OK\r\n\r\n", warc.digest(b"WARC/1.0 x\xff")), foreign(version, "response", "e", b"HTTP/1.1 200 OK\r\n\r\n")]
+    (tmp_path / "w").mkdir()
+    for name, records in (("one", made[:4]), ("two", made[4:])):
+        raw = b"".join(gzip.compress(r) for r in records) if packed else b"".join(records)
+        (tmp_path / "w" / f"{name}.warc{'.gz' if packed else ''}").write_bytes(raw)
+    found = {r.uri: r for r in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert sorted(found) == ["WARC/1.1", "a", "c", "d", "e"] and found["a"].payload == inner.partition(b"\r\n\r\n")[2]
+    assert found["c"].payload == found["WARC/1.1"].payload == b"WARC/1.0 x\xff" and found["e"].payload == b""
+    assert (found["d"].record_type, found["d"].payload, found["d"].payload_digest) == ("revisit", None, warc.digest(b"WARC/1.0 x\xff"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc").write_bytes(made[3].replace(b".0 x", b".0 y"))
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(spark, f"{tmp_path}/bad").collect()
+    (tmp_path / "bad" / "x.warc").write_bytes(made[3][:-20])
+    with pytest.raises(Exception, match="within a record"):
+        warc.read_archives(spark, f"{tmp_path}/bad").collect()
+
+
+def test_revisits_agree_with_their_response(spark):
+    rows = [(1, 3, "D", "response", None), (2, 3, "D", "revisit", 1), (3, 3, "D", "revisit", None)]
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    assert warc.check_revisits(spark.createDataFrame(rows, schema)).count() == 3
+    for wrong in ((4, 3, "E", "revisit", 1), (4, 2, "D", "revisit", 1), (4, 3, "D", "revisit", 9)):
+        with pytest.raises(ValueError, match="does not agree"):
+            warc.check_revisits(spark.createDataFrame([*rows, wrong], schema))
+
+
 def test_missing_segment_is_an_error(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([(1, "u", "text " * 2000, "")], PAGES), f"{tmp_path}/w", segment_bytes=1000)
     records = warc.read_records(spark, f"{tmp_path}/w")
