@@ -108,3 +108,13 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except AttributeError:  # only some C libraries have it
         pass
+
+
+def settle(spark: SparkSession) -> None:
+    """Has each executor's JVM collect its garbage once, one small task for each executor.
+
+    A heap that has grown in one stage of a long job is else kept, mostly empty, until it is full, with the native buffers that
+    its garbage holds; the Python workers of the next stage need that memory.
+    """
+    executors = max(spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1, 1)
+    spark.range(0, executors, 1, executors).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
