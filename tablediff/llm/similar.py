@@ -11,11 +11,12 @@ Texts of few shingles are a matter of chance no more: a fingerprint of few shing
 texts has under FEW shingles, the pair is found by its rarest shingles: of two sets at SIMILARITY, ordered alike, the first
 n - ceil(SIMILARITY n) + 1 shingles have one in common. Their whole sets are compared, without LIMIT.
 
-Large groups: equal sections collapse to one before they are dealt out (a grouped minimum), so a subtree holds no more than
-2^22 values of a section however many documents there are. The first FIRST sections are walked alone and report a spanning
-forest of their near pairs; those whose texts are similar are links, and what they link is one component. Then all
-sections are walked again and report every near pair of documents of different components, so that a pair that fails the
-check never stands in for another one. What the large groups have in common is one component by then and is left out.
+Large groups: equal sections of a component collapse to one before they are dealt out (a grouped minimum), so a subtree holds
+few values of a section however many documents there are. Some sections are walked first, in ROUNDS, and report a spanning forest
+of the near pairs between components, one pair for each two trees that become one; those whose texts are similar are links, and what
+they link is one component in the next round. A pair that fails the check stands in for others there, so at last all sections
+are walked for the documents that come near one of another component, and then, with whole fingerprints and those documents alone,
+for every such pair. What the large groups have in common is one component by then and is left out.
 
 Cases: null text counts as empty; texts without words have the fingerprint zero and link to each other. A text with fewer
 words than a shingle is one shingle. Repeats of a shingle count once. Rows with a null id are never linked and stay.
@@ -35,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, released, sized_broadcast, whole_text
+from .common import materialise, released, settle, sized_broadcast, whole_text
 from .components import components
 from .simhash import DISTANCE, LOWER, ROWS_PER_TASK, SEED, WORD, Forest, _runs, _walk
 
 SHINGLE, SIMILARITY = 5, 0.8
-SECTIONS, FIRST, WIDTH = 24, 1, 32
+SECTIONS, WIDTH = 24, 32
+#: The sections, from and up to, that are walked in each round for a spanning forest.
+ROUNDS = ((0, 1), (1, 12))
 #: Widths of the blocks of a section, one more than DISTANCE.
 BLOCKS = (11, 11, 10)
 #: Expected share of differing bits at a Jaccard similarity of SIMILARITY, at most; and the bits that differ at three standard deviations more.
@@ -51,6 +54,8 @@ LIMIT = int(SECTIONS * WIDTH * SHARE + 3 * math.sqrt(SECTIONS * WIDTH * SHARE *
 FEW = 32
 #: Pairs of rows written out at once.
 PRODUCT = 1 << 20
+#: Pairs whose whole fingerprints are compared at once.
+COMPARED = 1 << 16
 
 #: The multipliers of the published splitmix64 generator.
 GOLDEN, MIX_1, MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -167,6 +172,32 @@ def witness_pairs(group: np.ndarray, value: np.ndarray, node: np.ndarray, comp:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+class Marked(Forest):
+    """Marks the places that come near one of another component. A place of several components has a label of its own."""
+
+    def __init__(self, label: np.ndarray, marked: np.ndarray):
+        self.label, self.marked = label, marked
+        self.settle()
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        self.marked[a[apart]] = True
+        self.marked[b[apart]] = True
+
+
+def near_others(group: np.ndarray, value: np.ndarray, comp: np.ndarray, depth: int) -> np.ndarray:
+    """Which rows come within DISTANCE bits of a row of another component in their group. Values of a group share their first depth bits."""
+    out = np.zeros(len(value), bool)
+    order, value, _, first, last, low, high, label, held, runs = _places(group, value, comp)
+    for lo, hi, roots in runs:
+        found = Marked(label[lo:hi], low[lo:hi] != high[lo:hi])
+        if len(roots):
+            _walk(value[first[lo:hi]], roots, depth, DISTANCE, found)
+        for k in (lo + np.flatnonzero(found.marked)).tolist():
+            out[order[first[k] : last[k]]] = True
+    return out
+
+
 class Between(Forest):
     """Keeps every pair of places of different components. A place of several components has a label of its own."""
 
@@ -179,12 +210,12 @@ class Between(Forest):
         self.pairs.append((a[apart], b[apart]))
 
 
-def all_pairs(group: np.ndarray, value: np.ndarray, comp: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of rows of different components in one group whose values differ in DISTANCE bits at most, PRODUCT or a row's pairs at once. Values of a group share their first depth bits."""
+def _places(group: np.ndarray, value: np.ndarray, comp: np.ndarray) -> tuple:
+    """Rows in order of group and value, the places of equal values, their components and labels, and stretches of places with the roots of their walks."""
     order = np.lexsort((value, group))
     group, value, comp = group[order], value[order], comp[order]
     if not len(group):
-        return
+        return order, value, comp, order, order, comp, comp, comp, group, []
     first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])]))
     last = np.append(first[1:], len(group))
     low, high = np.minimum.reduceat(comp, first), np.maximum.reduceat(comp, first)
@@ -192,10 +223,20 @@ def all_pairs(group: np.ndarray, value: np.ndarray, comp: np.ndarray, depth: int
     label = np.where(low == high, np.searchsorted(names, low), len(names) + np.arange(len(first)))
     cut = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
     ends = np.append(cut[1:], len(held))
-    for lo, hi in _runs(cut, ends, held, value[first]):
-        starts = cut[(cut >= lo) & (cut < hi)] - lo
-        stops = np.append(starts[1:], hi - lo)
-        roots = np.stack([starts, stops, starts, stops, np.zeros_like(starts)], 1)[stops - starts > 1]
+
+    def runs() -> Iterator[tuple[int, int, np.ndarray]]:
+        for lo, hi in _runs(cut, ends, held, value[first]):
+            starts = cut[(cut >= lo) & (cut < hi)] - lo
+            stops = np.append(starts[1:], hi - lo)
+            yield lo, hi, np.stack([starts, stops, starts, stops, np.zeros_like(starts)], 1)[stops - starts > 1]
+
+    return order, value, comp, first, last, low, high, label, held, runs()
+
+
+def all_pairs(group: np.ndarray, value: np.ndarray, comp: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows of different components in one group whose values differ in DISTANCE bits at most, PRODUCT or a row's pairs at once. Values of a group share their first depth bits."""
+    order, value, comp, first, last, low, high, label, held, runs = _places(group, value, comp)
+    for lo, hi, roots in runs:
         found = Between(label[lo:hi])
         if len(roots):
             _walk(value[first[lo:hi]], roots, depth, DISTANCE, found)
@@ -217,77 +258,105 @@ def all_pairs(group: np.ndarray, value: np.ndarray, comp: np.ndarray, depth: int
             at = to
 
 
-def candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
-    """a, b: pairs of nodes of different components (node, comp, fp) that come near in one of the sections first to last."""
-    spark = nodes.sparkSession
+OFFSETS = (0, BLOCKS[0], BLOCKS[0] + BLOCKS[1])
+
+
+def _sections(nodes: DataFrame, first: int = 0, last: int = SECTIONS) -> DataFrame:
+    """nodes with t, the place of a section from first to last, and s, its value."""
     own = F.slice("fp", first + 1, last - first)
-    rows = nodes.select("node", "comp", F.posexplode(own).alias("t", "s")).withColumn("s", F.col("s").cast("long").bitwiseAND((1 << WIDTH) - 1))
-    held = materialise(rows.groupBy("t", "s").agg(F.min(F.struct("comp", "node")).alias("least"), F.max("comp").alias("most")).select("t", "s", "least.comp", "least.node", "most"), "similar-sections")
-    mixed = held.where("comp <> most").select("t", "s", F.col("comp").alias("comp_b"), F.col("node").alias("b"))
-    equal = rows.join(mixed, ["t", "s"]).where("comp <> comp_b").select(F.col("node").alias("a"), "b")
-    offset = [0, BLOCKS[0], BLOCKS[0] + BLOCKS[1]]
-    blocks = F.array(*(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned("s", WIDTH - at - w).bitwiseAND((1 << w) - 1).alias("key")) for r, (at, w) in enumerate(zip(offset, BLOCKS))))
-    dealt = held.select("t", "s", "comp", "node", F.explode(blocks).alias("block")).select("t", "s", "comp", "node", "block.r", "block.key")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.count() * len(BLOCKS) / ROWS_PER_TASK))
+    return nodes.select("*", F.posexplode(own).alias("t", "s")).withColumn("s", F.col("s").cast("long").bitwiseAND((1 << WIDTH) - 1))
+
+
+def _dealt(held: DataFrame) -> DataFrame:
+    """The rows of held once for each block of their section, those of one block value together; a task has ROWS_PER_TASK on average at most."""
+    blocks = F.array(*(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned("s", WIDTH - at - w).bitwiseAND((1 << w) - 1).alias("key")) for r, (at, w) in enumerate(zip(OFFSETS, BLOCKS))))
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.count() * len(BLOCKS) / ROWS_PER_TASK))
+    return held.select("*", F.explode(blocks).alias("block")).select(*held.columns, "block.r", "block.key").repartition(parts, "t", "r", "key")
+
+
+def _subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray]]:
+    """For each block: its number, its rows, their groups, and their sections turned so that the block leads."""
+    batches = list(batches)
+    if not batches:
+        return
+    held = pd.concat(batches)
+    for r, part in held.groupby("r"):
+        s, at = part.s.to_numpy(np.uint64), np.uint64(OFFSETS[r])
+        turned = ((s << at) | (s >> (np.uint64(WIDTH) - at))) << np.uint64(WIDTH)
+        yield r, part, part.t.to_numpy(np.int64) << 32 | part.key.to_numpy(np.int64), turned
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
+    """a, b: pairs of nodes of different components (node, comp, fp) that come near in one of the sections first to last, one at least for each two components that could hang together by them."""
+    each = _sections(nodes, first, last).groupBy("t", "s", "comp").agg(F.min("node").alias("node"))
+    least = each.groupBy("t", "s").agg(F.min(F.struct("comp", "node")).alias("least"), F.count("*").alias("n")).select("t", "s", "least.comp", "least.node", "n")
+    held = materialise(least, "similar-sections")
+    mixed = held.where("n > 1").select("t", "s", F.col("comp").alias("comp_b"), F.col("node").alias("b"))
+    equal = each.join(mixed, ["t", "s"]).where("comp <> comp_b").select(F.col("node").alias("a"), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batches = list(batches)
-        if not batches:
-            return
-        held = pd.concat(batches)
-        for r, part in held.groupby("r"):
-            s, at = part.s.to_numpy(np.uint64), np.uint64(offset[r])
-            turned = ((s << at) | (s >> (np.uint64(WIDTH) - at))) << np.uint64(WIDTH)
-            group = part.t.to_numpy(np.int64) << 32 | part.key.to_numpy(np.int64)
+        for r, part, group, turned in _subtrees(batches):
             a, b = witness_pairs(group, turned, part.node.to_numpy(np.int64), part.comp.to_numpy(np.int64), BLOCKS[r])
             yield pd.DataFrame({"a": a, "b": b})
 
-    near = dealt.repartition(parts, "t", "r", "key").mapInPandas(released(run), "a long, b long")
-    return equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ordered(equal.unionByName(_dealt(held.drop("n")).mapInPandas(released(run), "a long, b long")))
 
 
-def candidates_between(nodes: DataFrame) -> DataFrame:
-    """a, b: every pair of nodes of different components (node, comp, fp) that come near in one of the sections."""
-    spark = nodes.sparkSession
-    rows = nodes.select("node", "comp", F.posexplode("fp").alias("t", "s")).withColumn("s", F.col("s").cast("long").bitwiseAND((1 << WIDTH) - 1))
-    # nodes of a component with equal sections are walked as one, and all put in where it was found
+def beside_others(nodes: DataFrame) -> DataFrame:
+    """node, of those of nodes (node, comp, fp) that come near one of another component in one of the sections."""
+    rows = _sections(nodes)
     held = materialise(rows.groupBy("t", "s", "comp").agg(F.min("node").alias("node"), (F.count("*") > 1).alias("more")), "similar-between")
-    offset = [0, BLOCKS[0], BLOCKS[0] + BLOCKS[1]]
-    blocks = F.array(*(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned("s", WIDTH - at - w).bitwiseAND((1 << w) - 1).alias("key")) for r, (at, w) in enumerate(zip(offset, BLOCKS))))
-    dealt = held.select("t", "s", "comp", "node", "more", F.explode(blocks).alias("block")).select("t", "s", "comp", "node", "more", "block.r", "block.key")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(held.count() * len(BLOCKS) / ROWS_PER_TASK))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batches = list(batches)
-        if not batches:
-            return
-        held = pd.concat(batches)
-        for r, part in held.groupby("r"):
-            s, at = part.s.to_numpy(np.uint64), np.uint64(offset[r])
-            turned = ((s << at) | (s >> (np.uint64(WIDTH) - at))) << np.uint64(WIDTH)
-            t, node, more = part.t.to_numpy(np.int64), part.node.to_numpy(np.int64), part.more.to_numpy(bool)
-            for a, b in all_pairs(t << 32 | part.key.to_numpy(np.int64), turned, part.comp.to_numpy(np.int64), BLOCKS[r]):
-                yield pd.DataFrame({"t": t[a], "a": node[a], "b": node[b], "more_a": more[a], "more_b": more[b]})
-
-    found = materialise(dealt.repartition(parts, "t", "r", "key").mapInPandas(released(run), "t int, a long, b long, more_a boolean, more_b boolean"), "similar-found")
-    needed = found.where("more_a").select("t", F.col("a").alias("node")).union(found.where("more_b").select("t", "b")).distinct()
-    named = materialise(held.where("more").join(needed, ["t", "node"]).select("t", "s", "comp", F.col("node").alias("as")), "similar-named-by")
-    members = materialise(rows.join(sized_broadcast(named), ["t", "s", "comp"]).select("t", "as", "node"), "similar-members")
-    single = found.where("not more_a and not more_b").select("a", "b")
-    several = found.where("more_a or more_b").select("t", "a", "b").distinct()
-    for side in ("a", "b"):
-        several = several.join(members.select("t", F.col("as").alias(side), F.col("node").alias(f"of_{side}")), ["t", side], "left")
-    several = several.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    return single.unionByName(several).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """a, b, of the pairs of nodes those whose texts are similar; the texts of other documents are not moved."""
+        for r, part, group, turned in _subtrees(batches):
+            yield part.loc[near_others(group, turned, part.comp.to_numpy(np.int64), BLOCKS[r]), ["t", "s", "comp", "node", "more"]]
+
+    found = materialise(_dealt(held).mapInPandas(released(run), "t int, s long, comp long, node long, more boolean").distinct(), "similar-beside")
+    several = found.where("more").select("t", "s", "comp")
+    return found.where("not more").select("node").union(rows.join(sized_broadcast(several), ["t", "s", "comp"]).select("node")).distinct()
+
+
+def candidates_between(nodes: DataFrame) -> DataFrame:
+    """a, b: every pair of nodes of different components (node, comp, fp) that come near in one of the sections and differ in LIMIT bits of all at most."""
+    needed = materialise(beside_others(nodes), "similar-needed")
+    whole = nodes.select("node", "comp", "fp").join(sized_broadcast(needed), "node")
+    held = materialise(_sections(whole), "similar-whole")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r, part, group, turned in _subtrees(batches):
+            node, t, fp = part.node.to_numpy(np.int64), part.t.to_numpy(np.int64), np.stack(part.fp.to_numpy()).astype(np.int32).view(np.uint32)
+            for a, b in all_pairs(group, turned, part.comp.to_numpy(np.int64), BLOCKS[r]):
+                for at in range(0, len(a), COMPARED):
+                    x, y = a[at : at + COMPARED], b[at : at + COMPARED]
+                    differ = fp[x] ^ fp[y]
+                    bits = np.bitwise_count(differ)
+                    # a pair is told once, where its first section that comes near has its first equal block
+                    first = (bits <= DISTANCE).argmax(axis=1)
+                    of = differ[np.arange(len(x)), first]
+                    told = (bits.sum(axis=1, dtype=np.int64) <= LIMIT) & (first == t[x])
+                    for k in range(r + 1):
+                        told &= ((of >> np.uint32(WIDTH - OFFSETS[k] - BLOCKS[k])) & np.uint32((1 << BLOCKS[k]) - 1) == 0) == (k == r)
+                    yield pd.DataFrame({"a": np.minimum(node[x[told]], node[y[told]]), "b": np.maximum(node[x[told]], node[y[told]])})
+
+    return _dealt(held).mapInPandas(released(run), "a long, b long")
+
+
+def within_limit(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, of the pairs of nodes those that differ in LIMIT bits at most."""
     fp = nodes.select("node", "fp")
     pairs = pairs.join(fp.toDF("a", "fp_a"), "a").join(fp.toDF("b", "fp_b"), "b")
     differ = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND((1 << WIDTH) - 1))), F.lit(0), lambda n, x: n + x)
-    pairs = materialise(pairs.where(differ <= LIMIT).select("a", "b"), "similar-pairs")
-    needed = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-needed")
+    return pairs.where(differ <= LIMIT).select("a", "b")
+
+
+def links(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """a, b, of the pairs of nodes those whose texts are similar; the texts of other documents are not moved."""
+    pairs = materialise(pairs, "similar-pairs")
+    needed = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "similar-texts-of")
     own = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text")).join(sized_broadcast(needed), "node")
     texts = materialise(own, "similar-texts")
 
@@ -327,18 +396,27 @@ def few_between(posted: DataFrame, named: DataFrame) -> DataFrame:
     return x.join(y, "h").where("a < b and comp_a <> comp_b").select("a", "b")
 
 
+def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with comp, the smallest node that edges reach."""
+    joined = components(edges).withColumnRenamed("root", "comp")
+    return materialise(nodes.join(joined, "node", "left").select("node", "fp", "few", F.coalesce("comp", "node").alias("comp")), "similar-named")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its near copies, itself included) of every row; null for a null id."""
     rows = materialise(sketches(docs, shingle), "similar-fp")
     nodes = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("few", "doc_id").alias("few")), "similar-nodes")
-    early = materialise(links(docs, nodes, candidates(nodes.withColumn("comp", F.col("node")), 0, FIRST), shingle), "similar-early")
     posted = materialise(rarest(nodes), "similar-rarest")
     star = posted.join(posted.groupBy("h").agg(F.min("node").alias("a")), "h").where("a < node").select("a", F.col("node").alias("b"))
-    early = materialise(early.unionByName(few_links(nodes, star)), "similar-first")
-    joined = components(early).withColumnRenamed("root", "comp")
-    named = materialise(nodes.join(joined, "node", "left").select("node", "fp", "few", F.coalesce("comp", "node").alias("comp")), "similar-named")
-    late = materialise(links(docs, named, candidates_between(named), shingle).unionByName(few_links(nodes, few_between(posted, named))), "similar-late")
-    root = components(early.unionByName(late))
+    edges = materialise(few_links(nodes, star), "similar-few")
+    named = _named(nodes, edges)
+    for first, last in ROUNDS:
+        found = materialise(links(docs, within_limit(named, candidates(named, first, last)), shingle), "similar-links")
+        edges = edges.unionByName(found)
+        named = _named(nodes, edges)
+        settle(docs.sparkSession)
+    late = links(docs, candidates_between(named), shingle).unionByName(few_links(nodes, few_between(posted, named)))
+    root = components(edges.unionByName(materialise(late, "similar-late")))
     names = materialise(nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "similar-names")
     return rows.join(names, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
