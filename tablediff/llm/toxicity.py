@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import held_out, materialise, read_table, released, ship, unship, whole_text
+from .common import give_back, held_out, materialise, read_table, released, ship, unship, whole_text
 
 TRAIN_ROWS, THRESHOLD, PARTS = 24_000, 0.3, 5
 #: Beginnings of words that the lexicon considers, in letters.
@@ -120,13 +120,14 @@ class Features:
 
     def __init__(self, *lexicons: dict[str, float]):
         self.lexicons, self.memo = lexicons, {}
+        self.heads = {t[: STEMS.start].removesuffix("~") for x in lexicons for t in x}  # no word that begins otherwise has a weight
 
     def weigh(self, token: str) -> tuple[float, ...]:
         """The token's weight in each lexicon; -1 for a second person; empty if it is neither."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
         word = plain(token)
-        found = tuple(max((x.get(t, 0.0) for t in terms(word)), default=0.0) for x in self.lexicons) if word else ()
+        found = tuple([max([x.get(t, 0.0) for t in own]) for x in self.lexicons]) if word[: STEMS.start] in self.heads and (own := terms(word)) else ()
         if not any(found):
             found = ()
         if word in SECOND_PERSON:
@@ -141,14 +142,15 @@ class Features:
         tokens, memo = TOKEN.findall(text), self.memo
         n, chars, kinds = len(tokens), len(text), set(tokens)
         marks = {t: w for t in kinds if (w := memo[t] if t in memo else self.weigh(t))}
-        places = [(i, marks[t]) for i, t in enumerate(tokens) if t in marks] if marks else []
+        places = [i for i, t in enumerate(tokens) if t in marks] if marks else []
+        held = [marks[tokens[i]] for i in places]
         per, by = 1.0 / max(n, 1), 1.0 / max(chars, 1)
         count = lambda p: len(p.findall(text))
         first = float(np.log1p(n))
-        last = (count(CAPITALS) * by, sum(t.isupper() and len(t) > 2 for t in kinds) * per, count(SHOUT) * by, count(PUNCTUATION) * by, count(DRAWN) * per, count(DISGUISED) * per, count(DIGIT) * by, len(kinds) * per, chars * per)
+        last = (count(CAPITALS) * by, sum([t.isupper() and len(t) > 2 for t in kinds]) * per, count(SHOUT) * by, count(PUNCTUATION) * by, count(DRAWN) * per, count(DISGUISED) * per, count(DIGIT) * by, len(kinds) * per, chars * per)
         out = []
         for k in range(len(self.lexicons)):
-            hits, you = [i for i, w in places if w[k] > 0], [i for i, w in places if w[k] < 0]
+            hits, you = [i for i, w in zip(places, held) if w[k] > 0], [i for i, w in zip(places, held) if w[k] < 0]
             weights = sorted((w[k] for w in marks.values() if w[k] > 0), reverse=True)
             near = 0
             if hits and you:
@@ -156,7 +158,7 @@ class Features:
                 left = np.array(hits) - np.array([-99, *you])[at]
                 right = np.array([*you, n + 99])[at] - np.array(hits)
                 near = int((np.minimum(left, right) <= 6).sum())
-            total = sum(w[k] for _, w in places if w[k] > 0)
+            total = sum([w[k] for w in held if w[k] > 0])
             out.append((first, float(len(hits)), len(hits) * per, total * per, weights[0] if weights else 0.0, weights[1] if len(weights) > 1 else 0.0, float(len(weights)), near * per, len(you) * per, *last))
         return out
 
@@ -201,10 +203,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicit
             yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "part": batch.part, "f": [np.concatenate(x) for x in found]})
 
     # PARTS + 1 rows of numbers for each row of the bounded sample
-    found = sample.mapInPandas(released(run), "doc_id long, toxic int, part int, f array<double>").toPandas().sort_values("doc_id")
+    found = sample.mapInPandas(released(run), "doc_id long, toxic int, part int, f array<double>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     shared.destroy()
-    x = np.array(found.f.tolist()).reshape(len(found), 1 + PARTS, -1)
-    y, parts = found.toxic.to_numpy(float), found.part.to_numpy()
+    x = found["f"].chunk(0).flatten().to_numpy().reshape(found.num_rows, 1 + PARTS, -1)
+    y, parts = found["toxic"].to_numpy().astype(float), found["part"].to_numpy()
+    give_back()
     margins = np.full(len(y), np.nan)
     for k in range(PARTS):
         own = parts == k
