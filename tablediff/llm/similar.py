@@ -307,8 +307,8 @@ def candidates(nodes: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def beside_others(nodes: DataFrame) -> DataFrame:
-    """node, of those of nodes (node, comp, fp) that come near one of another component in one of the sections."""
-    rows = _sections(nodes)
+    """t, node: the sections in which a node (node, comp, fp) comes near one of another component."""
+    rows = _sections(nodes).select("t", "s", "comp", "node")
     held = materialise(rows.groupBy("t", "s", "comp").agg(F.min("node").alias("node"), (F.count("*") > 1).alias("more")), "similar-between")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,14 +317,14 @@ def beside_others(nodes: DataFrame) -> DataFrame:
 
     found = materialise(_dealt(held).mapInPandas(released(run), "t int, s long, comp long, node long, more boolean").distinct(), "similar-beside")
     several = found.where("more").select("t", "s", "comp")
-    return found.where("not more").select("node").union(rows.join(sized_broadcast(several), ["t", "s", "comp"]).select("node")).distinct()
+    return found.where("not more").select("t", "node").union(rows.join(sized_broadcast(several), ["t", "s", "comp"]).select("t", "node"))
 
 
 def candidates_between(nodes: DataFrame) -> DataFrame:
     """a, b: every pair of nodes of different components (node, comp, fp) that come near in one of the sections and differ in LIMIT bits of all at most."""
-    needed = materialise(beside_others(nodes), "similar-needed")
-    whole = nodes.select("node", "comp", "fp").join(sized_broadcast(needed), "node")
-    held = materialise(_sections(whole), "similar-whole")
+    beside = materialise(beside_others(nodes), "similar-sections-beside")
+    section = F.element_at("fp", F.col("t") + 1).cast("long").bitwiseAND((1 << WIDTH) - 1)
+    held = materialise(nodes.select("node", "comp", "fp").join(beside, "node").select("t", section.alias("s"), "node", "comp", "fp"), "similar-whole")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, part, group, turned in _subtrees(batches):
