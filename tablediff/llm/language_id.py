@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, released, ship, unship, whole_text
+from .common import give_back, held_out, read_table, released, ship, unship, whole_text
 
 TRAIN_ROWS = 1500
 WIDTH_BITS = 15
@@ -164,9 +164,14 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> LanguageModel:
             found = [profile(t) for t in batch.text]
             yield pd.DataFrame({"doc_id": batch.doc_id, "lang": batch.lang, "at": [a.astype(np.int32) for a, _ in found], "v": [v.astype(np.float32) for _, v in found]})
 
-    sample = texts.mapInPandas(released(run), "doc_id long, lang string, at array<int>, v array<float>").toPandas()
-    sample = sample[sample["at"].map(len) > 0].sort_values(["doc_id", "lang"])
-    return LanguageModel([(np.asarray(a, np.int64), np.asarray(v, float)) for a, v in zip(sample["at"], sample.v)], sample.lang.tolist())
+    sample = texts.mapInPandas(released(run), "doc_id long, lang string, at array<int>, v array<float>").where("size(at) > 0").toArrow()
+    sample = sample.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    # one array for all rows, cut at their ends: lists of numbers would take several times as much
+    profiles = [(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(sample["at"], sample["v"])]
+    model = LanguageModel(profiles, sample["lang"].to_pylist())
+    del sample, profiles
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
