@@ -1,4 +1,4 @@
-"""Row, segment and key hashes as column expressions, and the SQL templates of other systems.
+"""Row, segment and key hashes as column expressions.
 
 The row hash keeps apart what plain concatenation confuses: null and the empty string, and values that run
 into each other. Each value is written as V, its length, a colon and its text; null as N.
@@ -16,31 +16,6 @@ from pyspark.sql import types as T
 
 from .names import column
 
-# How each system casts to text, joins texts, hashes a row and hashes a segment.
-DIALECTS = {
-    "postgresql": {"hash": "MD5({COL}::text)", "concatenation": "||", "cast_to_text": "CAST({COL} AS TEXT)", "aggregate_hash": "BIT_XOR(CONV(SUBSTRING(MD5({COL}), 1, 16), 16, 10))"},
-    "mysql": {"hash": "MD5(CONCAT({COL}))", "concatenation": ", ", "cast_to_text": "CAST({COL} AS CHAR)", "aggregate_hash": "BIT_XOR(CONV(SUBSTRING(MD5(CONCAT({COL})), 1, 16), 16, 10))"},
-    "snowflake": {"hash": "HASH({COL})", "concatenation": "||", "cast_to_text": "TO_VARCHAR({COL})", "aggregate_hash": "BIT_XOR(HASH({COL}))"},
-    "bigquery": {"hash": "MD5(CAST({COL} AS STRING))", "concatenation": "||", "cast_to_text": "CAST({COL} AS STRING)", "aggregate_hash": "BIT_XOR(FARM_FINGERPRINT({COL}))"},
-    "databricks": {"hash": "MD5(CAST({COL} AS STRING))", "concatenation": "||", "cast_to_text": "CAST({COL} AS STRING)", "aggregate_hash": "BIT_XOR(HASH({COL}))"},
-}
-
-
-def dialect_row_hash(system: str, columns: Iterable[str]) -> str:
-    """SQL text of a system's row hash over quoted columns."""
-    d = DIALECTS[system]
-    joined = d["concatenation"].join(d["cast_to_text"].replace("{COL}", c) for c in columns)
-    return d["hash"].replace("{COL}", joined)
-
-
-def dialect_segment_hash(system: str, columns: Iterable[str]) -> str:
-    d = DIALECTS.get(system)
-    if not d or "aggregate_hash" not in d:
-        raise NotImplementedError(f"{system} has no segment hash")
-    joined = d["concatenation"].join(d["cast_to_text"].replace("{COL}", c) for c in columns)
-    return d["aggregate_hash"].replace("{COL}", joined)
-
-
 def text_of(c: Column, kind: T.DataType | None = None) -> Column:
     """A value as text: nested values as JSON with map entries in order, -0.0 as 0.0."""
     if isinstance(kind, T.MapType):
@@ -59,12 +34,17 @@ def encoded(c: Column, kind: T.DataType | None = None) -> Column:
     return F.coalesce(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text), F.lit("N"))
 
 
-def row_hash(columns: Iterable[str], schema: T.StructType | None = None, width: int = 256) -> Column:
-    """Null-safe hash that differs for rows that differ, but for collisions of the digest."""
+def row_text(columns: Iterable[str], schema: T.StructType | None = None) -> Column:
+    """A text that differs for rows that differ."""
     kinds = {f.name: f.dataType for f in schema} if schema is not None else {}
     parts = [encoded(column(c), kinds.get(c)) for c in columns]
-    joined = F.concat(*parts) if parts else F.lit("")
-    return F.md5(joined.cast("binary")) if width == 128 else F.sha2(joined.cast("binary"), width)
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def row_hash(columns: Iterable[str], schema: T.StructType | None = None, width: int = 256) -> Column:
+    """Null-safe hash that differs for rows that differ, but for collisions of the digest."""
+    text = row_text(columns, schema).cast("binary")
+    return F.md5(text) if width == 128 else F.sha2(text, width)
 
 
 def concat_hash(columns: Iterable[str]) -> Column:
@@ -82,11 +62,6 @@ def short_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def segment_hash(text: Column) -> Column:
-    """Exclusive or of the rows' short hashes; partial results combine before the shuffle."""
-    return F.bit_xor(short_hash(text))
-
-
 def key_json(values: Mapping) -> str:
     return json.dumps(dict(values), sort_keys=True, default=str)
 

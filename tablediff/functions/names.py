@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*\Z")
 #: The only system at hand that folds unquoted names is listed; others keep them.
@@ -51,12 +51,6 @@ def resolve(name: str, columns: Iterable[str]) -> str:
     return found[0]
 
 
-def get_ignoring_case(row: Mapping, name: str, default=None):
-    if name in row:
-        return row[name]
-    return next((v for k, v in row.items() if k.lower() == name.lower()), default)
-
-
 def common_columns(a: Iterable[str], b: Iterable[str]) -> list[tuple[str, str]]:
     """(name in a, name in b) of the columns that both have, in a's order."""
     there = {c.lower(): c for c in b}

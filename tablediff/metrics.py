@@ -12,9 +12,11 @@ import json
 import threading
 from collections import deque
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 from hashlib import md5
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ATTEMPT_SCHEMA = "connection_id string, source_type string, method string, duration double, success boolean, error string, ts timestamp"
@@ -29,9 +31,19 @@ def error_type(error: Column) -> Column:
 def _statistics() -> list[Column]:
     d, n = F.col("duration"), F.count("*")
     good = F.count(F.when(F.col("success"), 1))
-    # the value at place floor(0.95 * (n - 1)), counted from 0; pairs of value and count combine before the shuffle
-    place = F.floor(F.lit(0.95) * (n - 1)).cast("int") + 1
-    return [n.alias("total_attempts"), good.alias("successful_attempts"), (n - good).alias("failed_attempts"), (good / n).alias("success_rate"), F.avg(d).alias("avg_duration"), F.min(d).alias("min_duration"), F.max(d).alias("max_duration"), F.percentile(d, 0.5).alias("median_duration"), F.element_at(F.sort_array(F.collect_list(d)), place).alias("p95_duration")]
+    return [n.alias("total_attempts"), good.alias("successful_attempts"), (n - good).alias("failed_attempts"), (good / n).alias("success_rate"), F.avg(d).alias("avg_duration"), F.min(d).alias("min_duration"), F.max(d).alias("max_duration")]
+
+
+def _with_places(found: DataFrame, own: DataFrame, by: list[str]) -> DataFrame:
+    """found with median_duration and p95_duration, the value at place floor(0.95 * (n - 1)) counted from 0. Equal durations of a group are counted before the shuffle, and a running sum finds the places."""
+    counts = own.where("duration is not null").groupBy(*by, "duration").agg(F.count("*").alias("__c"))
+    group = Window.partitionBy(*by)
+    counts = counts.withColumn("__to", F.sum("__c").over(group.orderBy("duration").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(group))
+    at = lambda place: F.max(F.when((place >= F.col("__to") - F.col("__c")) & (place < F.col("__to")), F.col("duration")))
+    last = F.col("__n") - 1
+    places = counts.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median_duration"), at(F.floor(F.lit(0.95) * last)).alias("p95_duration"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return found.join(places, same, "left").drop(*[f"__{c}" for c in by])
 
 
 def filtered(df: DataFrame, source_type: str | None = None, method: str | None = None, connection_id: str | None = None, since: datetime | None = None) -> DataFrame:
@@ -42,13 +54,15 @@ def filtered(df: DataFrame, source_type: str | None = None, method: str | None =
 
 
 def connection_statistics(attempts: DataFrame, **filters) -> DataFrame:
-    return filtered(attempts, **filters).groupBy("source_type", "method").agg(*_statistics())
+    own, by = filtered(attempts, **filters), ["source_type", "method"]
+    return _with_places(own.groupBy(*by).agg(*_statistics()), own, by)
 
 
 def method_comparison(attempts: DataFrame, **filters) -> DataFrame:
     own = filtered(attempts, **filters)
     total = own.agg(F.count("*").alias("__all"))
     found = own.groupBy("method").agg(*_statistics(), F.max("ts").alias("last_used"), F.sort_array(F.collect_set(error_type(F.col("error")))).alias("error_types"))
+    found = _with_places(found, own, ["method"])
     return found.join(F.broadcast(total)).withColumn("usage", F.col("total_attempts") / F.col("__all")).drop("__all")  # total is one row
 
 

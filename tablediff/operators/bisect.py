@@ -1,11 +1,13 @@
 """Segment comparison: hash segments of both sides, then classify only rows of segments that differ.
 
-ntile: equal-sized segments in key order. The places are counted without gathering all rows in one task: rows are dealt by
-ranges of the key, counted for each range, and offset by the ranges before. All differing segments of
-both sides are classified together, so a row that moved to a neighbouring segment is not reported.
+ntile: equal-sized segments in key order. The places are counted without gathering all rows in one task: keys and row hashes are dealt by
+ranges of the key, written once, counted for each range, and offset by the ranges before. Rows of all keys that
+stand in a differing segment of either side are classified together, so a row that moves to the next segment is not reported.
 
 range: the same bounds of the segment key for both sides, taken from the source's quantiles; a segment that differs and
-holds more than threshold rows is cut again, down to max_depth.
+holds more than threshold rows is cut again, down to max_depth. Each level is one job for all segments: sums of both sides, and the
+bounds of the next level; only rows of the segments that are cut again are read for it. Keys that are no numbers are cut by a
+number that follows their order (dates, times, texts by the bytes after what all have in common) or by a hash.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import row_hash, short_hash
+from ..functions.hashing import row_text, short_hash
 from ..functions.names import column, resolve
-from .diff import classify
+from ..scratch import sized, stored
+from .diff import classify, pair_off, with_keys
 from .model import SEGMENT_THRESHOLD, SEGMENTS
 
 
@@ -27,10 +30,10 @@ def tile(place: Column, total: Column, n: int) -> Column:
 
 
 def with_segments(df: DataFrame, order: list[str], n: int = SEGMENTS, partitions: int | None = None) -> DataFrame:
-    """df with segment, as NTILE(n) over order gives it; persisted, because ranges may be drawn anew when they are computed again."""
+    """df with segment, as NTILE(n) over order gives it. It is written once in ranges of order, because ranges may be drawn anew when they are computed again; give it narrow rows."""
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *[column(c).asc_nulls_first() for c in order]).withColumn("__part", F.spark_partition_id()).persist()
+    dealt = stored(df.repartitionByRange(parts, *[column(c).asc_nulls_first() for c in order]).withColumn("__part", F.spark_partition_id()), "segments")
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row for each partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(Window.partitionBy()).alias("__total"))
@@ -39,10 +42,13 @@ def with_segments(df: DataFrame, order: list[str], n: int = SEGMENTS, partitions
     return placed.withColumn("segment", tile(F.col("__before") + F.col("__within"), F.col("__total"), n)).drop("__part", "__within", "__before", "__total")
 
 
+def _sums(h: Column) -> list[Column]:
+    return [F.count("*").alias("row_count"), F.bit_xor(h).alias("seg_hash"), F.sum(h.cast("decimal(38,0)")).alias("seg_sum")]
+
+
 def segment_sums(df: DataFrame, text: Column) -> DataFrame:
     """segment, row_count, seg_hash, seg_sum: a row for each segment. The sum is a second check beside the exclusive or."""
-    h = short_hash(text)
-    return df.groupBy("segment").agg(F.count("*").alias("row_count"), F.bit_xor(h).alias("seg_hash"), F.sum(h.cast("decimal(38,0)")).alias("seg_sum"))
+    return df.groupBy("segment").agg(*_sums(short_hash(text)))
 
 
 def differing(a: DataFrame, b: DataFrame, threshold: int = SEGMENT_THRESHOLD) -> DataFrame:
@@ -52,62 +58,111 @@ def differing(a: DataFrame, b: DataFrame, threshold: int = SEGMENT_THRESHOLD) ->
     if "seg_sum" in a.columns:
         wrong = wrong | ~F.col("a.seg_sum").eqNullSafe(F.col("b.seg_sum"))
     rows = F.greatest(F.coalesce("a.row_count", F.lit(0)), F.coalesce("b.row_count", F.lit(0)))
-    return joined.where(wrong).select("segment", F.col("a.row_count").alias("rows_a"), F.col("b.row_count").alias("rows_b"), (rows > threshold).alias("over_threshold"))
+    bounds = ["a.inner"] if "inner" in a.columns else []
+    return joined.where(wrong).select("segment", F.col("a.row_count").alias("rows_a"), F.col("b.row_count").alias("rows_b"), (rows > threshold).alias("over_threshold"), *bounds)
 
 
-def bisect(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], segment_key: str, *, mode: str = "ntile", segments: int = SEGMENTS, threshold: int = SEGMENT_THRESHOLD, max_depth: int = 4, null_safe_keys: bool = True) -> tuple[DataFrame, dict]:
+def bisect(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], segment_key: str, *, mode: str = "ntile", segments: int = SEGMENTS, threshold: int = SEGMENT_THRESHOLD, max_depth: int = 4, null_safe_keys: bool = True, multiset: bool = False) -> tuple[DataFrame, dict]:
     segment_key = resolve(segment_key, a.columns)
-    extra = ["__n"] if "__n" in a.columns else []
-    columns = keys + values
-    text = row_hash(columns, a.schema)
+    whole = pair_off if multiset else classify
+    text = row_text(keys + values, a.schema)
     if mode == "ntile":
-        order = list(dict.fromkeys([segment_key, *keys, *extra]))
-        a, b = with_segments(a, order, segments), with_segments(b, order, segments)
-        wrong = {r.segment: (r.rows_a or 0, r.rows_b or 0) for r in differing(segment_sums(a, text), segment_sums(b, text), threshold).collect()}  # segments rows at most
-        equal = a.where(~F.col("segment").isin(list(wrong))).count() if wrong else a.count()
-        take = lambda df: df.where(F.col("segment").isin(list(wrong)))
+        order = list(dict.fromkeys([segment_key, *keys, "__h"]))
+        place = lambda df: with_segments(df.select(*[column(c) for c in dict.fromkeys([segment_key, *keys])], short_hash(text).alias("__h")), order, segments)
+        x, y = place(a), place(b)
+        sums = lambda df: df.groupBy("segment").agg(*_sums(F.col("__h")))
+        wrong = [r.segment for r in differing(sums(x), sums(y), threshold).collect()]  # segments rows at most
+        of = lambda df: df.where(F.col("segment").isin(wrong)).select(*[column(k) for k in keys])
         meta = {"segment_count": segments, "depth_reached": int(bool(wrong)), "segments_compared": segments, "segments_differing": len(wrong)}
-        return classify(take(a), take(b), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": equal}
+        if not wrong:
+            return whole(a.limit(0), b.limit(0), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": x.count()}
+        wanted = stored(of(x).union(of(y)).distinct(), "segment-keys")
+        wanted, total = sized(wanted), x.count()
+        return whole(with_keys(a, wanted, keys), with_keys(b, wanted, keys), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": total - with_keys(x, wanted, keys).count()}
     if mode != "range":
         raise ValueError("mode is ntile or range")
-    return _ranges(a, b, keys, values, segment_key, text, segments, threshold, max_depth, null_safe_keys)
-
-
-def _cut(df: DataFrame, key: str, bounds: list) -> DataFrame:
-    """segment 0 holds null keys, i the keys up to and with bound i, the last all above."""
-    kind = df.schema[key].dataType
-    segment = F.lit(len(bounds) + 1)
-    for i in range(len(bounds) - 1, -1, -1):
-        segment = F.when(column(key) <= F.lit(bounds[i]).cast(kind), i + 1).otherwise(segment)
-    return df.withColumn("segment", F.when(column(key).isNull(), 0).otherwise(segment))
+    return _ranges(a, b, keys, values, segment_key, text, segments, threshold, max_depth, whole, null_safe_keys)
 
 
-def _bounds(df: DataFrame, key: str, n: int) -> list:
-    kind = df.schema[key].dataType
+def _number(df: DataFrame, other: DataFrame, key: str) -> Column:
+    """A number for the segment key, the same for equal keys of both sides, in their order if it has one."""
+    c, kind = column(key), df.schema[key].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("long")
     if isinstance(kind, T.NumericType):
-        return sorted(set(df.agg(F.percentile_approx(column(key), [i / n for i in range(1, n)], 10_000)).first()[0] or []))
-    # other keys: the last of each range that Spark's own range partitioning draws
-    dealt = df.select(column(key).alias("k")).where("k is not null").repartitionByRange(n, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k"))
-    return sorted(r.k for r in dealt.collect())[:-1]
-
-
-def _ranges(a, b, keys, values, key, text, segments, threshold, max_depth, null_safe_keys) -> tuple[DataFrame, dict]:
-    bounds, depth, compared = _bounds(a, key, segments), 0, 0
+        return c.cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("long")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, T.StringType):
+        ends = [x for d in (df, other) for x in d.agg(F.min(column(key)), F.max(column(key))).first() if x is not None]
+        raw = [x.encode() for x in ends] or [b""]
+        common = next((i for i, two in enumerate(zip(min(raw), max(raw))) if two[0] != two[1]), min(map(len, raw)))
+        tail = F.rpad(F.hex(F.substring(c.cast("binary"), common + 1, 7)), 14, "0")
+        return F.conv(tail, 16, 10).cast("long")
+    return F.when(c.isNotNull(), F.xxhash64(c))
+
+
+#: Segments of a level are numbered within the one that they cut: 0 holds nulls.
+WIDTH = 64
+
+
+def _cut(df: DataFrame, bounds: dict[int, list], kind: str) -> DataFrame:
+    """The rows of df in the segments that bounds has, with the finer segment in place of theirs."""
+    table = df.sparkSession.createDataFrame(list(bounds.items()), f"segment long, bounds array<{kind}>")
+    finer = F.when(F.col("__p").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("__p"))) + 1)
+    return df.join(F.broadcast(table), "segment").withColumn("segment", F.col("segment") * WIDTH + finer).drop("bounds")
+
+
+def _ranges(a, b, keys, values, key, text, segments, threshold, max_depth, whole, null_safe_keys) -> tuple[DataFrame, dict]:
+    if not 1 < segments < WIDTH:
+        raise ValueError(f"segments is at least 2 and under {WIDTH}")
+    number = _number(a, b, key)
+    shares = [i / segments for i in range(1, segments)]
+    quantiles = F.percentile_approx("__p", shares, 10_000)
+    narrow = lambda df: df.select(number.alias("__p"), short_hash(text).alias("__h"), F.lit(1).cast("long").alias("segment"))
+    first = a.agg(F.percentile_approx(number, shares, 10_000).alias("q"), F.count("*").alias("n")).first()
+    kind = "double" if isinstance(a.select(number).schema[0].dataType, T.DoubleType) else "long"
+    levels, leaves, count, compared, depth, rows_wrong = [{1: sorted(set(first.q or []))}], [], 0, 0, 0, 0
     while True:
-        x, y = _cut(a, key, bounds), _cut(b, key, bounds)
-        compared += len(bounds) + 2
-        wrong = differing(segment_sums(x, text), segment_sums(y, text), threshold).collect()  # a row for each segment at most
-        depth += bool(wrong)
-        large = [r.segment for r in wrong if r.over_threshold and r.segment > 0]
-        if not large or depth >= max_depth:
-            break
-        inner = [v for s in large for v in _bounds(x.where(F.col("segment") == s), key, segments)]
-        finer = sorted({*bounds, *inner})
-        if finer == bounds:
+        x, y = narrow(a), narrow(b)
+        for bounds in levels:
+            x, y = _cut(x, bounds, kind), _cut(y, bounds, kind)
+        sums_a = x.groupBy("segment").agg(*_sums(F.col("__h")), quantiles.alias("inner"))
+        found = differing(sums_a, y.groupBy("segment").agg(*_sums(F.col("__h"))), threshold).collect()  # a row for each differing segment of this level
+        new = sum(len(q) + 1 for q in levels[-1].values())
+        count, compared = count + new - (len(levels[-1]) if depth else 0), compared + new + len(levels[-1])
+        depth += bool(found)
+        again = {}
+        for r in found:
+            inner = sorted(set(r.inner or []))
+            # a segment of one number cannot be cut
+            if r.over_threshold and depth < max_depth and r.segment % WIDTH and len(inner) > 1:
+                again[r.segment] = inner
+            else:
+                leaves.append(r.segment)
+                rows_wrong += r.rows_a or 0
+        if not again:
             break
-        bounds = finer
-    ids = [r.segment for r in wrong]
-    equal = x.where(~F.col("segment").isin(ids)).count() if ids else x.count()
-    take = lambda df: df.where(F.col("segment").isin(ids))
-    meta = {"segment_count": len(bounds) + 1, "depth_reached": depth, "segments_compared": compared, "segments_differing": len(ids), "rows_in_equal_segments": equal}
-    return classify(take(x), take(y), keys, values, null_safe_keys), meta
+        levels.append(again)
+    take = lambda df: _of_leaves(df, number, levels, kind, leaves)
+    meta = {"segment_count": count, "depth_reached": depth, "segments_compared": compared, "segments_differing": len(leaves), "rows_in_equal_segments": first.n - rows_wrong}
+    return whole(take(a), take(b), keys, values, null_safe_keys), meta
+
+
+def _of_leaves(df: DataFrame, number: Column, levels: list[dict[int, list]], kind: str, leaves: list[int]) -> DataFrame:
+    """The rows of df that stand in one of leaves, segments of any level."""
+    if not leaves:
+        return df.limit(0)
+    spark, columns, numbered = df.sparkSession, df.columns, df.withColumn("__p", number).withColumn("segment", F.lit(1).cast("long"))
+    deepest = numbered
+    for i, bounds in enumerate(levels):
+        if i == 0:
+            deepest = _cut(deepest, bounds, kind)
+            continue
+        table = spark.createDataFrame(list(bounds.items()), f"segment long, bounds array<{kind}>")
+        finer = F.when(F.col("__p").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("__p"))) + 1)
+        deepest = deepest.join(F.broadcast(table), "segment", "left").withColumn("segment", F.when(F.col("bounds").isNull(), F.col("segment")).otherwise(F.col("segment") * WIDTH + finer)).drop("bounds")
+    wanted = spark.createDataFrame([(s,) for s in leaves], "segment long")
+    return deepest.join(F.broadcast(wanted), "segment", "left_semi").select(*[column(c) for c in columns])

@@ -4,9 +4,14 @@ Every strategy gives the same rows: key (a struct under the source's names), sta
 source_values, target_values. Values are equal when both are null or equal; NaN equals NaN and 0.0 equals -0.0; columns of different
 types are compared as text.
 
-What each costs: JOIN_DIFF and CROSS_DB_DIFF shuffle the common columns of both sides once. HASH_DIFF shuffles keys and
-hashes, and fetches values only for the keys found to differ. BISECTION (operators.bisect) shuffles segment
-sums and then only the rows of segments that differ.
+What each costs: JOIN_DIFF and CROSS_DB_DIFF shuffle the common columns of both sides once, by key. HASH_DIFF shuffles keys and
+hashes, writes the keys with their status, and reads values again only for the keys that differ, unless these are too many to
+broadcast: then it shuffles like JOIN_DIFF. BISECTION (operators.bisect) moves segment sums and then only the rows of segments
+that differ.
+
+Repeated keys as multisets: rows that are equal in all columns match first, as many as both sides have; what is left of a key
+pairs off in the order of its hashes. Rows are dealt out by key and hash, so a key with very many different rows is split; only what
+is left is dealt by key.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import row_hash, text_of
 from ..functions.names import column, common_columns, non_keys, resolve
+from ..scratch import BROADCAST_ROWS, stored
 from .model import Algorithm, DiffRun
 from .schema import compare_schemas
 
@@ -48,30 +54,66 @@ def aligned(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str]) ->
 
 
 _RANK = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
+_WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
 
 def _comparable(c: Column, own: T.DataType, other: T.DataType) -> Column:
     """c in a form that equals the other side's value exactly when the values are equal."""
+    whole = lambda t: type(t) in _RANK
+    exact = lambda t: whole(t) or isinstance(t, T.DecimalType)
+    broken = lambda t: isinstance(t, (T.FloatType, T.DoubleType))
     if isinstance(own, T.MapType) or isinstance(other, T.MapType):
         return text_of(c, own)
     if own == other:
         return c
-    whole = lambda t: type(t) in _RANK
     if whole(own) and whole(other):
         return c.cast("long")
-    if isinstance(own, T.NumericType) and isinstance(other, T.NumericType) and not isinstance(own, T.DecimalType) and not isinstance(other, T.DecimalType):
+    if broken(own) and broken(other):
         return c.cast("double")
-    if isinstance(own, (T.DecimalType, *_RANK)) and isinstance(other, (T.DecimalType, *_RANK)):
-        return c.cast("decimal(38,18)")
-    if type(own) is type(other):
+    if exact(own) and exact(other):
+        # as many digits before and after the point as either side may have
+        digits = lambda t: (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (_WHOLE_DIGITS[type(t)], 0)
+        before, after = (max(x) for x in zip(digits(own), digits(other)))
+        return c.cast(T.DecimalType(before + after, after)) if before + after <= 38 else _plain(c.cast("string"))
+    if (exact(own) or broken(own)) and (exact(other) or broken(other)):
+        # a double cannot hold every long or decimal, so both are compared as texts without trailing zeros
+        if not broken(own):
+            return _plain(c.cast("string"))
+        fits = F.abs(c) < F.lit(1e18)
+        return F.when(c == 0, "0").when(fits & (c == F.floor(c)), c.cast("long").cast("string")).when(fits, _plain(c.cast("decimal(38,18)").cast("string"))).when(c.isNotNull(), F.coalesce(_plain(c.try_cast("decimal(38,0)").cast("string")), c.cast("string")))
+    nested = (T.ArrayType, T.StructType)
+    if type(own) is type(other) and not isinstance(own, nested):
         return c
     return text_of(c, own)
 
 
-def numbered(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """df with __n, the place of a row among those of its key, so that repeated keys pair off one to one."""
-    order = Window.partitionBy(*[column(k) for k in keys]).orderBy(row_hash(values, df.schema))
-    return df.withColumn("__n", F.row_number().over(order))
+def _plain(text: Column) -> Column:
+    """A decimal's text without zeros at the end of its fraction; 0 has no sign."""
+    cut = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(cut == "-0", "0").otherwise(cut)
+
+
+def pair_off(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], null_safe_keys: bool = True) -> DataFrame:
+    """As classify, with repeated keys as multisets: equal rows match first, the rest of a key pairs off one to one."""
+    packed = F.struct(*[column(c).alias(c) for c in values]) if values else F.struct(F.lit(1).alias("_"))
+    side = lambda df, source: df.select(*[column(k).alias(k) for k in keys], packed.alias("__s"), F.unhex(row_hash(values, df.schema)).alias("__h"), F.lit(source).alias("__a"))
+    both = side(a, True).unionByName(side(b, False))
+    names = [column(k) for k in keys]
+    alone = reduce(or_, [c.isNull() for c in names])
+    nameless, both = both.where(alone), both if null_safe_keys else both.where(~alone)
+    same = Window.partitionBy(*names, "__h")
+    of = lambda source: F.sum(F.when(F.col("__a") == source, 1).otherwise(0)).over(same)
+    place = F.row_number().over(Window.partitionBy(*names, "__h", "__a").orderBy("__h"))
+    both = both.withColumn("__spare", place > F.least(of(True), of(False)))
+    matched = both.where("__a and not __spare").select(*names, F.col("__s").alias("sa"), F.col("__s").alias("sb"))
+    spare = both.where("__spare").withColumn("__n", F.row_number().over(Window.partitionBy(*names, "__a").orderBy("__h")))
+    rest = spare.groupBy(*names, "__n").agg(F.first(F.when(F.col("__a"), F.col("__s")), True).alias("sa"), F.first(F.when(~F.col("__a"), F.col("__s")), True).alias("sb")).drop("__n")
+    rows = matched.unionByName(rest)
+    if not null_safe_keys:
+        rows = rows.unionByName(nameless.select(*names, F.when(F.col("__a"), F.col("__s")).alias("sa"), F.when(~F.col("__a"), F.col("__s")).alias("sb")))
+    wrong = mismatches(values)
+    status = F.when(F.col("sb").isNull(), "deleted").when(F.col("sa").isNull(), "added").when(F.size(wrong) > 0, "modified").otherwise("matched")
+    return rows.select(F.struct(*[column(k).alias(k) for k in keys]).alias("key"), status.alias("status"), F.when(status == "modified", wrong).otherwise(F.array().cast("array<string>")).alias("mismatched_columns"), F.col("sa").alias("source_values"), F.col("sb").alias("target_values"))
 
 
 def on_keys(keys: list[str], null_safe: bool = True) -> Column:
@@ -88,10 +130,9 @@ def mismatches(values: list[str]) -> Column:
 
 def classify(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], null_safe_keys: bool = True) -> DataFrame:
     """One full outer join. Presence comes from markers, not from keys, so null keys are placed rightly."""
-    extra = ["__n"] if "__n" in a.columns else []
-    pack = lambda df, s, m: df.select(*[column(k) for k in keys + extra], (F.struct(*[column(c).alias(c) for c in values]) if values else F.struct(F.lit(1).alias("_"))).alias(s), F.lit(True).alias(m))
+    pack = lambda df, s, m: df.select(*[column(k) for k in keys], (F.struct(*[column(c).alias(c) for c in values]) if values else F.struct(F.lit(1).alias("_"))).alias(s), F.lit(True).alias(m))
     left, right = pack(a, "sa", "ina").alias("a"), pack(b, "sb", "inb").alias("b")
-    joined = left.join(right, on_keys(keys + extra, null_safe_keys), "full_outer")
+    joined = left.join(right, on_keys(keys, null_safe_keys), "full_outer")
     wrong = mismatches(values)
     status = F.when(F.col("inb").isNull(), "deleted").when(F.col("ina").isNull(), "added").when(F.size(wrong) > 0, "modified").otherwise("matched")
     key = F.struct(*[F.when(F.col("ina").isNotNull(), F.col(f"a.`{k}`")).otherwise(F.col(f"b.`{k}`")).alias(k) for k in keys])
@@ -100,24 +141,51 @@ def classify(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], nul
 
 def hash_candidates(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], null_safe_keys: bool = True) -> DataFrame:
     """Keys with their status, from keys and hashes alone."""
-    extra = ["__n"] if "__n" in a.columns else []
-    narrow = lambda df, h: df.select(*[column(k) for k in keys + extra], row_hash(values, df.schema).alias(h))
+    narrow = lambda df, h: df.select(*[column(k) for k in keys], row_hash(values, df.schema).alias(h))
     left, right = narrow(a, "ha").alias("a"), narrow(b, "hb").alias("b")
-    joined = left.join(right, on_keys(keys + extra, null_safe_keys), "full_outer")
+    joined = left.join(right, on_keys(keys, null_safe_keys), "full_outer")
     status = F.when(F.col("hb").isNull(), "deleted").when(F.col("ha").isNull(), "added").when(F.col("ha") != F.col("hb"), "modified").otherwise("matched")
-    return joined.select(*[F.when(F.col("ha").isNotNull(), F.col(f"a.`{k}`")).otherwise(F.col(f"b.`{k}`")).alias(k) for k in keys + extra], status.alias("status"))
-
-
-def hash_classify(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], null_safe_keys: bool = True) -> DataFrame:
-    """As classify; values are fetched only for keys that the hashes show to differ."""
-    extra = ["__n"] if "__n" in a.columns else []
-    found = hash_candidates(a, b, keys, values, null_safe_keys)
-    matched = found.where("status = 'matched'")
+    return joined.select(*[F.when(F.col("ha").isNotNull(), F.col(f"a.`{k}`")).otherwise(F.col(f"b.`{k}`")).alias(k) for k in keys], status.alias("status"))
+
+
+def hash_groups(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Each key with status matched and the number of its rows (n), or with status modified if the multisets of its hashes differ. Counts are combined before the shuffles."""
+    narrow = lambda df, name, other: df.select(*[column(k).alias(k) for k in keys], row_hash(values, df.schema).alias("__h"), F.lit(1).alias(name), F.lit(0).alias(other))
+    both = narrow(a, "na", "nb").unionByName(narrow(b, "nb", "na"))
+    each = both.groupBy(*[column(k) for k in keys], "__h").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+    found = each.groupBy(*[column(k) for k in keys]).agg(F.bool_and(F.col("na") == F.col("nb")).alias("same"), F.sum("na").alias("n"))
+    return found.select(*[column(k) for k in keys], F.when(F.col("same"), "matched").otherwise("modified").alias("status"), "n")
+
+
+def with_keys(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose key is in wanted, null keys too."""
+    named = wanted.select(*[column(k).alias(f"__w{i}") for i, k in enumerate(keys)])
+    return df.join(named, reduce(and_, [F.col(f"__w{i}").eqNullSafe(column(k)) for i, k in enumerate(keys)]), "left_semi")
+
+
+def hash_classify(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], null_safe_keys: bool = True, multiset: bool = False) -> DataFrame:
+    """As classify or pair_off; values are read only for keys that the hashes show to differ, if these are few. A matched row has no values then."""
+    whole = pair_off if multiset else classify
+    found = stored(hash_groups(a, b, keys, values) if multiset else hash_candidates(a, b, keys, values, null_safe_keys), "hash-candidates")
+    wrong = found.where("status <> 'matched'")
+    if multiset and not null_safe_keys:
+        alone = reduce(or_, [column(k).isNull() for k in keys])
+        wrong, found = found.where((F.col("status") != "matched") | alone), found.where(~alone)
+    wrong = wrong.select(*[column(k) for k in keys]).distinct()
+    n = wrong.limit(BROADCAST_ROWS + 1).count()
+    if n > BROADCAST_ROWS:
+        return whole(a, b, keys, values, null_safe_keys)
     empty = "struct<" + ",".join(f"`{c}`:{a.schema[c].dataType.simpleString()}" for c in values) + ">" if values else "struct<_:int>"
+    matched = found.where("status = 'matched'")
+    if multiset:  # as many rows as the key has, in blocks, so that no array is long
+        block = 1000
+        matched = matched.withColumn("__b", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / block).cast("int"))))
+        matched = matched.withColumn("__i", F.explode(F.sequence(F.lit(1), F.least(F.lit(block), F.col("n") - F.col("__b") * block).cast("int"))))
     plain = matched.select(F.struct(*[column(k).alias(k) for k in keys]).alias("key"), "status", F.array().cast("array<string>").alias("mismatched_columns"), F.lit(None).cast(empty).alias("source_values"), F.lit(None).cast(empty).alias("target_values"))
-    wrong = found.where("status <> 'matched'").select(*[column(k).alias(f"__w{i}") for i, k in enumerate(keys + extra)])
-    hit = reduce(and_, [F.col(f"__w{i}").eqNullSafe(column(k)) for i, k in enumerate(keys + extra)])
-    return plain.unionByName(classify(a.join(wrong, hit, "left_semi"), b.join(wrong, hit, "left_semi"), keys, values, null_safe_keys))
+    if not n:
+        return plain
+    wrong = F.broadcast(wrong)
+    return plain.unionByName(whole(with_keys(a, wrong, keys), with_keys(b, wrong, keys), keys, values, null_safe_keys))
 
 
 class TableDiff:
@@ -147,20 +215,21 @@ class TableDiff:
         try:
             a, b, keys, values = aligned(self.source, self.target, self.keys, self.target_keys)
             run.keys, run.common_columns = keys, keys + values
-            if self.duplicates == "multiset":
-                a, b = numbered(a, keys, values), numbered(b, keys, values)
-            elif self.duplicates == "error":
+            multiset = self.duplicates == "multiset"
+            if self.duplicates == "error":
                 for name, df in zip(self.names, (a, b)):
                     if not df.groupBy(*[column(k) for k in keys]).count().where("count > 1").isEmpty():
                         raise ValueError(f"{name} has duplicate keys")
             if algorithm is Algorithm.BISECTION:
                 from .bisect import bisect
 
-                run.rows, run.metadata = bisect(a, b, keys, values, self.segment_key or keys[0], null_safe_keys=self.null_safe, **options)
+                run.rows, run.metadata = bisect(a, b, keys, values, self.segment_key or keys[0], null_safe_keys=self.null_safe, multiset=multiset, **options)
+                if resolve(self.segment_key or keys[0], self.source.columns) not in keys:
+                    run.warnings.append(f"segment key {self.segment_key} is not a key: a row whose {self.segment_key} changes may be in another segment of the target")
             elif algorithm is Algorithm.HASH_DIFF:
-                run.rows = hash_classify(a, b, keys, values, self.null_safe)
+                run.rows = hash_classify(a, b, keys, values, self.null_safe, multiset)
             else:
-                run.rows = classify(a, b, keys, values, self.null_safe)
+                run.rows = (pair_off if multiset else classify)(a, b, keys, values, self.null_safe)
         except ValueError as e:
             run.error = str(e)
         run.execution_time_seconds = time.time() - began

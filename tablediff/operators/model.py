@@ -47,6 +47,7 @@ class DiffRun:
     common_columns: list[str] = field(default_factory=list)
     schema_differences: dict = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
+    warnings: list[str] = field(default_factory=list)
     error: str | None = None
     execution_time_seconds: float | None = None
 
@@ -89,5 +90,7 @@ class DiffRun:
 
     def detail(self, limit: int = MAX_DETAIL_ROWS) -> DataFrame:
         """The first differences by key: deleted, then added, then modified."""
+        if limit > ROW_LIMIT_WARNING:
+            self.warnings.append(f"{limit} rows of detail were asked for; over {ROW_LIMIT_WARNING} are better read from differences")
         order = F.when(F.col("status") == "deleted", 0).when(F.col("status") == "added", 1).otherwise(2)
         return self.differences.orderBy(order, "key").limit(limit)

@@ -66,7 +66,3 @@ def key_uniqueness(df: DataFrame, keys: list[str]) -> DataFrame:
     named = [resolve(k, df.columns) for k in keys]
     grouped = df.groupBy(*[column(k) for k in named]).agg(F.count("*").alias("n"))
     return grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_keys")).withColumn("is_unique", F.col("rows") == F.col("distinct_keys"))
-
-
-def is_map(kind: T.DataType) -> bool:
-    return isinstance(kind, T.MapType)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from ..operators import bisect as B
 from ..operators import diff as D
 from ..operators import schema as S
 from ..operators.sample import sample
+from ..scratch import shared_folder
+from ..sources.config import Config
+from ..sources.registry import open_source
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -202,11 +208,24 @@ def multiset_diff(spark, sf_dir):
     return run.rows.groupBy("key").agg(n("matched", "modified").alias("paired"), n("deleted").alias("deleted"), n("added").alias("added")).select("key.*", "paired", "deleted", "added")
 
 
-@register("select coalesce(x.k, y.k) as o_orderkey, count(*) as rows_of_key, case when y.m is null then 'deleted' when x.m is null then 'added' when x.o_orderstatus is distinct from y.o_orderstatus then 'modified' else 'matched' end as status from (select nullif(o_orderkey, 7) as k, o_orderstatus, 1 as m from a where o_orderkey < 500) x full outer join (select nullif(o_orderkey, 7) as k, o_orderstatus, 1 as m from b where o_orderkey < 400) y on x.k is not distinct from y.k group by 1, 3")
+CLASS_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+_GROUPED = "select {c}, count(*) as n from ({t}) group by {c}"
+
+
+@register(f"""select l_orderkey, l_linenumber, equal as matched, least(na, nb) - equal as modified, greatest(na - nb, 0) as deleted, greatest(nb - na, 0) as added from (
+ select coalesce(x.l_orderkey, y.l_orderkey) as l_orderkey, coalesce(x.l_linenumber, y.l_linenumber) as l_linenumber, cast(sum(least(coalesce(x.n, 0), coalesce(y.n, 0))) as bigint) as equal, cast(coalesce(sum(x.n), 0) as bigint) as na, cast(coalesce(sum(y.n), 0) as bigint) as nb
+ from ({_GROUPED.format(c=', '.join(CLASS_COLUMNS), t='select * from lineitem')}) x full outer join ({_GROUPED.format(c=', '.join(CLASS_COLUMNS), t=LINES.format(lineitem='lineitem'))}) y on {' and '.join(f'x.{c} = y.{c}' for c in CLASS_COLUMNS)} group by 1, 2)""")
+def multiset_classes(spark, sf_dir):
+    run = D.TableDiff(*_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"]).compare("JOIN_DIFF")
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    return run.rows.groupBy("key").agg(n("matched"), n("modified"), n("deleted"), n("added")).select("key.*", "matched", "modified", "deleted", "added")
+
+
+@register("select coalesce(x.k, y.k) as o_orderkey, count(*) as rows_of_key, case when y.m is null then 'deleted' when x.m is null then 'added' when x.o_orderstatus is distinct from y.o_orderstatus then 'modified' else 'matched' end as status from (select nullif(o_orderkey, 7) as k, o_orderstatus, 1 as m from a) x full outer join (select nullif(o_orderkey, 7) as k, o_orderstatus, 1 as m from b) y on x.k is not distinct from y.k group by 1, 3")
 def null_key_diff(spark, sf_dir):
-    cut = lambda df, n: df.where(f"o_orderkey < {n}").select(F.expr("nullif(o_orderkey, 7)").alias("o_orderkey"), "o_orderstatus")
+    cut = lambda df: df.select(F.expr("nullif(o_orderkey, 7)").alias("o_orderkey"), "o_orderstatus")
     a, b = sides(spark, sf_dir)
-    return flat(D.TableDiff(cut(a, 500), cut(b, 400), KEY).compare("JOIN_DIFF").rows).groupBy("o_orderkey", "status").agg(F.count("*").alias("rows_of_key"))
+    return flat(D.TableDiff(cut(a), cut(b), KEY).compare("JOIN_DIFF").rows).groupBy("o_orderkey", "status").agg(F.count("*").alias("rows_of_key"))
 
 
 @register("select o_orderkey, md5('V' || length(cast(o_orderkey as varchar)) || ':' || cast(o_orderkey as varchar) || coalesce('V' || length(o_orderpriority) || ':' || o_orderpriority, 'N')) as row_hash from b")
@@ -377,17 +396,71 @@ def sample_shuffled(spark, sf_dir):
     return sample(table(spark, sf_dir, "orders"), 50, "mysql", seed=1)
 
 
-@register()
-def latest_history_roundtrip(spark, sf_dir):
-    import tempfile
+DETAIL = f"select o_orderkey, status from ({CLASSIFIED}) where status <> 'matched' order by case status when 'deleted' then 0 when 'added' then 1 else 2 end, o_orderkey limit 100"
 
+
+@register(f"""select status, md5('{{"o_orderkey":' || o_orderkey || '}}') as key_hash, '{{"o_orderkey":' || o_orderkey || '}}' as key_values from ({DETAIL})""")
+def latest_history_roundtrip(spark, sf_dir):
     from ..history import History
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    history = History(spark, f"{folder}/history-{sf_dir.replace('/', '_')}")
+    history = History(spark, f"{shared_folder(spark)}/history-{uuid4().hex}")
     job = history.job("orders", "orders_target", KEY)
     history.save(job, _compare(spark, sf_dir, "JOIN_DIFF"), save_original_values=True)
-    return history.read("diff_row").select("status", "key_hash", "key_values").distinct()
+    return history.read("diff_row").select("status", "key_hash", "key_values")
+
+
+@register("select 'JOIN_DIFF' as algorithm, cast(count(*) filter (status = 'added') as bigint) as added_count, cast(count(*) filter (status = 'deleted') as bigint) as deleted_count, cast(count(*) filter (status = 'modified') as bigint) as modified_count, cast(count(*) filter (status = 'matched') as bigint) as matched_count, false as match from (" + CLASSIFIED + ")")
+def history_results(spark, sf_dir):
+    from ..history import History
+
+    history = History(spark, f"{shared_folder(spark)}/history-{uuid4().hex}")
+    job = history.job("orders", "orders_target", KEY)
+    for day in (1, 2, 3):
+        history.save(job, _compare(spark, sf_dir, "JOIN_DIFF"), run_at=datetime(2024, 1, day, tzinfo=timezone.utc))
+    history.delete_old_runs(job, 1)
+    return history.list_runs(job).join(history.read("diff_result"), ["run_id", "job_id"]).select("algorithm", "added_count", "deleted_count", "modified_count", "matched_count", "match")
+
+
+def _csv(spark, sf_dir, name, sep):
+    path = f"{shared_folder(spark)}/csv-{uuid4().hex}/{name}.csv"
+    table(spark, sf_dir, name).write.options(sep=sep, header=True).csv(path)
+    return open_source(spark, Config("csv", path=path))
+
+
+@register("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+def csv_source(spark, sf_dir):
+    # the separator is found, and the types: whole numbers come back as long
+    return _csv(spark, sf_dir, "customer", ";").table().withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+
+
+@register("select coalesce(x.c_custkey, y.c_custkey) as c_custkey, case when y.c_custkey is null then 'deleted' when x.c_custkey is null then 'added' when x.c_acctbal is distinct from y.c_acctbal then 'modified' else 'matched' end as status from customer x full outer join (select c_custkey, case when c_custkey % 9 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal from customer where c_custkey % 31 <> 0) y on x.c_custkey = y.c_custkey")
+def csv_against_parquet(spark, sf_dir):
+    a = _csv(spark, sf_dir, "customer", "|").table()
+    b = open_source(spark, Config("parquet", path=f"{sf_dir}/customer.parquet")).table().where("c_custkey % 31 <> 0")
+    return flat(D.TableDiff(a, b.withColumn("c_acctbal", F.expr("if(c_custkey % 9 = 0, c_acctbal + 1, c_acctbal)")), ["c_custkey"], duplicates="fanout").compare("CROSS_DB_DIFF").rows)
+
+
+@register("select n_name, cast(count(*) as bigint) as customers from customer join nation on c_nationkey = n_nationkey where c_acctbal > 100 group by n_name")
+def source_sql(spark, sf_dir):
+    source = open_source(spark, Config("parquet", path=sf_dir))
+    return source.query("select n_name, count(*) as customers from {customer} join {nation} on c_nationkey = n_nationkey where c_acctbal > :least group by n_name", {"least": 100})
+
+
+_INFORMED = ("nation", "orders", "supplier")
+
+
+@register(" union all ".join(f"select '{t}' as table_name, (select count(*) from {t}) as row_count, (select count(*) from information_schema.columns where table_name = '{t}') as column_count" for t in _INFORMED))
+def source_metadata(spark, sf_dir):
+    source = open_source(spark, Config("parquet", path=sf_dir))
+    found = [source.metadata(t) for t in source.list_tables() if t in _INFORMED]
+    return spark.createDataFrame([(x.name, x.row_count, len(x.columns)) for x in found], "table_name string, row_count long, column_count long")
+
+
+@register("select o_orderpriority as native_value, cast(count(*) as bigint) as rows from orders group by 1")
+def catalog_source(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("tablediff_orders")
+    with open_source(spark, Config("table")) as source:
+        return source.table("tablediff_orders").groupBy(F.col("o_orderpriority").alias("native_value")).agg(F.count("*").alias("rows"))
 
 
 @register("select a.o_orderkey, '0x' || lower(substr(md5(cast(a.o_orderkey as varchar)), 1, 15)) as digits, cast('0x' || substr(md5(cast(a.o_orderkey as varchar)), 1, 15) as bigint) as short_hash from a")

@@ -28,7 +28,7 @@ ENVIRONMENT = {
     "databricks": {"host": "DATABRICKS_HOST", "access_token": "DATABRICKS_TOKEN", "http_path": "DATABRICKS_HTTP_PATH"},
 }
 OPTIONAL = {
-    "snowflake": {"schema": ("SNOWFLAKE_SCHEMA", "PUBLIC"), "warehouse": ("SNOWFLAKE_WAREHOUSE", "COMPUTE_WH"), "role": ("SNOWFLAKE_ROLE", "ACCOUNTADMIN"), "authenticator": ("SNOWFLAKE_AUTHENTICATOR", "snowflake")},
+    "snowflake": {"schema": ("SNOWFLAKE_SCHEMA", "PUBLIC"), "warehouse": ("SNOWFLAKE_WAREHOUSE", "COMPUTE_WH"), "role": ("SNOWFLAKE_ROLE", None), "authenticator": ("SNOWFLAKE_AUTHENTICATOR", "snowflake")},
     "postgresql": {"port": ("POSTGRES_PORT", "5432"), "schema": ("POSTGRES_SCHEMA", "public"), "ssl_mode": ("POSTGRES_SSL_MODE", "prefer")},
     "mysql": {"port": ("MYSQL_PORT", "3306"), "charset": ("MYSQL_CHARSET", "utf8mb4")},
     "bigquery": {"location": ("BIGQUERY_LOCATION", "US")},
@@ -57,24 +57,21 @@ class Config:
             raise ValueError(f"Unsupported data source: {self.system}")
 
     def validate(self) -> Config:
-        missing = []
-        for name in REQUIRED[self.system]:
-            value = getattr(self, name)
-            if value is None:
-                missing.append(name)
-            elif isinstance(value, str) and not value.strip():
-                missing.append(f"{name} (empty string)")
-        invalid = []
-        if self.port is not None and (not isinstance(self.port, int) or isinstance(self.port, bool) or not 1 <= self.port <= 65535):
-            invalid.append("port (must be integer between 1-65535)")
-        if self.host and " " in self.host.strip():
-            invalid.append("host (contains spaces)")
-        told = [f"{label}: {names}" for label, names in (("Missing required parameters", missing), ("Invalid parameters", invalid)) if names]
-        if told:
-            raise ValueError("; ".join(told))
+        """This, if every check of CHECKS holds; otherwise an error that tells of all that fail."""
+        found = [f"{self.system} needs {name}" for name in REQUIRED[self.system] if not str(getattr(self, name) or "").strip()]
+        found += [f"{name} {said}: {value!r}" for name, wrong, said in CHECKS if (value := getattr(self, name)) is not None and wrong(value)]
+        if found:
+            raise ValueError(", ".join(found))
         return self
 
 
+#: What a setting must not be, and how that is told.
+CHECKS = (
+    ("port", lambda v: isinstance(v, bool) or not isinstance(v, int) or v not in range(1, 65536), "is no port number"),
+    ("host", lambda v: len(v.split()) > 1, "holds white space"),
+)
+
+
 def missing_variables(system: str, env: Mapping = os.environ) -> list[str]:
     return [v for k, v in ENVIRONMENT[ALIASES.get(system, system)].items() if not env.get(v) and not (system == "bigquery" and k == "credentials_path")]
 
@@ -139,7 +136,7 @@ def reader_options(config: Config, table: str | None = None, query: str | None =
     if system == "jdbc":
         return "jdbc", {"url": config.url, **login, **what, **split}
     if system == "snowflake":
-        options = {"sfURL": f"{snowflake_account(config.host)}.snowflakecomputing.com", "sfUser": config.username, "sfPassword": config.password, "sfDatabase": config.database, "sfSchema": config.schema or "PUBLIC", "sfWarehouse": x.get("warehouse"), "sfRole": x.get("role", "PUBLIC")}
+        options = {"sfURL": f"{snowflake_account(config.host)}.snowflakecomputing.com", "sfUser": config.username, "sfPassword": config.password, "sfDatabase": config.database, "sfSchema": config.schema or "PUBLIC", "sfWarehouse": x.get("warehouse"), "sfRole": x.get("role")}
         return "snowflake", {k: v for k, v in options.items() if v is not None} | what
     if system == "bigquery":
         named = {"query": query} if query else {"table": f"{config.database}.{config.schema}.{table}" if config.schema and table and "." not in table else table}

@@ -6,17 +6,18 @@ import csv
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from string import Formatter
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import split_name
+from ..functions.names import IDENTIFIER_CASE, check_identifier, quote_identifier, split_name, sql_literal
 from ..functions.types import from_spark, map_type
 from ..metrics import Recorder, shared_recorder
-from ..operators.sample import sample
+from ..operators.sample import sample, sampling_sql
 from ..operators.schema import mark_primary_keys
-from .config import Config, reader_options
+from .config import DEFAULT_PORTS, Config, reader_options
 
 # File endings, dialect defaults and null marks of delimited files.
 PARQUET_ENDINGS, CSV_ENDINGS = (".parquet", ".pq"), (".csv", ".tsv", ".txt")
@@ -188,6 +189,12 @@ class FileSource(Source):
     def table(self, name: str | None = None) -> DataFrame:
         return self.attempt("native", lambda: self.load(self.chosen(name)))
 
+    def query(self, sql: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
+        """As Source.query; {name} for a table of this source needs no frame."""
+        named = {f for _, f, _, _ in Formatter().parse(sql) if f}
+        own = {t: self.table(t) for t in self.list_tables() if t in named - frames.keys()}
+        return super().query(sql, args, **own, **frames)
+
     def load(self, files: list[str]) -> DataFrame:
         raise NotImplementedError
 
@@ -216,6 +223,13 @@ class CsvSource(FileSource):
         except csv.Error:
             return CSV_DEFAULTS | own
 
+    def spans_lines(self, options: dict, files: list[str]) -> bool:
+        """Whether a quoted value goes on over a line end, as the caller says or else as an odd number of quotes in a line tells; only then is a file read by one task."""
+        if "multi_line" in self.config.extra:
+            return bool(self.config.extra["multi_line"])
+        quotes = F.length("value") - F.length(F.replace("value", F.lit(options["quote"]), F.lit("")))
+        return not self.spark.read.option("encoding", options["encoding"]).text(files).where(quotes % 2 == 1).isEmpty()
+
     def load(self, files: list[str]) -> DataFrame:
         """Each file by its own dialect, types inferred from all rows, null marks as nulls."""
         groups: dict[tuple, list[str]] = {}
@@ -224,7 +238,7 @@ class CsvSource(FileSource):
         marks = tuple(self.config.extra.get("na_values", NULL_MARKS))
         parts = []
         for options, own in groups.items():
-            raw = self.spark.read.options(**dict(options), multiLine=True, escape='"').csv(own)
+            raw = self.spark.read.options(**dict(options), multiLine=self.spans_lines(dict(options), own), escape='"').csv(own)
             clean = raw.select(*[F.when(F.trim(F.col(f"`{c}`")).isin(*marks), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
             parts.append(infer_types(clean))
         out = parts[0]
@@ -234,13 +248,15 @@ class CsvSource(FileSource):
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns as the narrowest of long, double, boolean, date or timestamp that holds all their values: one aggregation for all columns."""
+    """Text columns as the narrowest of long, double, boolean, date or timestamp that holds all their values, text where numbers have leading zeros: one aggregation for all columns."""
     kinds = ("bigint", "double", "boolean", "date", "timestamp")
     tests = []
     for i, c in enumerate(df.columns):
         value = F.col(f"`{c}`")
         for k in kinds:
             ok = value.try_cast(k).isNotNull()
+            if k in ("bigint", "double"):  # 007 and 7 are not one id
+                ok = ok & ~value.rlike(r"^\s*[+-]?0\d")
             if k == "boolean":
                 ok = F.lower(value).isin("true", "false")
             elif k == "date":
@@ -271,15 +287,66 @@ class CatalogSource(Source):
 class RemoteSource(Source):
     """A system that Spark reads through a connector or JDBC driver. Filters, columns and limits are pushed to it by the reader."""
 
-    def _load(self, **what) -> DataFrame:
+    def _load(self, split: dict | None = None, **what) -> DataFrame:
         form, options = reader_options(self.config, **what)
-        return self.attempt(form, lambda: self.spark.read.format(form).options(**options).load())
+        options |= split or {}
+        ways = [(form, lambda: self.spark.read.format(form).options(**options).load())]
+        if form != "jdbc" and self.config.url:  # a connector of its own first, then the driver
+            also = reader_options(Config("jdbc", url=self.config.url, username=self.config.username, password=self.config.password, extra=self.config.extra), **what)[1]
+            ways.append(("jdbc", lambda: self.spark.read.format("jdbc").options(**also).load()))
+        return self.first_that_works(ways) if len(ways) > 1 else self.attempt(*ways[0])
 
     def table(self, name: str) -> DataFrame:
-        df = self._load(table=name)
+        """The table, read in parts by its key where bounds are known: those of the settings, else the least and greatest value of a single whole-number key."""
         keys = self.config.extra.get("primary_keys", {}).get(name)
+        df = self._load(table=name, split=self._split(name, keys))
         return mark_primary_keys(df, keys) if keys else df
 
+    def _named(self, name: str) -> str:
+        """A checked name, quoted as the system quotes."""
+        return quote_identifier(name, IDENTIFIER_CASE.get(self.config.system, "preserve"), "`" if self.config.system in ("mysql", "bigquery", "databricks") else '"')
+
+    def _split(self, name: str, keys: list[str] | None) -> dict:
+        parts = int(self.config.extra.get("parts", 0))
+        if parts < 2 or not keys or len(keys) != 1 or "partitionColumn" in self.config.extra:
+            return {}
+        key = check_identifier(keys[0])
+        low, high = self.remote_query(f"select min({self._named(key)}) as low, max({self._named(key)}) as high from {self._named(name)}").first()
+        if not isinstance(low, int) or not isinstance(high, int):
+            return {}
+        return {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+    def sample(self, name: str, n: int = 100, seed: int | None = None) -> DataFrame:
+        """Drawn by the system itself where it has a way, so that only the sample is sent."""
+        if self.config.system in DEFAULT_PORTS or self.config.system in ("snowflake", "bigquery", "databricks"):
+            return self.remote_query(sampling_sql(self._named(name), n, self.config.system))
+        return super().sample(name, n, seed)
+
+    def metadata(self, name: str, count: bool = True) -> TableInfo:
+        """Columns, keys, indexes, rows and size from the system's own catalog, where it has one; else what the reader shows."""
+        if self.config.system not in CATALOG_SQL:
+            df = self.table(name)
+            schema, table = split_name(name)
+            return TableInfo(table, schema, columns_of(df), df.count() if count else None)
+        schema, table = split_name(check_identifier(name))
+        schema = schema or self.config.schema or ("public" if self.config.system == "postgresql" else self.config.database)
+        ask = lambda what: [{k.lower(): v for k, v in r.asDict().items()} for r in self._information(CATALOG_SQL[self.config.system][what].format(schema=sql_literal(schema), table=sql_literal(table)))]
+        keys = {r["column_name"] for r in ask("keys")}
+        indexes: dict[str, list[str]] = {}
+        for r in sorted(ask("indexes"), key=lambda r: (r["index_name"], r["seq_in_index"])):
+            indexes.setdefault(r["index_name"], []).append(r["column_name"])
+        size = ask("size")
+        rows = self.remote_query(f"select count(*) as n from {self._named(name)}").first()[0] if count else (size[0]["row_estimate"] if size else None)
+        return TableInfo(table, schema, columns_from_catalog(self.config.system, ask("columns"), keys), rows, size[0]["size_bytes"] if size else None, indexes=indexes)
+
+    def hashes(self, name: str, keys: list[str], columns: list[str]) -> DataFrame:
+        """Keys and a hash of the columns, made by the system itself, so that no other value is sent. Null and empty differ, and values cannot run together."""
+        if self.config.system not in HASH_SQL:
+            raise NotImplementedError(f"{self.config.system} has no row hash here")
+        text, digest = HASH_SQL[self.config.system]
+        parts = ", ".join(f"coalesce(concat('V', char_length({text.format(c)}), ':', {text.format(c)}), 'N')" for c in map(self._named, columns))
+        return self.remote_query(f"select {', '.join(map(self._named, keys))}, {digest.format(f'concat({parts})')} as row_hash from {self._named(name)}")
+
     def remote_query(self, sql: str) -> DataFrame:
         return self._load(query=sql)
 
@@ -288,7 +355,7 @@ class RemoteSource(Source):
 
     def list_tables(self, schema: str | None = None) -> list[str]:
         own = schema or self.config.schema or self.config.database
-        return sorted(r[0] for r in self._information(f"select table_name from information_schema.tables where table_schema = '{own}' and table_type = 'BASE TABLE'"))
+        return sorted(r[0] for r in self._information(f"select table_name from information_schema.tables where table_schema = {sql_literal(own)} and table_type = 'BASE TABLE'"))
 
     def list_schemas(self) -> list[str]:
         return sorted(r[0] for r in self._information("select schema_name from information_schema.schemata") if r[0].lower() not in SYSTEM_SCHEMAS)
@@ -305,6 +372,29 @@ def columns_from_catalog(system: str, rows: list[dict], keys: set[str] = frozens
     return out
 
 
-def indexes_from_catalog(rows: DataFrame) -> DataFrame:
-    """index_name and its columns in order, from rows of (index_name, seq_in_index, column_name)."""
-    return rows.groupBy("index_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq_in_index", "column_name"))), lambda x: x["column_name"]).alias("columns"))
+#: By system: how a value becomes text, and how a text is hashed.
+HASH_SQL = {
+    "postgresql": ("cast({0} as text)", "md5({0})"),
+    "mysql": ("cast({0} as char)", "md5({0})"),
+    "databricks": ("cast({0} as string)", "md5({0})"),
+    "snowflake": ("cast({0} as varchar)", "md5({0})"),
+    "bigquery": ("cast({0} as string)", "to_hex(md5({0}))"),
+}
+
+_COLUMNS = "select column_name, data_type, is_nullable, character_maximum_length, numeric_precision, numeric_scale, column_default from information_schema.columns where table_schema = {schema} and table_name = {table} order by ordinal_position"
+_KEYS = "select k.column_name from information_schema.table_constraints c join information_schema.key_column_usage k on k.constraint_name = c.constraint_name and k.table_schema = c.table_schema and k.table_name = c.table_name where c.constraint_type = 'PRIMARY KEY' and c.table_schema = {schema} and c.table_name = {table}"
+#: By system: what its catalog knows of a table.
+CATALOG_SQL = {
+    "postgresql": {
+        "columns": _COLUMNS,
+        "keys": _KEYS,
+        "indexes": "select i.relname as index_name, p.n as seq_in_index, a.attname as column_name from pg_index x join pg_class i on i.oid = x.indexrelid join pg_class t on t.oid = x.indrelid join pg_namespace s on s.oid = t.relnamespace cross join lateral unnest(x.indkey) with ordinality as p(attnum, n) join pg_attribute a on a.attrelid = t.oid and a.attnum = p.attnum where s.nspname = {schema} and t.relname = {table}",
+        "size": "select cast(t.reltuples as bigint) as row_estimate, pg_total_relation_size(t.oid) as size_bytes from pg_class t join pg_namespace s on s.oid = t.relnamespace where s.nspname = {schema} and t.relname = {table}",
+    },
+    "mysql": {
+        "columns": _COLUMNS,
+        "keys": _KEYS,
+        "indexes": "select index_name, seq_in_index, column_name from information_schema.statistics where table_schema = {schema} and table_name = {table}",
+        "size": "select table_rows as row_estimate, data_length + index_length as size_bytes from information_schema.tables where table_schema = {schema} and table_name = {table}",
+    },
+}

@@ -33,6 +33,9 @@ KV, KVW = "k int, v string", "k int, v string, w string"
     ([(None, "x")], [(None, "x")], KV, []),
     ([(1, "x"), (1, "x")], [(1, "x")], KV, [((1,), "deleted", ())]),
     ([(1, "x")], [(1, "x"), (2, "y")], KV, [((2,), "added", ())]),
+    ([(1, "A"), (1, "B")], [(1, "A")], KV, [((1,), "deleted", ())]),
+    ([(1, "B"), (1, "C"), (1, None)], [(1, None), (1, "A"), (1, "C")], KV, [((1,), "modified", ("v",))]),
+    ([(None, "x"), (None, "y")], [(None, "y"), (None, "y")], KV, [((None,), "modified", ("v",))]),
 ])
 def test_edge_rows(spark, algorithm, a, b, schema, expected):
     assert outcome(compare(spark, a, b, schema, algorithm)) == expected
@@ -74,7 +77,7 @@ def test_maps_and_empty_sides(spark):
     assert (run.summary.added, run.summary.source_rows, run.summary.target_rows) == (1, 0, 1)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(0, 60), st.sampled_from(["a", "b", None, ""]), max_size=40), st.dictionaries(st.integers(0, 60), st.sampled_from(["a", "b", None, "", "gone"]), max_size=15))
 def test_edits_are_found_by_every_strategy(spark, rows, edits):
     target = {k: v for k, v in {**rows, **edits}.items() if v != "gone"}
@@ -86,6 +89,94 @@ def test_edits_are_found_by_every_strategy(spark, rows, edits):
         assert run.summary.matched == len(rows.keys() & target.keys()) - sum(s == "modified" for _, s, _ in expected)
 
 
+def brute_multiset(a, b):
+    """status counts by key: equal rows first, then one to one."""
+    from collections import Counter
+
+    out = Counter()
+    for k in {x for x, _ in a} | {x for x, _ in b}:
+        x, y = Counter(v for i, v in a if i == k), Counter(v for i, v in b if i == k)
+        equal, left, right = (x & y).total(), (x - y).total(), (y - x).total()
+        out.update({(k, "matched"): equal, (k, "modified"): min(left, right), (k, "deleted"): max(left - right, 0), (k, "added"): max(right - left, 0)})
+    return +out
+
+
+ROWS = st.lists(st.tuples(st.sampled_from([None, 1, 2, 3, 40, 41, 99]), st.sampled_from(["a", "b", "", None])), max_size=30)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(ROWS, ROWS)
+def test_multisets_by_every_strategy(spark, rows, target):
+    from collections import Counter
+
+    a, b = (spark.createDataFrame(x, KV) for x in (rows, target))
+    for algorithm, options in [*((x, {}) for x in ALGORITHMS), ("BISECTION", {"mode": "range", "threshold": 3})]:
+        run = TableDiff(a, b, "k").compare(algorithm, **options)
+        found = Counter((r.key.k, r.status) for r in run.rows.collect())
+        want = brute_multiset(rows, target)
+        if algorithm == "BISECTION":  # rows of equal segments are counted only
+            found, want = (Counter({k: n for k, n in x.items() if k[1] != "matched"}) for x in (found, want))
+        assert found == want, (algorithm, options)
+        s = run.summary
+        assert (s.source_rows, s.target_rows, s.matched) == (len(rows), len(target), sum(n for (_, k), n in brute_multiset(rows, target).items() if k == "matched")), (algorithm, options)
+
+
+@pytest.mark.parametrize(("a", "b", "kind_a", "kind_b", "equal"), [
+    (2**53 + 1, float(2**53), "long", "double", False), (2**53, float(2**53), "long", "double", True), (-7, -7.0, "int", "double", True), (7, 7.5, "int", "double", False), (0, -0.0, "int", "double", True),
+    ("1.50", 1.5, "decimal(5,2)", "double", True), ("0.10", 0.1, "decimal(5,2)", "double", True), ("9007199254740993", 9007199254740992.0, "decimal(20,0)", "double", False),
+    ("12345678901234567890123456", "12345678901234567890123456.000", "decimal(30,0)", "decimal(38,3)", True), ("12345678901234567890123456", "12345678901234567890123457.000", "decimal(30,0)", "decimal(38,3)", False),
+    ("5.000000000000000000", 5, "decimal(38,18)", "long", True), ("0.00", 0, "decimal(38,30)", "long", True), ("1.25", "1.250", "decimal(3,2)", "decimal(4,3)", True), (10, "10", "long", "decimal(38,0)", True),
+    (1e300, 10, "double", "long", False), (math.nan, 1, "double", "long", False), (3, 3, "tinyint", "bigint", True),
+])
+def test_values_of_different_types(spark, a, b, kind_a, kind_b, equal):
+    from decimal import Decimal
+
+    make = lambda v, kind: spark.createDataFrame([(1, Decimal(v) if isinstance(v, str) else v)], f"k int, v {kind}")
+    for x, y in ((make(a, kind_a), make(b, kind_b)), (make(b, kind_b), make(a, kind_a))):
+        for algorithm in ("JOIN_DIFF", "HASH_DIFF"):
+            assert TableDiff(x, y, "k").compare(algorithm).match == equal, (algorithm, x.schema, y.schema)
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "timestamp_ntz", "double", "decimal(12,2)", "binary", "boolean"])
+def test_ranges_of_any_key(spark, kind):
+    from pyspark.sql import functions as F
+
+    number = F.col("id").cast("int")
+    key = {"string": F.concat(F.lit("order-"), F.lpad(number.cast("string"), 5, "0")), "date": F.date_add(F.lit("2020-01-01"), number), "double": number / 7, "binary": F.col("id").cast("string").cast("binary"), "boolean": F.col("id") % 2 == 0}.get(kind, F.timestamp_seconds("id").cast(kind) if kind.startswith("time") else number.cast(kind))
+    a = spark.range(3000).select(key.alias("k"), "id", F.lit("x").alias("v"))
+    b = a.where("id <> 17").withColumn("v", F.when(F.col("id") == 2500, "y").otherwise(F.col("v")))
+    run = TableDiff(a, b, ["k", "id"]).compare("BISECTION", mode="range", threshold=50)
+    assert sorted((r.key.id, r.status) for r in run.differences.collect()) == [(17, "deleted"), (2500, "modified")]
+    s = run.summary
+    assert (s.source_rows, s.target_rows, s.matched) == (3000, 2999, 2998)
+    if kind not in ("boolean",):
+        assert run.metadata["depth_reached"] > 1 and run.rows.count() < 400
+
+
+def test_segments_take_few_jobs_and_keep_nothing(spark):
+    from pyspark.sql import functions as F
+
+    a = spark.range(40_000).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    b = a.withColumn("v", F.when(F.col("k") % 1000 == 0, 1).otherwise(0))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("ranges"))
+    spark.sparkContext.setJobGroup("ranges", "ranges")
+    try:
+        run = TableDiff(a, b, "k").compare("BISECTION", mode="range", threshold=100)
+        assert jobs() <= 6 * (run.metadata["depth_reached"] + 1) and run.metadata["segments_differing"] >= 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert run.differences.count() == 40
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_warnings(spark):
+    a = spark.createDataFrame([(1, "x", 5)], "id int, v string, s int")
+    run = TableDiff(a, a, "id", segment_key="s").compare()
+    assert run.match and "segment key" in run.warnings[0]
+    run.detail(200_000)
+    assert len(run.warnings) == 2 and not TableDiff(a, a, "id", segment_key="id").compare().warnings
+
+
 def test_rows_that_change_segment_are_not_reported(spark):
     a, b = spark.range(1, 33).withColumnRenamed("id", "k"), spark.range(2, 33).withColumnRenamed("id", "k")
     assert outcome(TableDiff(a, b, "k", duplicates="fanout").compare("BISECTION")) == [((1,), "deleted", ())]

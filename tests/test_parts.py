@@ -5,14 +5,14 @@ import pytest
 from tablediff import TableDiff
 from tablediff.cli import main
 from tablediff.functions import names, types
-from tablediff.functions.hashing import dialect_row_hash, dialect_segment_hash, key_hash
+from tablediff.functions.hashing import key_hash
 from tablediff.history import History
 from tablediff.metrics import Recorder, connection_statistics, method_comparison, query_statistics, top_errors
 from tablediff.operators.sample import percentage, sampling_sql
 from tablediff.operators.schema import check_schema, compare_schemas, mark_primary_keys, primary_keys
 from tablediff.sources.config import Config, bigquery_credentials, from_environment, reader_options, snowflake_account
 from tablediff.sources.registry import Sources, open_source
-from tablediff.sources.source import columns_from_catalog, indexes_from_catalog
+from tablediff.sources.source import columns_from_catalog
 
 
 def test_names():
@@ -22,7 +22,6 @@ def test_names():
             names.check_identifier(bad)
     assert [names.sql_literal(x) for x in (None, True, 3, "o'k")] == ["NULL", "TRUE", "3", "'o''k'"]
     assert names.split_name('"c"."s"."t"') == ("s", "t") and names.split_name("t") == (None, "t")
-    assert names.get_ignoring_case({"ID": 1}, "id") == 1
 
 
 @pytest.mark.parametrize(("system", "native", "common"), [("snowflake", "VARCHAR", "string"), ("snowflake", "NUMBER", "decimal"), ("snowflake", "VARIANT", "json"), ("snowflake", "varchar(255)", "string"), ("postgresql", "numeric(10,2)", "decimal"), ("mysql", "nonesuch", "string"), ("databricks", "ARRAY<INT>", "array")])
@@ -38,10 +37,7 @@ def test_types():
     assert all(types.to_spark(c) is not None for c in types.common_types())
 
 
-def test_dialects():
-    assert dialect_row_hash("postgresql", ['"a"', '"b"']) == 'MD5(CAST("a" AS TEXT)||CAST("b" AS TEXT)::text)'
-    with pytest.raises(NotImplementedError):
-        dialect_segment_hash("csv", ["a"])
+def test_key_hash():
     assert key_hash({"b": 1, "a": 2}) == key_hash({"a": 2, "b": 1})
 
 
@@ -118,8 +114,6 @@ def test_catalog_rows(spark):
     assert (cols[0].data_type, cols[0].nullable) == ("decimal", False)
     cols = columns_from_catalog("postgresql", [{"column_name": "id", "data_type": "integer", "is_nullable": "NO"}], {"id"})
     assert (cols[0].data_type, cols[0].is_primary_key) == ("int32", True)
-    rows = spark.createDataFrame([("i", 2, "b"), ("i", 1, "a")], "index_name string, seq_in_index int, column_name string")
-    assert indexes_from_catalog(rows).first()["columns"] == ["a", "b"]
 
 
 def test_files(spark, tmp_path):
@@ -142,6 +136,63 @@ def test_files(spark, tmp_path):
     assert kept.list() == ["one"] and kept.test("one") and kept.remove("one") and not kept.remove("one")
 
 
+def test_leading_zeros_stay(spark, tmp_path):
+    (tmp_path / "ids.csv").write_text("id,n,m\n007,7,0.5\n12,0,-3\n")
+    df = open_source(spark, Config("csv", path=str(tmp_path / "ids.csv"))).table()
+    assert [t for _, t in df.dtypes] == ["string", "bigint", "double"] and df.first().id == "007"
+
+
+def test_files_are_split_unless_values_span_lines(spark, tmp_path):
+    (tmp_path / "flat.csv").write_text('a,b\n1,"x ""y"""\n2,z\n')
+    (tmp_path / "tall.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    source = open_source(spark, Config("csv", path=str(tmp_path)))
+    for name, spans in (("flat", False), ("tall", True)):
+        assert source.spans_lines(source.dialect(str(tmp_path / f"{name}.csv")), source.chosen(name)) == spans
+        assert source.table(name).count() == 2
+    assert source.query("select count(*) as n from {flat} where a >= :low", {"low": 2}).first().n == 1
+
+
+def test_remote_sql(spark, monkeypatch):
+    asked = []
+    source = open_source(spark, Config("postgresql", "h", database="d", schema="s", username="u", password="p", extra={"parts": 4, "primary_keys": {"t": ["id"]}}))
+
+    def answer(sql):
+        asked.append(sql)
+        rows = {"key_column_usage": ([("id",)], "column_name string"), "pg_index": ([("t_pkey", 1, "id"), ("t_ix", 2, "b"), ("t_ix", 1, "a")], "index_name string, seq_in_index long, column_name string"), "pg_total": ([(90, 8192)], "row_estimate long, size_bytes long"), "information_schema.columns": ([("id", "integer", "NO", None, 32, 0, None), ("a", "character varying", "YES", 20, None, None, None)], "column_name string, data_type string, is_nullable string, character_maximum_length int, numeric_precision int, numeric_scale int, column_default string"), "count(*)": ([(88,)], "n long"), "min(": ([(1, 88)], "low long, high long")}
+        found = next((v for k, v in rows.items() if k in sql), ([("x",)], "v string"))
+        return spark.createDataFrame(*found)
+
+    monkeypatch.setattr(source, "remote_query", answer)
+    info = source.metadata("t")
+    assert (info.row_count, info.size_bytes, info.primary_keys, info.indexes) == (88, 8192, ["id"], {"t_pkey": ["id"], "t_ix": ["a", "b"]})
+    assert source.metadata("t", count=False).row_count == 90 and info.columns[1].max_length == 20 and "'s'" in asked[0]
+    assert source._split("t", ["id"]) == {"partitionColumn": "id", "lowerBound": "1", "upperBound": "88", "numPartitions": "4"}
+    source.sample("t", 5000)
+    assert "TABLESAMPLE BERNOULLI (5) LIMIT 5000" in asked[-1] and '"t"' in asked[-1]
+    source.hashes("t", ["id"], ["id", "a"])
+    assert asked[-1].startswith('select "id", md5(concat(coalesce(') and asked[-1].endswith('as row_hash from "t"')
+    for bad in ("t; drop", "t'"):
+        with pytest.raises(ValueError):
+            source.hashes(bad, ["id"], ["id"])
+    source.list_tables("x' or '1'='1")
+    assert "'x'' or ''1''=''1'" in asked[-1]
+
+
+def test_first_way_that_works(spark):
+    source = open_source(spark, Config("snowflake", "ab12", database="d", username="u", password="p", url="jdbc:derby:memory:ways;create=true", extra={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}), retries=0)
+    spark.createDataFrame([(1,)], "k int").write.format("jdbc").options(url=source.config.url, dbtable="W1", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    assert source.table("APP.W1").count() == 1
+    with pytest.raises(ConnectionError, match="snowflake: .*jdbc: "):
+        source.table("NOT_THERE")
+
+
+def test_history_reads_runs_from_before_a_column_was_added(spark, tmp_path):
+    history = History(spark, str(tmp_path / "h"))
+    spark.createDataFrame([("r", "j", "success")], "run_id string, job_id string, status string").write.parquet(str(tmp_path / "h" / "diff_run" / "j" / "r"))
+    row = history.list_runs("j").first()
+    assert (row.run_id, row.status, row.metadata) == ("r", "success", None)
+
+
 def test_jdbc(spark):
     url, driver = "jdbc:derby:memory:diff;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string").write.format("jdbc").options(url=url, dbtable="T1", driver=driver).mode("overwrite").save()
