@@ -12,6 +12,7 @@ number that follows their order (dates, times, texts by the bytes after what all
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,16 +30,17 @@ def tile(place: Column, total: Column, n: int) -> Column:
     return F.when(q == 0, place).when(place <= r * (q + 1), F.ceil(place / (q + 1))).otherwise(r + F.ceil((place - r * (q + 1)) / F.greatest(q, F.lit(1)))).cast("int")
 
 
-def with_segments(df: DataFrame, order: list[str], n: int = SEGMENTS, partitions: int | None = None) -> DataFrame:
-    """df with segment, as NTILE(n) over order gives it. It is written once in ranges of order, because ranges may be drawn anew when they are computed again; give it narrow rows."""
+def with_segments(df: DataFrame, order: list[str], n: int = SEGMENTS, partitions: int | None = None, by: str | None = None) -> DataFrame:
+    """df with segment, as NTILE(n) over order gives it, for each value of by if that is named. It is written once in ranges of order, because ranges may be drawn anew when they are computed again; give it narrow rows."""
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(df.repartitionByRange(parts, *[column(c).asc_nulls_first() for c in order]).withColumn("__part", F.spark_partition_id()), "segments")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row for each partition
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(Window.partitionBy()).alias("__total"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*[column(c).asc_nulls_first() for c in order]))
-    placed = dealt.withColumn("__within", within).join(F.broadcast(offsets), "__part")
+    own = [by] if by else []
+    dealt = stored(df.repartitionByRange(parts, *[column(c).asc_nulls_first() for c in own + order]).withColumn("__part", F.spark_partition_id()), "segments")
+    sizes = dealt.groupBy("__part", *own).agg(F.count("*").alias("__rows"))  # a row or two for each partition
+    before = Window.partitionBy(*own).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", *own, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"), F.sum("__rows").over(Window.partitionBy(*own)).alias("__total"))
+    within = F.row_number().over(Window.partitionBy("__part", *own).orderBy(*[column(c).asc_nulls_first() for c in order]))
+    placed = dealt.withColumn("__within", within).join(F.broadcast(offsets), ["__part", *own])
     return placed.withColumn("segment", tile(F.col("__before") + F.col("__within"), F.col("__total"), n)).drop("__part", "__within", "__before", "__total")
 
 
@@ -51,15 +53,20 @@ def segment_sums(df: DataFrame, text: Column) -> DataFrame:
     return df.groupBy("segment").agg(*_sums(short_hash(text)))
 
 
-def differing(a: DataFrame, b: DataFrame, threshold: int = SEGMENT_THRESHOLD) -> DataFrame:
-    """Segments that one side lacks or whose sums differ, and whether either side holds more than threshold rows."""
+def _compared(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
+    """All segments, their rows on both sides, whether they differ (one side lacks them or their sums differ), and whether either side holds more than threshold rows."""
     joined = a.alias("a").join(b.alias("b"), "segment", "full_outer")
     wrong = ~F.col("a.row_count").eqNullSafe(F.col("b.row_count")) | ~F.col("a.seg_hash").eqNullSafe(F.col("b.seg_hash"))
     if "seg_sum" in a.columns:
         wrong = wrong | ~F.col("a.seg_sum").eqNullSafe(F.col("b.seg_sum"))
     rows = F.greatest(F.coalesce("a.row_count", F.lit(0)), F.coalesce("b.row_count", F.lit(0)))
     bounds = ["a.inner"] if "inner" in a.columns else []
-    return joined.where(wrong).select("segment", F.col("a.row_count").alias("rows_a"), F.col("b.row_count").alias("rows_b"), (rows > threshold).alias("over_threshold"), *bounds)
+    return joined.select("segment", F.col("a.row_count").alias("rows_a"), F.col("b.row_count").alias("rows_b"), (rows > threshold).alias("over_threshold"), wrong.alias("wrong"), *bounds)
+
+
+def differing(a: DataFrame, b: DataFrame, threshold: int = SEGMENT_THRESHOLD) -> DataFrame:
+    """Segments that one side lacks or whose sums differ, and whether either side holds more than threshold rows."""
+    return _compared(a, b, threshold).where("wrong").drop("wrong")
 
 
 def bisect(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], segment_key: str, *, mode: str = "ntile", segments: int = SEGMENTS, threshold: int = SEGMENT_THRESHOLD, max_depth: int = 4, null_safe_keys: bool = True, multiset: bool = False) -> tuple[DataFrame, dict]:
@@ -68,17 +75,19 @@ def bisect(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], segme
     text = row_text(keys + values, a.schema)
     if mode == "ntile":
         order = list(dict.fromkeys([segment_key, *keys, "__h"]))
-        place = lambda df: with_segments(df.select(*[column(c) for c in dict.fromkeys([segment_key, *keys])], short_hash(text).alias("__h")), order, segments)
-        x, y = place(a), place(b)
-        sums = lambda df: df.groupBy("segment").agg(*_sums(F.col("__h")))
-        wrong = [r.segment for r in differing(sums(x), sums(y), threshold).collect()]  # segments rows at most
-        of = lambda df: df.where(F.col("segment").isin(wrong)).select(*[column(k) for k in keys])
+        narrow = lambda df, source: df.select(*[column(c) for c in order[:-1]], short_hash(text).alias("__h"), F.lit(source).alias("__a"))
+        placed = with_segments(narrow(a, True).unionByName(narrow(b, False)), order, segments, by="__a")
+        sums = lambda source: placed.where(F.col("__a") == source).groupBy("segment").agg(*_sums(F.col("__h")))
+        found = _compared(sums(True), sums(False), threshold).collect()  # segments rows at most
+        wrong = [r.segment for r in found if r.wrong]
         meta = {"segment_count": segments, "depth_reached": int(bool(wrong)), "segments_compared": segments, "segments_differing": len(wrong)}
+        total = sum(r.rows_a or 0 for r in found)
         if not wrong:
-            return whole(a.limit(0), b.limit(0), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": x.count()}
-        wanted = stored(of(x).union(of(y)).distinct(), "segment-keys")
-        wanted, total = sized(wanted), x.count()
-        return whole(with_keys(a, wanted, keys), with_keys(b, wanted, keys), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": total - with_keys(x, wanted, keys).count()}
+            return whole(a.limit(0), b.limit(0), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": total}
+        wanted = stored(placed.where(F.col("segment").isin(wrong)).select(*[column(k) for k in keys]).distinct(), "segment-keys")
+        wanted = sized(wanted)
+        here = with_keys(placed.where("__a"), wanted, keys).count()  # rows of a key may stand in equal segments too
+        return whole(with_keys(a, wanted, keys), with_keys(b, wanted, keys), keys, values, null_safe_keys), meta | {"rows_in_equal_segments": total - here}
     if mode != "range":
         raise ValueError("mode is ntile or range")
     return _ranges(a, b, keys, values, segment_key, text, segments, threshold, max_depth, whole, null_safe_keys)
@@ -110,9 +119,14 @@ WIDTH = 64
 
 def _cut(df: DataFrame, bounds: dict[int, list], kind: str) -> DataFrame:
     """The rows of df in the segments that bounds has, with the finer segment in place of theirs."""
-    table = df.sparkSession.createDataFrame(list(bounds.items()), f"segment long, bounds array<{kind}>")
     finer = F.when(F.col("__p").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("__p"))) + 1)
-    return df.join(F.broadcast(table), "segment").withColumn("segment", F.col("segment") * WIDTH + finer).drop("bounds")
+    return df.join(_broadcast(df.sparkSession, bounds, kind), "segment").withColumn("segment", F.col("segment") * WIDTH + finer).drop("bounds")
+
+
+def _broadcast(spark, bounds: dict[int, list], kind: str) -> DataFrame:
+    """A table of the bounds of each segment; as many rows as segments were found to differ."""
+    held = pa.list_(pa.float64() if kind == "double" else pa.int64())
+    return F.broadcast(spark.createDataFrame(pa.table({"segment": pa.array(list(bounds), pa.int64()), "bounds": pa.array(list(bounds.values()), held)})))
 
 
 def _ranges(a, b, keys, values, key, text, segments, threshold, max_depth, whole, null_safe_keys) -> tuple[DataFrame, dict]:
@@ -137,8 +151,8 @@ def _ranges(a, b, keys, values, key, text, segments, threshold, max_depth, whole
         again = {}
         for r in found:
             inner = sorted(set(r.inner or []))
-            # a segment of one number cannot be cut
-            if r.over_threshold and depth < max_depth and r.segment % WIDTH and len(inner) > 1:
+            # a segment with few rows of the source, or of one number, cannot be cut by the source's quantiles
+            if (r.rows_a or 0) > threshold and depth < max_depth and r.segment % WIDTH and len(inner) > 1:
                 again[r.segment] = inner
             else:
                 leaves.append(r.segment)
@@ -161,8 +175,7 @@ def _of_leaves(df: DataFrame, number: Column, levels: list[dict[int, list]], kin
         if i == 0:
             deepest = _cut(deepest, bounds, kind)
             continue
-        table = spark.createDataFrame(list(bounds.items()), f"segment long, bounds array<{kind}>")
         finer = F.when(F.col("__p").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("__p"))) + 1)
-        deepest = deepest.join(F.broadcast(table), "segment", "left").withColumn("segment", F.when(F.col("bounds").isNull(), F.col("segment")).otherwise(F.col("segment") * WIDTH + finer)).drop("bounds")
-    wanted = spark.createDataFrame([(s,) for s in leaves], "segment long")
+        deepest = deepest.join(_broadcast(spark, bounds, kind), "segment", "left").withColumn("segment", F.when(F.col("bounds").isNull(), F.col("segment")).otherwise(F.col("segment") * WIDTH + finer)).drop("bounds")
+    wanted = spark.createDataFrame(pa.table({"segment": pa.array(leaves, pa.int64())}))
     return deepest.join(F.broadcast(wanted), "segment", "left_semi").select(*[column(c) for c in columns])
