@@ -43,7 +43,7 @@ from .simhash import DISTANCE, LOWER, ROWS_PER_TASK, SEED, WORD, Forest, _runs,
 SHINGLE, SIMILARITY = 5, 0.8
 SECTIONS, WIDTH = 24, 32
 #: The sections, from and up to, that are walked in each round for a spanning forest.
-ROUNDS = ((0, 1), (1, 12))
+ROUNDS = ((0, 12),)
 #: Widths of the blocks of a section, one more than DISTANCE.
 BLOCKS = (11, 11, 10)
 #: Expected share of differing bits at a Jaccard similarity of SIMILARITY, at most; and the bits that differ at three standard deviations more.
@@ -409,7 +409,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     posted = materialise(rarest(nodes), "similar-rarest")
     star = posted.join(posted.groupBy("h").agg(F.min("node").alias("a")), "h").where("a < node").select("a", F.col("node").alias("b"))
     edges = materialise(few_links(nodes, star), "similar-few")
-    named = _named(nodes, edges)
+    named = nodes.withColumn("comp", F.col("node"))
     for first, last in ROUNDS:
         found = materialise(links(docs, within_limit(named, candidates(named, first, last)), shingle), "similar-links")
         edges = edges.unionByName(found)
