@@ -16,7 +16,7 @@ few values of a section however many documents there are. Some sections are walk
 of the near pairs between components, one pair for each two trees that become one; those whose texts are similar are links, and what
 they link is one component in the next round. A pair that fails the check stands in for others there, so at last all sections
 are walked for the documents that come near one of another component, and then, with whole fingerprints and those documents alone,
-for every such pair. What the large groups have in common is one component by then and is left out.
+for every such pair: first the closest one of each two components, then all that this leaves apart. What the large groups have in common is one component by then and is left out.
 
 Cases: null text counts as empty; texts without words have the fingerprint zero and link to each other. A text with fewer
 words than a shingle is one shingle. Repeats of a shingle count once. Rows with a null id are never linked and stay.
@@ -108,7 +108,7 @@ def _sketch(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, the sections of its fingerprint, and few, the shingles of a text that has few or can be similar to one of few; null for others."""
+    """doc_id, fp, the sections of its fingerprint, size, how many different shingles it has, and few, the shingles of a text that has few or can be similar to one of few; null for others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +118,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 found = np.concatenate([_sketch(h) for h in sets])
                 few = pa.array([h.view(np.int64) if len(h) * SIMILARITY < FEW else None for h in sets], pa.list_(pa.int64()))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * SECTIONS), pa.array(found))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, few], ["doc_id", "fp", "few"])
+                sizes = pa.array([len(h) for h in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, sizes, few], ["doc_id", "fp", "size", "few"])
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(released(run), "doc_id long, fp array<int>, few array<long>")
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(released(run), "doc_id long, fp array<int>, size int, few array<long>")
 
 
 class WitnessForest(Forest):
@@ -321,15 +322,17 @@ def beside_others(nodes: DataFrame) -> DataFrame:
 
 
 def candidates_between(nodes: DataFrame) -> DataFrame:
-    """a, b: every pair of nodes of different components (node, comp, fp) that come near in one of the sections and differ in LIMIT bits of all at most."""
+    """a, b, comp_a, comp_b, bits: every pair of nodes of different components (node, comp, fp, least, most) that come near in one of the sections, differ in LIMIT bits of all at most, and have numbers of shingles (from least to most) that similar sets can have."""
     beside = materialise(beside_others(nodes), "similar-sections-beside")
     section = F.element_at("fp", F.col("t") + 1).cast("long").bitwiseAND((1 << WIDTH) - 1)
-    held = materialise(nodes.select("node", "comp", "fp").join(beside, "node").select("t", section.alias("s"), "node", "comp", "fp"), "similar-whole")
+    held = materialise(nodes.select("node", "comp", "fp", "least", "most").join(beside, "node").select("t", section.alias("s"), "node", "comp", "fp", "least", "most"), "similar-whole")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, part, group, turned in _subtrees(batches):
             node, t, fp = part.node.to_numpy(np.int64), part.t.to_numpy(np.int64), np.stack(part.fp.to_numpy()).astype(np.int32).view(np.uint32)
-            for a, b in all_pairs(group, turned, part.comp.to_numpy(np.int64), BLOCKS[r]):
+            least, most = part.least.to_numpy(float), part.most.to_numpy(float)
+            comp = part.comp.to_numpy(np.int64)
+            for a, b in all_pairs(group, turned, comp, BLOCKS[r]):
                 for at in range(0, len(a), COMPARED):
                     x, y = a[at : at + COMPARED], b[at : at + COMPARED]
                     differ = fp[x] ^ fp[y]
@@ -338,11 +341,29 @@ def candidates_between(nodes: DataFrame) -> DataFrame:
                     first = (bits <= DISTANCE).argmax(axis=1)
                     of = differ[np.arange(len(x)), first]
                     told = (bits.sum(axis=1, dtype=np.int64) <= LIMIT) & (first == t[x])
+                    told &= (most[x] >= SIMILARITY * least[y]) & (most[y] >= SIMILARITY * least[x])
                     for k in range(r + 1):
                         told &= ((of >> np.uint32(WIDTH - OFFSETS[k] - BLOCKS[k])) & np.uint32((1 << BLOCKS[k]) - 1) == 0) == (k == r)
-                    yield pd.DataFrame({"a": np.minimum(node[x[told]], node[y[told]]), "b": np.maximum(node[x[told]], node[y[told]])})
+                    x, y, bits = x[told], y[told], bits[told].sum(axis=1, dtype=np.int64)
+                    turn = node[x] > node[y]
+                    x, y = np.where(turn, y, x), np.where(turn, x, y)
+                    yield pd.DataFrame({"a": node[x], "b": node[y], "comp_a": comp[x], "comp_b": comp[y], "bits": bits})
 
-    return _dealt(held).mapInPandas(released(run), "a long, b long")
+    return _dealt(held).mapInPandas(released(run), "a long, b long, comp_a long, comp_b long, bits long")
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """a, b: for each two components that come near each other the pair of the fewest differing bits."""
+    best = pairs.groupBy(F.least("comp_a", "comp_b").alias("x"), F.greatest("comp_a", "comp_b").alias("y")).agg(F.min(F.struct("bits", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b")
+
+
+def still_apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b, of pairs those whose components the links found (a, b nodes of pairs) leave apart."""
+    named = pairs.select("a", "b", "comp_a", "comp_b").join(found, ["a", "b"], "left_semi").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+    root = components(named)
+    rest = pairs.join(root.toDF("comp_a", "root_a"), "comp_a", "left").join(root.toDF("comp_b", "root_b"), "comp_b", "left")
+    return rest.where(F.coalesce("root_a", "comp_a") != F.coalesce("root_b", "comp_b")).select("a", "b")
 
 
 def within_limit(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -399,13 +420,13 @@ def few_between(posted: DataFrame, named: DataFrame) -> DataFrame:
 def _named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with comp, the smallest node that edges reach."""
     joined = components(edges).withColumnRenamed("root", "comp")
-    return materialise(nodes.join(joined, "node", "left").select("node", "fp", "few", F.coalesce("comp", "node").alias("comp")), "similar-named")
+    return materialise(nodes.join(joined, "node", "left").select("node", "fp", "few", "least", "most", F.coalesce("comp", "node").alias("comp")), "similar-named")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, component_id (the smallest doc_id of its near copies, itself included) of every row; null for a null id."""
     rows = materialise(sketches(docs, shingle), "similar-fp")
-    nodes = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("few", "doc_id").alias("few")), "similar-nodes")
+    nodes = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by("few", "doc_id").alias("few"), F.min("size").alias("least"), F.max("size").alias("most")), "similar-nodes")
     posted = materialise(rarest(nodes), "similar-rarest")
     star = posted.join(posted.groupBy("h").agg(F.min("node").alias("a")), "h").where("a < node").select("a", F.col("node").alias("b"))
     edges = materialise(few_links(nodes, star), "similar-few")
@@ -415,8 +436,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         edges = edges.unionByName(found)
         named = _named(nodes, edges)
         settle(docs.sparkSession)
-    late = links(docs, candidates_between(named), shingle).unionByName(few_links(nodes, few_between(posted, named)))
-    root = components(edges.unionByName(materialise(late, "similar-late")))
+    between = materialise(candidates_between(named), "similar-candidates")
+    near = materialise(links(docs, closest(between), shingle), "similar-closest")
+    late = links(docs, still_apart(between, near), shingle).unionByName(few_links(nodes, few_between(posted, named)))
+    root = components(edges.unionByName(near).unionByName(materialise(late, "similar-late")))
     names = materialise(nodes.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "similar-names")
     return rows.join(names, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
