@@ -8,12 +8,14 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import DERBY_FUNCTIONS
 from ..functions.hashing import concat_hash, key_hash_column, piped_hash, short_hash
 from ..functions.types import map_type
 from ..metrics import connection_statistics, method_comparison, query_statistics, top_errors
 from ..history import retention_victims, runs_newest_first
 from ..operators import bisect as B
 from ..operators import diff as D
+from ..operators import remote as R
 from ..operators import schema as S
 from ..operators.sample import sample
 from ..scratch import shared_folder
@@ -483,3 +485,49 @@ def array_column_diff(spark, sf_dir):
     b = a.withColumn("embedding", F.when(F.col("vec_id") % 10 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
     return flat(D.TableDiff(a, b, "vec_id").compare("JOIN_DIFF").rows)
 
+
+
+DERBY_DRIVER = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def derby(spark, df):
+    """df as table T of a new Derby database in this JVM, as a system of its own: such a database is only seen on a local master. Texts are varchar(200)."""
+    url = f"jdbc:derby:memory:tablediff-{uuid4().hex}"
+    texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
+    options = {"url": url + ";create=true", "driver": DERBY_DRIVER}
+    empty = options | ({"createTableColumnTypes": ", ".join(f"{c} varchar(200)" for c in texts)} if texts else {})
+    df.limit(0).write.format("jdbc").options(**empty, dbtable="T").save()
+    df.write.format("jdbc").options(**options, dbtable="T_IN").save()  # Spark sets nulls as CLOB, which a varchar column refuses
+    named = ", ".join(f'cast("{c}" as varchar(200))' if c in texts else f'"{c}"' for c in df.columns)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        for sql in (f"insert into T select {named} from T_IN", "drop table T_IN", *DERBY_FUNCTIONS):
+            connection.createStatement().execute(sql)
+    finally:
+        connection.close()
+    return open_source(spark, Config("jdbc", url=url, extra={"driver": DERBY_DRIVER}))
+
+
+def _in_derby(spark, sf_dir, algorithm, local=False):
+    """Both sides in a database of their own, prices as decimals, compared there."""
+    a, b = (x.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)")) for x in sides(spark, sf_dir, local))
+    return R.RemoteDiff((derby(spark, a), "T"), (derby(spark, b), "T"), KEY, duplicates="fanout").compare(algorithm)
+
+
+@register(f"select o_orderkey, status from ({CLASSIFIED}) where status <> 'matched'")
+def remote_hash_diff(spark, sf_dir):
+    return flat(_in_derby(spark, sf_dir, "HASH_DIFF").differences)
+
+
+@register("select a.o_orderkey, a.o_orderpriority as source_priority, l.o_orderpriority as target_priority from a join l on a.o_orderkey = l.o_orderkey where a.o_orderpriority <> l.o_orderpriority")
+def remote_segment_diff(spark, sf_dir):
+    rows = _in_derby(spark, sf_dir, "BISECTION", local=True).modified_rows
+    return rows.select("key.*", F.col("source_values.o_orderpriority").alias("source_priority"), F.col("target_values.o_orderpriority").alias("target_priority"))
+
+
+@register("select o_orderkey, md5(concat('V', length(cast(o_orderkey as varchar)), ':', cast(o_orderkey as varchar), 'V10:', strftime(o_orderdate, '%Y-%m-%d'), coalesce('V' || length(o_orderpriority) || ':' || o_orderpriority, 'N'))) as row_hash from b")
+def remote_row_hashes(spark, sf_dir):
+    # made by the system that holds the table
+    _, b = sides(spark, sf_dir)
+    source = derby(spark, b.select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority"))
+    return source.hashes("T", ["o_orderkey"], {"o_orderkey": "int64", "o_orderdate": "date", "o_orderpriority": "string"}).toDF("o_orderkey", "row_hash")

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical, dialect, row_digest
 from ..functions.names import IDENTIFIER_CASE, check_identifier, quote_identifier, split_name, sql_literal
 from ..functions.types import from_spark, map_type
 from ..metrics import Recorder, shared_recorder
@@ -339,13 +340,35 @@ class RemoteSource(Source):
         rows = self.remote_query(f"select count(*) as n from {self._named(name)}").first()[0] if count else (size[0]["row_estimate"] if size else None)
         return TableInfo(table, schema, columns_from_catalog(self.config.system, ask("columns"), keys), rows, size[0]["size_bytes"] if size else None, indexes=indexes)
 
-    def hashes(self, name: str, keys: list[str], columns: list[str]) -> DataFrame:
-        """Keys and a hash of the columns, made by the system itself, so that no other value is sent. Null and empty differ, and values cannot run together."""
-        if self.config.system not in HASH_SQL:
-            raise NotImplementedError(f"{self.config.system} has no row hash here")
-        text, digest = HASH_SQL[self.config.system]
-        parts = ", ".join(f"coalesce(concat('V', char_length({text.format(c)}), ':', {text.format(c)}), 'N')" for c in map(self._named, columns))
-        return self.remote_query(f"select {', '.join(map(self._named, keys))}, {digest.format(f'concat({parts})')} as row_hash from {self._named(name)}")
+    def dialect(self) -> str:
+        """The name of the SQL that the system speaks; for a plain JDBC source its URL tells."""
+        return self.config.url.split(":")[1] if self.config.system == "jdbc" else self.config.system
+
+    def quoted(self, name: str) -> str:
+        """A table's checked name in the system's own quotes."""
+        check_identifier(name)
+        return ".".join(dialect(self.dialect()).named(part) for part in name.split("."))
+
+    def hashes(self, name: str, keys: list[str], columns: list[str] | dict[str, str]) -> DataFrame:
+        """Keys and a hash of the columns (their common types, or text if none are given), made by the system itself, so that no other value is sent. Null and empty differ, and values cannot run together."""
+        system = self.dialect()
+        kinds = columns if isinstance(columns, dict) else dict.fromkeys(columns, "string")
+        texts = {c: canonical(system, kind, self._named(c)) for c, kind in kinds.items()}
+        if gone := [c for c, t in texts.items() if t is None]:
+            raise ValueError(f"{system} has no canonical text for {', '.join(gone)}")
+        return self.remote_query(f"select {', '.join(map(self._named, keys))}, {row_digest(system, list(texts.values()))} as row_hash from {self._named(name)}")
+
+    def rows_where(self, name: str, predicates: list[str]) -> DataFrame:
+        """The rows that meet one of the predicates, which exclude each other: over JDBC each is a statement and a task of its own."""
+        form, options = reader_options(self.config, table=self.quoted(name))
+        if form == "jdbc":
+            table, url = options.pop("dbtable"), options.pop("url")
+            return self.attempt("predicates", lambda: self.spark.read.jdbc(url, table, predicates=predicates, properties={k: v for k, v in options.items() if k != "numPartitions"}))
+        parts = [self.remote_query(f"select * from {self.quoted(name)} where {p}") for p in predicates]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def remote_query(self, sql: str) -> DataFrame:
         return self._load(query=sql)
@@ -372,15 +395,6 @@ def columns_from_catalog(system: str, rows: list[dict], keys: set[str] = frozens
     return out
 
 
-#: By system: how a value becomes text, and how a text is hashed.
-HASH_SQL = {
-    "postgresql": ("cast({0} as text)", "md5({0})"),
-    "mysql": ("cast({0} as char)", "md5({0})"),
-    "databricks": ("cast({0} as string)", "md5({0})"),
-    "snowflake": ("cast({0} as varchar)", "md5({0})"),
-    "bigquery": ("cast({0} as string)", "to_hex(md5({0}))"),
-}
-
 _COLUMNS = "select column_name, data_type, is_nullable, character_maximum_length, numeric_precision, numeric_scale, column_default from information_schema.columns where table_schema = {schema} and table_name = {table} order by ordinal_position"
 _KEYS = "select k.column_name from information_schema.table_constraints c join information_schema.key_column_usage k on k.constraint_name = c.constraint_name and k.table_schema = c.table_schema and k.table_name = c.table_name where c.constraint_type = 'PRIMARY KEY' and c.table_schema = {schema} and c.table_name = {table}"
 #: By system: what its catalog knows of a table.
