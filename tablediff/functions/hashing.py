@@ -16,12 +16,36 @@ from pyspark.sql import types as T
 
 from .names import column
 
+def holds_map(kind: T.DataType | None) -> bool:
+    """Whether values of a type cannot be compared as they are: maps and variants, at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(holds_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def normal_form(c: Column, kind: T.DataType | None) -> Column:
+    """A value without maps and variants: entries of a map in order, a variant as JSON, at any depth."""
+    if not holds_map(kind):
+        return c
+    if isinstance(kind, T.VariantType):
+        return F.to_json(c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: normal_form(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*[normal_form(c.getField(f.name), f.dataType).alias(f.name) for f in kind])
+        return F.when(c.isNotNull(), parts)
+    entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), normal_form(e["value"], kind.valueType).alias("value")))
+    return F.array_sort(entries)
+
+
 def text_of(c: Column, kind: T.DataType | None = None) -> Column:
     """A value as text: nested values as JSON with map entries in order, -0.0 as 0.0."""
-    if isinstance(kind, T.MapType):
-        c = F.array_sort(F.map_entries(c))
-    if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)):
+    if isinstance(kind, T.VariantType):
         return F.to_json(c)
+    if isinstance(kind, (T.MapType, T.ArrayType, T.StructType)):
+        return F.to_json(normal_form(c, kind))
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         c = F.when(c == 0, F.lit(0.0)).otherwise(c)
     if isinstance(kind, T.BinaryType):

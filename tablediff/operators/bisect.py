@@ -12,6 +12,9 @@ number that follows their order (dates, times, texts by the bytes after what all
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +75,12 @@ def differing(a: DataFrame, b: DataFrame, threshold: int = SEGMENT_THRESHOLD) ->
 def bisect(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], segment_key: str, *, mode: str = "ntile", segments: int = SEGMENTS, threshold: int = SEGMENT_THRESHOLD, max_depth: int = 4, null_safe_keys: bool = True, multiset: bool = False) -> tuple[DataFrame, dict]:
     segment_key = resolve(segment_key, a.columns)
     whole = pair_off if multiset else classify
+    if not null_safe_keys:
+        # rows with a null key match none: they are told besides, and are in no segment
+        named = reduce(and_, [column(k).isNotNull() for k in keys])
+        options = {"mode": mode, "segments": segments, "threshold": threshold, "max_depth": max_depth, "multiset": multiset}
+        rows, meta = bisect(a.where(named), b.where(named), keys, values, segment_key, **options)
+        return rows.unionByName(whole(a.where(~named), b.where(~named), keys, values, False)), meta
     text = row_text(keys + values, a.schema)
     if mode == "ntile":
         order = list(dict.fromkeys([segment_key, *keys, "__h"]))

@@ -2,7 +2,7 @@
 
 Every strategy gives the same rows: key (a struct under the source's names), status, mismatched_columns,
 source_values, target_values. Values are equal when both are null or equal; NaN equals NaN and 0.0 equals -0.0; columns of different
-types are compared as text.
+types are compared by what they stand for, as text where no type holds both.
 
 What each costs: JOIN_DIFF and CROSS_DB_DIFF shuffle the common columns of both sides once, by key. HASH_DIFF shuffles keys and
 hashes, writes the keys with their status, and reads values again only for the keys that differ, unless these are too many to
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import row_hash, text_of
+from ..functions.hashing import holds_map, row_hash, text_of
 from ..functions.names import column, common_columns, non_keys, resolve
 from ..scratch import BROADCAST_ROWS, stored
 from .model import Algorithm, DiffRun
@@ -62,7 +62,7 @@ def _comparable(c: Column, own: T.DataType, other: T.DataType) -> Column:
     whole = lambda t: type(t) in _RANK
     exact = lambda t: whole(t) or isinstance(t, T.DecimalType)
     broken = lambda t: isinstance(t, (T.FloatType, T.DoubleType))
-    if isinstance(own, T.MapType) or isinstance(other, T.MapType):
+    if holds_map(own) or holds_map(other):
         return text_of(c, own)
     if own == other:
         return c
@@ -76,17 +76,31 @@ def _comparable(c: Column, own: T.DataType, other: T.DataType) -> Column:
         before, after = (max(x) for x in zip(digits(own), digits(other)))
         return c.cast(T.DecimalType(before + after, after)) if before + after <= 38 else _plain(c.cast("string"))
     if (exact(own) or broken(own)) and (exact(other) or broken(other)):
-        # a double cannot hold every long or decimal, so both are compared as texts without trailing zeros
-        if not broken(own):
-            return _plain(c.cast("string"))
-        fits = F.abs(c) < F.lit(1e18)
-        return F.when(c == 0, "0").when(fits & (c == F.floor(c)), c.cast("long").cast("string")).when(fits, _plain(c.cast("decimal(38,18)").cast("string"))).when(c.isNotNull(), F.coalesce(_plain(c.try_cast("decimal(38,0)").cast("string")), c.cast("string")))
+        # neither type holds all values of the other, so both become texts without trailing zeros
+        return _decimal_text(c.cast("double")) if broken(own) else _plain(c.cast("string"))
     nested = (T.ArrayType, T.StructType)
     if type(own) is type(other) and not isinstance(own, nested):
         return c
     return text_of(c, own)
 
 
+def _decimal_text(c: Column) -> Column:
+    """A double as a decimal's text. Whole numbers are exact; a fraction is the shortest decimal that stands for this double, if a decimal type can hold it, else no decimal's text."""
+    size = F.abs(c)
+    whole = (size >= F.lit(2.0**53)) | (c == F.floor(c))  # floor gives a long
+    # over 2^63 a double is cut into parts that a long holds; all steps are exact, as they move the exponent alone
+    high = F.floor(size / F.lit(2.0**64))
+    rest = size - high.cast("double") * F.lit(2.0**64)
+    middle = F.floor(rest / F.lit(2.0**32))
+    wide = lambda x: x.cast("decimal(38,0)")
+    exact = wide(high) * wide(F.lit(2**32)) * wide(F.lit(2**32)) + wide(middle) * wide(F.lit(2**32)) + wide(rest - middle.cast("double") * F.lit(2.0**32))
+    large = F.concat(F.when(c < 0, "-").otherwise(""), exact.cast("string"))
+    kept = lambda kind: c.try_cast(kind).cast("double") == c
+    text = lambda kind: _plain(F.format_string("%s", c.try_cast(kind).cast("string")))
+    small = F.when((size < 1) & kept("decimal(38,37)"), text("decimal(38,37)")).when(kept("decimal(38,18)"), text("decimal(38,18)")).otherwise(c.cast("string"))
+    return F.when(c == 0, "0").when(whole & (size < F.lit(2.0**63)), c.cast("long").cast("string")).when(whole & (size < F.lit(1e38)), large).when(c.isNotNull(), small)
+
+
 def _plain(text: Column) -> Column:
     """A decimal's text without zeros at the end of its fraction; 0 has no sign."""
     cut = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
@@ -157,10 +171,10 @@ def hash_groups(a: DataFrame, b: DataFrame, keys: list[str], values: list[str])
     return found.select(*[column(k) for k in keys], F.when(F.col("same"), "matched").otherwise("modified").alias("status"), "n")
 
 
-def with_keys(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of df whose key is in wanted, null keys too."""
+def with_keys(df: DataFrame, wanted: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """The rows of df whose key is in wanted, null keys too; with left_anti those whose key is not."""
     named = wanted.select(*[column(k).alias(f"__w{i}") for i, k in enumerate(keys)])
-    return df.join(named, reduce(and_, [F.col(f"__w{i}").eqNullSafe(column(k)) for i, k in enumerate(keys)]), "left_semi")
+    return df.join(named, reduce(and_, [F.col(f"__w{i}").eqNullSafe(column(k)) for i, k in enumerate(keys)]), how)
 
 
 def hash_classify(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], null_safe_keys: bool = True, multiset: bool = False) -> DataFrame:
@@ -185,6 +199,8 @@ def hash_classify(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]
     if not n:
         return plain
     wrong = F.broadcast(wrong)
+    if not multiset:  # a repeated key may have pairs that match beside some that do not: all its pairs come from its rows
+        plain = with_keys(plain, wrong.select(F.struct(*[column(k).alias(k) for k in keys]).alias("key")), ["key"], "left_anti")
     return plain.unionByName(whole(with_keys(a, wrong, keys), with_keys(b, wrong, keys), keys, values, null_safe_keys))
 
 

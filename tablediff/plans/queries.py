@@ -531,3 +531,23 @@ def remote_row_hashes(spark, sf_dir):
     _, b = sides(spark, sf_dir)
     source = derby(spark, b.select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority"))
     return source.hashes("T", ["o_orderkey"], {"o_orderkey": "int64", "o_orderdate": "date", "o_orderpriority": "string"}).toDF("o_orderkey", "row_hash")
+
+
+def _two_files(spark, sf_dir, first, second):
+    """customer as CSV in one folder: even keys as the columns first, odd ones as second, each with a separator of its own."""
+    path = f"{shared_folder(spark)}/csv-{uuid4().hex}"
+    customer = table(spark, sf_dir, "customer")
+    for i, (sep, columns) in enumerate(((",", first), (";", second))):
+        customer.where(F.col("c_custkey") % 2 == i).selectExpr(*columns).write.options(sep=sep, header=True).csv(f"{path}/{i}")
+    return open_source(spark, Config("csv", path=path)).table()
+
+
+@register("select c_custkey, c_name, c_acctbal, case when c_custkey % 2 = 1 then c_mktsegment end as c_mktsegment from customer")
+def csv_files_by_column_name(spark, sf_dir):
+    return _two_files(spark, sf_dir, ["c_custkey", "c_name", "c_acctbal"], ["c_mktsegment", "c_acctbal", "c_name", "c_custkey"])
+
+
+@register("select case when c_custkey % 2 = 1 then 'k' || c_custkey else cast(c_custkey as varchar) end as code, cast(c_nationkey as nationint) as nation from customer")
+def csv_types_over_files(spark, sf_dir):
+    # whole numbers in one file, texts in the other
+    return _two_files(spark, sf_dir, ["c_custkey as code", "c_nationkey as nation"], ["c_nationkey as nation", "concat('k', c_custkey) as code"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical, dialect, row_digest
-from ..functions.names import IDENTIFIER_CASE, check_identifier, quote_identifier, split_name, sql_literal
+from ..functions.names import IDENTIFIER_CASE, check_identifier, column, quote_identifier, split_name, sql_literal
 from ..functions.types import from_spark, map_type
 from ..metrics import Recorder, shared_recorder
 from ..operators.sample import sample, sampling_sql
@@ -232,32 +232,38 @@ class CsvSource(FileSource):
         return not self.spark.read.option("encoding", options["encoding"]).text(files).where(quotes % 2 == 1).isEmpty()
 
     def load(self, files: list[str]) -> DataFrame:
-        """Each file by its own dialect, types inferred from all rows, null marks as nulls."""
+        """Each file by its own dialect and header. Files are texts at first, put together by column name; types are inferred once, from all rows of all files; null marks are nulls."""
         groups: dict[tuple, list[str]] = {}
         for f in files:
-            groups.setdefault(tuple(sorted(self.dialect(f).items())), []).append(f)
+            options = self.dialect(f)
+            header = self.spark.read.options(**options, escape='"').csv(f).columns
+            groups.setdefault((tuple(sorted(options.items())), tuple(header)), []).append(f)
         marks = tuple(self.config.extra.get("na_values", NULL_MARKS))
         parts = []
-        for options, own in groups.items():
-            raw = self.spark.read.options(**dict(options), multiLine=self.spans_lines(dict(options), own), escape='"').csv(own)
-            clean = raw.select(*[F.when(F.trim(F.col(f"`{c}`")).isin(*marks), None).otherwise(F.col(f"`{c}`")).alias(c) for c in raw.columns])
-            parts.append(infer_types(clean))
+        for (options, header), own in groups.items():
+            texts = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+            raw = self.spark.read.schema(texts).options(**dict(options), multiLine=self.spans_lines(dict(options), own), escape='"').csv(own)
+            parts.append(raw.select(*[F.when(F.trim(column(c)).isin(*marks), None).otherwise(column(c)).alias(c) for c in raw.columns]))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return infer_types(out)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns as the narrowest of long, double, boolean, date or timestamp that holds all their values, text where numbers have leading zeros: one aggregation for all columns."""
-    kinds = ("bigint", "double", "boolean", "date", "timestamp")
+    """Text columns as the narrowest of long, decimal(38,0), double, boolean, date or timestamp that holds all their values as they are, text where numbers have leading zeros or more digits: one aggregation for all columns."""
+    kinds = ("bigint", "decimal(38,0)", "double", "boolean", "date", "timestamp")
     tests = []
     for i, c in enumerate(df.columns):
-        value = F.col(f"`{c}`")
+        value = column(c)
         for k in kinds:
             ok = value.try_cast(k).isNotNull()
-            if k in ("bigint", "double"):  # 007 and 7 are not one id
+            if k in kinds[:3]:  # 007 and 7 are not one id
                 ok = ok & ~value.rlike(r"^\s*[+-]?0\d")
+            if k == "decimal(38,0)":
+                ok = ok & value.rlike(r"^\s*[+-]?\d{1,38}\s*$")
+            elif k == "double":  # which would make one number of two with more digits
+                ok = ok & ~value.rlike(r"^\s*[+-]?\d{16,}\s*$")
             if k == "boolean":
                 ok = F.lower(value).isin("true", "false")
             elif k == "date":
@@ -269,7 +275,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         return df
     held = df.agg(*tests).first()
     pick = lambda i: next((k for k in kinds if held[f"{i}_{k}"]), "string")
-    return df.select(*[F.col(f"`{c}`").try_cast(pick(i)).alias(c) for i, c in enumerate(df.columns)])
+    return df.select(*[column(c).try_cast(pick(i)).alias(c) for i, c in enumerate(df.columns)])
 
 
 class CatalogSource(Source):
