@@ -547,7 +547,7 @@ def csv_files_by_column_name(spark, sf_dir):
     return _two_files(spark, sf_dir, ["c_custkey", "c_name", "c_acctbal"], ["c_mktsegment", "c_acctbal", "c_name", "c_custkey"])
 
 
-@register("select case when c_custkey % 2 = 1 then 'k' || c_custkey else cast(c_custkey as varchar) end as code, cast(c_nationkey as nationint) as nation from customer")
+@register("select case when c_custkey % 2 = 1 then 'k' || c_custkey else cast(c_custkey as varchar) end as code, cast(c_nationkey as bigint) as nation from customer")
 def csv_types_over_files(spark, sf_dir):
     # whole numbers in one file, texts in the other
     return _two_files(spark, sf_dir, ["c_custkey as code", "c_nationkey as nation"], ["c_nationkey as nation", "concat('k', c_custkey) as code"])
