@@ -6,6 +6,10 @@ that stays, its content locator (the number of the call and the row's place in i
 combined before they are dealt out, so a digest with a third of all rows costs no more than any other. Where a digest was
 hit more than once the full normalised bytes of its rows are compared; if they differ the rows are regrouped by their bytes.
 
+A call that was broken off, at whatever point, may be run again with the same rows: its staged rows are named by the number of the
+call, and a mark is left when a call has ended. If the last call left none and its rows are those of this one, this is that call; if its rows
+were not all staged they are staged anew, which the stream has not seen yet.
+
 A later call with the same state folder goes on from the state that is there, and gives all rows seen so far. For that the folder
 also holds the content: under each digest the least and the greatest of its texts, which are one unless digests clash.
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, read_table, scratch_path, sized_broadcast, whole_text
 
@@ -90,21 +95,57 @@ def _remember(docs: DataFrame, path: str, call: int, digest) -> DataFrame:
     return _extremes(docs.sparkSession.read.parquet(path).select("digest", "least", "most"))
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _staged_calls(spark: SparkSession, staged: str) -> list[int]:
+    if not _there(spark, staged):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    return sorted(int(n.removeprefix("call=")) for n in names if n.startswith("call="))
+
+
+def _open_call(base: str, narrow: DataFrame) -> tuple[int, bool]:
+    """The number of this call, and whether its rows are yet to be staged."""
+    spark, staged = narrow.sparkSession, f"{base}/staged"
+    calls = _staged_calls(spark, staged)
+    if not calls or _there(spark, f"{base}/ended/call={calls[-1]}"):
+        return (calls[-1] + 1 if calls else 0), True
+    last = f"{staged}/call={calls[-1]}"
+    if not _there(spark, f"{last}/_SUCCESS"):
+        return calls[-1], True
+    own = ["doc_id", "points", "digest", "text_sha256"]
+    told = lambda df: tuple(df.select(F.xxhash64(*own).cast("decimal(38,0)").alias("h"), F.xxhash64(F.lit("2"), *own).cast("decimal(38,0)").alias("g")).agg(F.count("*"), F.sum("h"), F.sum("g")).first())
+    same = told(spark.read.parquet(last)) == told(narrow)
+    return (calls[-1], False) if same else (calls[-1] + 1, True)
+
+
+def _end_call(spark: SparkSession, base: str, call: int) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/ended/call={call}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 def find_copies(docs: DataFrame, state: str | None = None, digest=sha256) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, call, locator of every row of this call and, with a state folder, of the calls before. digest may be replaced by a weaker one; results stay exact."""
     spark = docs.sparkSession
     base = state or scratch_path(spark, "exact")
     staged = f"{base}/staged"
-    before = _calls(spark, staged)
-    call = 0 if before is None else (before.agg(F.max("call")).first()[0] or 0) + 1
-    narrow = docs.select("doc_id", normal().alias("bytes"), F.length(whole_text()).alias("points")).select(F.col("doc_id").cast("long"), "points", digest(F.col("bytes")).alias("digest"), sha256(F.col("bytes")).alias("text_sha256"), F.lit(call).cast("long").alias("call"), F.monotonically_increasing_id().alias("locator"))
+    narrow = docs.select("doc_id", normal().alias("bytes"), F.length(whole_text()).alias("points")).select(F.col("doc_id").cast("long"), "points", digest(F.col("bytes")).alias("digest"), sha256(F.col("bytes")).alias("text_sha256"), F.monotonically_increasing_id().alias("locator"))
+    call, new = _open_call(base, narrow) if state else (0, True)
     content = _remember(docs, f"{base}/content", call, digest) if state else None
-    narrow.write.mode("append").parquet(staged)
-    rows = spark.read.schema(narrow.schema).parquet(staged)
-    groups = materialise(keyed_state(spark, staged, narrow.schema, f"{base}/state"), "exact-groups")
+    if new:
+        narrow.write.mode("overwrite").parquet(f"{staged}/call={call}")
+    schema = T.StructType([*narrow.schema, T.StructField("call", T.LongType())])
+    rows = spark.read.schema(schema).parquet(staged)
+    groups = materialise(keyed_state(spark, staged, schema, f"{base}/state"), "exact-groups")
     hits = groups.where("group_size > 1").select("digest")
     found = _extremes(_texts(docs, digest).join(sized_broadcast(hits), "digest")) if content is None else content.join(hits, "digest", "left_semi")
     bad = materialise(found.where("least <> most").select("digest"), "exact-collisions")
+    if state:
+        _end_call(spark, base, call)
     if not bad.isEmpty():
         # the digest named texts that differ: such rows are grouped anew by what their full bytes name
         bad = sized_broadcast(bad)

@@ -335,3 +335,26 @@ def test_short_near_copies_equal_brute_force(spark):
     want = brute_near(rows)
     print("found", sum(d != c and found[d] == c for d, c in want.items()), "of", sum(d != c for d, c in want.items()))
     assert found == want
+
+
+@pytest.mark.parametrize("breaks", ["staging", "stream", "after"])
+def test_a_call_that_was_broken_off_is_run_again(spark, tmp_path, monkeypatch, breaks):
+    state, calls = f"file://{tmp_path}/state", [[(1, "a b"), (2, "c")], [(3, "ab"), (4, "d"), (4, "d"), (None, "c")]]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    whole = exact_dedup.find_copies(make(sum(calls, []))).collect()
+    exact_dedup.find_copies(make(calls[0]), state).collect()
+    with monkeypatch.context() as m:
+        fail = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+        if breaks == "after":
+            m.setattr(exact_dedup, "_end_call", fail)
+        else:
+            m.setattr(exact_dedup, "keyed_state", fail)
+        with pytest.raises(RuntimeError):
+            exact_dedup.find_copies(make(calls[1]), state)
+    if breaks == "staging":
+        (tmp_path / "state" / "staged" / "call=1" / "_SUCCESS").unlink()
+    again = exact_dedup.find_copies(make(calls[1]), state).collect()
+    told = lambda rows: sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows), key=str)
+    assert told(again) == told(whole)
+    # and a call of other rows after one that was broken off is a call of its own
+    assert {r.call for r in exact_dedup.find_copies(make([(9, "z")]), state).collect()} == {0, 1, 2}
