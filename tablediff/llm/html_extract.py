@@ -26,8 +26,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from itertools import takewhile
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -367,11 +366,37 @@ def _links(node: Node) -> bool:
     return node.name in BOXES and node.link_chars > LINK_SHARE * node.chars
 
 
+def _holds_paragraphs(node: Node) -> bool:
+    """Whether all text of the node stands in headings and paragraphs within it."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.chars and x.name not in HEADINGS and x.name not in PARAGRAPHS:
+            below = _children(x)
+            if not below or any(isinstance(p, str) and p.strip() for p in x.parts):
+                return False
+            stack += below
+    return True
+
+
 def _grown(node: Node, body: Node, threshold: float) -> list[Node]:
     """The node as large as what stands beside it allows, and else with the neighbours that belong to it."""
 
     def belongs(x: Node) -> bool:
-        return not x.chars or x.name in HEADINGS or x.link_chars <= LINK_SHARE * x.chars and (x.name in PARAGRAPHS or x.density >= threshold > 0)
+        return not x.chars or x.name in HEADINGS or x.link_chars <= LINK_SHARE * x.chars and (x.name in PARAGRAPHS or x.density >= threshold > 0 or _holds_paragraphs(x))
+
+    def near(side: Iterable[Node]) -> Iterator[Node]:
+        """Neighbours that belong, from the node outwards, with short ones without many links that stand between."""
+        between = []
+        for x in side:
+            if belongs(x):
+                yield from between
+                yield x
+                between = []
+            elif x.link_chars <= LINK_SHARE * x.chars and x.chars < node.chars:
+                between.append(x)
+            else:
+                return
 
     while node is not body and node.name not in BLOCKS:
         node = node.parent
@@ -381,7 +406,7 @@ def _grown(node: Node, body: Node, threshold: float) -> list[Node]:
         return [node]
     beside = _children(node.parent)
     at = beside.index(node)
-    return [node, *takewhile(belongs, reversed(beside[:at])), *takewhile(belongs, beside[at + 1 :])]
+    return [node, *near(reversed(beside[:at])), *near(beside[at + 1 :])]
 
 
 def blocks(node: Node) -> list[str]:

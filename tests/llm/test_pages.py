@@ -181,3 +181,17 @@ def test_framing():
     for bad in (b"no header", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n9\r\nabc\r\n0\r\n\r\n"):
         with pytest.raises(ValueError):
             warc.unframe(bad)
+
+
+LONG = ["The first part of the story goes on for quite a while, so that nobody can doubt what it is about. " * 4, "And the second part of it tells the rest at about the same length, with a few more words in it. " * 4]
+
+
+@pytest.mark.parametrize("outer", ["{}", "<article>{}</article>", "<div id=page>{}</div>", "<main><div>{}</div></main>"])
+@pytest.mark.parametrize("head", ["<h1>Title here</h1>", "<div class='title'><h1>Title here</h1></div>", "<header class='entry'></header><div><div><h2>Title here</h2></div></div>"])
+@pytest.mark.parametrize("byline", ["", "<div class='byline'>By A Writer</div>"])
+@pytest.mark.parametrize("tail", ["", "<div><p>Short end.</p></div>", "<div><div><p>One.</p><p>Short end.</p></div></div>"])
+def test_parts_in_containers_of_their_own(outer, head, byline, tail):
+    body = "<div>" + "".join(f"<p>{p}</p>" for p in LONG) + "</div>"
+    page = f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav>{outer.format(head + byline + body + tail)}<div><a href=/1>More of this</a> <a href=/2>And of that</a></div><footer>All rights</footer></body></html>"
+    want = ["Title here", *(["By A Writer"] if byline else []), *(p.strip() for p in LONG), *(["One."] if "One." in tail else []), *(["Short end."] if tail else [])]
+    assert html_extract.extract(page).split("\n") == want
