@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from itertools import combinations
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from ..operators import bisect as B
 from ..operators import diff as D
 from ..operators import remote as R
 from ..operators import schema as S
-from ..operators.sample import sample
+from ..operators.keys import find_keys
+from ..operators.sample import bottom_k, key_share, sample
 from ..scratch import shared_folder
 from ..sources.config import Config
 from ..sources.registry import open_source
@@ -551,3 +553,37 @@ def csv_files_by_column_name(spark, sf_dir):
 def csv_types_over_files(spark, sf_dir):
     # whole numbers in one file, texts in the other
     return _two_files(spark, sf_dir, ["c_custkey as code", "c_nationkey as nation"], ["c_nationkey as nation", "concat('k', c_custkey) as code"])
+
+
+def _md5_of(c):
+    return f"md5('V' || length(cast({c} as varchar)) || ':' || {c})"
+
+
+@register(f"select * from a order by {_md5_of('o_orderkey')} limit 5000")
+def sample_bottom_k(spark, sf_dir):
+    return bottom_k(table(spark, sf_dir, "orders"), KEY, 5000)
+
+
+@register(f"select * from ({CLASSIFIED}) where substr({_md5_of('o_orderkey')}, 1, 15) < '{int(0.1 * 16**15):015x}'")
+def sampled_diff(spark, sf_dir):
+    # the same tenth of the keys on both sides
+    a, b = (key_share(x, KEY, 0.1) for x in sides(spark, sf_dir))
+    return flat(D.TableDiff(a, b, KEY).compare().rows)
+
+
+#: Tables whose keys are looked for, their columns, and how many columns a key may have.
+KEYED = {"region": ("r_regionkey r_name", 2), "nation": ("n_nationkey n_name n_regionkey", 2), "customer": ("c_custkey c_name c_nationkey c_acctbal c_mktsegment", 3), "supplier": ("s_suppkey s_name s_nationkey s_acctbal", 3), "part": ("p_partkey p_name p_brand p_type p_size p_retailprice", 2), "orders": ("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", 3), "events": ("event_id ts user_id event_type value props", 2), "conversations": ("conv_id turn role text", 3), "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", 2)}
+
+
+def _unique_sets():
+    for name, (columns, most) in KEYED.items():
+        for size in range(1, most + 1):
+            for group in combinations(columns.split(), size):
+                listed = ", ".join(group)
+                yield f"select '{name}' as t, [{', '.join(repr(c) for c in group)}] as k where (select count(*) from (select distinct {listed} from {name})) = (select count(*) from {name})"
+
+
+@register(", u as materialized (" + " union all ".join(_unique_sets()) + ") select t as table_name, array_to_string(k, ',') as key_columns from u where not exists (select 1 from u v where v.t = u.t and len(v.k) < len(u.k) and list_has_all(u.k, v.k))")
+def key_discovery(spark, sf_dir):
+    found = [(name, ",".join(k)) for name, (columns, most) in KEYED.items() for k in find_keys(table(spark, sf_dir, name), most, columns.split())]
+    return spark.createDataFrame(found, "table_name string, key_columns string")
