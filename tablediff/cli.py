@@ -54,11 +54,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if not keys:
             raise ValueError(f"no primary key is known; choose --keys among {[x for x, _ in common_columns(a.columns, b.columns)]}")
         diff = TableDiff(a, b, keys, o.target_keys.split(",") if o.target_keys else None, duplicates=o.duplicates, source_name=o.source, target_name=o.target, segment_key=o.segment_key)
-        run = diff.compare(o.algorithm)
+        run = diff.compare(o.algorithm, matched_rows=False)
         print(render(run, o.show))
         if run.error:
             return 2
-        if run.summary.source_rows > SUGGEST_SEGMENTS_ABOVE and run.algorithm is not Algorithm.BISECTION:
+        if run.summary.source_rows > SUGGEST_SEGMENTS_ABOVE and run.algorithm not in (Algorithm.BISECTION, Algorithm.SKETCH_DIFF):
             print(f"hint: above {SUGGEST_SEGMENTS_ABOVE:,} rows with few differences, --algorithm BISECTION moves less data")
         if o.save:
             history = History(spark, o.save)

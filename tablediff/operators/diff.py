@@ -222,9 +222,12 @@ class TableDiff:
         self.duplicates, self.null_safe = duplicates, null_keys == "equal"
         self.names, self.segment_key = (source_name, target_name), segment_key
 
-    def compare(self, algorithm: Algorithm | str = Algorithm.AUTO, **options) -> DiffRun:
+    def compare(self, algorithm: Algorithm | str = Algorithm.AUTO, *, matched_rows: bool = True, **options) -> DiffRun:
+        """AUTO joins, or cuts segments if there is a segment key. Without matched_rows (matched rows counted, not listed) it
+        first estimates from a sketch of both sides how many rows differ, and takes the strategy that moves least."""
         began = time.time()
         algorithm = Algorithm(algorithm)
+        estimating = algorithm is Algorithm.AUTO and not matched_rows and not self.segment_key
         if algorithm is Algorithm.AUTO:
             algorithm = Algorithm.BISECTION if self.segment_key else Algorithm.JOIN_DIFF
         run = DiffRun(algorithm, self.keys, *self.names, schema_differences=compare_schemas(self.source, self.target))
@@ -236,7 +239,12 @@ class TableDiff:
                 for name, df in zip(self.names, (a, b)):
                     if not df.groupBy(*[column(k) for k in keys]).count().where("count > 1").isEmpty():
                         raise ValueError(f"{name} has duplicate keys")
-            if algorithm is Algorithm.BISECTION:
+            told = None
+            if estimating or algorithm is Algorithm.SKETCH_DIFF:
+                algorithm, told = self._by_sketch(run, a, b, keys, values, multiset, estimating)
+            if told:
+                run.rows, run.metadata = told
+            elif algorithm is Algorithm.BISECTION:
                 from .bisect import bisect
 
                 run.rows, run.metadata = bisect(a, b, keys, values, self.segment_key or keys[0], null_safe_keys=self.null_safe, multiset=multiset, **options)
@@ -251,6 +259,22 @@ class TableDiff:
         run.execution_time_seconds = time.time() - began
         return run
 
+    def _by_sketch(self, run: DiffRun, a: DataFrame, b: DataFrame, keys: list[str], values: list[str], multiset: bool, free: bool) -> tuple[Algorithm, tuple[DataFrame, dict] | None]:
+        """The strategy taken, and rows and counts if that is the sketch itself. free: any strategy may be taken."""
+        from . import reconcile as R
+
+        if self.duplicates == "fanout" and not free:
+            raise ValueError("SKETCH_DIFF needs duplicates multiset or error: pairs of different rows of one key are lost where a key's rows are equal on both sides")
+        x, y = (a, b) if self.null_safe else (R.named(a, keys), R.named(b, keys))
+        found = R.difference(x, y, keys + values)
+        run.metadata = {"estimated_differences": found.rows}
+        run.algorithm = R.choose(found, self.duplicates != "fanout") if free else Algorithm.SKETCH_DIFF
+        told = R.sketch_classify(a, b, keys, values, self.null_safe, multiset, found) if run.algorithm is Algorithm.SKETCH_DIFF else None
+        if run.algorithm is Algorithm.SKETCH_DIFF and told is None:
+            run.algorithm = Algorithm.HASH_DIFF
+            run.warnings.append(f"about {found.rows} rows differ, more than a sketch tells: compared by hashes")
+        return run.algorithm, told
+
 
 def anti_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of a that b does not have."""

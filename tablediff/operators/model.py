@@ -18,7 +18,7 @@ class Status(str, Enum):
 
 
 class Algorithm(str, Enum):
-    JOIN_DIFF, CROSS_DB_DIFF, HASH_DIFF, BISECTION, AUTO = "JOIN_DIFF", "CROSS_DB_DIFF", "HASH_DIFF", "BISECTION", "AUTO"
+    JOIN_DIFF, CROSS_DB_DIFF, HASH_DIFF, BISECTION, SKETCH_DIFF, AUTO = "JOIN_DIFF", "CROSS_DB_DIFF", "HASH_DIFF", "BISECTION", "SKETCH_DIFF", "AUTO"
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 from itertools import combinations
 from uuid import uuid4
 
@@ -16,6 +17,7 @@ from ..metrics import connection_statistics, method_comparison, query_statistics
 from ..history import retention_victims, runs_newest_first
 from ..operators import bisect as B
 from ..operators import diff as D
+from ..operators import reconcile
 from ..operators import remote as R
 from ..operators import schema as S
 from ..operators.keys import find_keys
@@ -296,21 +298,36 @@ def range_segment_diff(spark, sf_dir):
     return flat(_compare(spark, sf_dir, "BISECTION", mode="range").differences)
 
 
-@register("select 16 as segment_count, 1 as depth_reached, 16 as segments_compared, 1 as segments_differing")
+_ROWS = "(select segment, bit_xor(hash(" + ", ".join(KEY + VALUES) + ")) as h from (select *, ntile(16) over (order by o_orderkey) as segment from {t}) group by segment)"
+
+
+@register(f"select 16 as segment_count, cast(bool_or(x.h <> y.h) as int) as depth_reached, cast(count(*) as int) as segments_compared, cast(count(*) filter (x.h <> y.h) as int) as segments_differing from {_ROWS.format(t='a')} x join {_ROWS.format(t='l')} y using (segment)")
 def bisection_metadata(spark, sf_dir):
     meta = _compare(spark, sf_dir, "BISECTION", local=True).metadata
     return spark.createDataFrame([tuple(meta[k] for k in ("segment_count", "depth_reached", "segments_compared", "segments_differing"))], "segment_count int, depth_reached int, segments_compared int, segments_differing int")
 
 
-SCHEMA_A = [("id", "int32", False), ("Name", "string", True), ("age", "int32", True), ("city", "string", True)]
-SCHEMA_B = [("ID", "int32", False), ("name", "text", True), ("city", "string", False), ("zip", "string", True)]
-_VALUES = lambda rows: ", ".join(f"('{n}', '{t}', {str(o).lower()})" for n, t, o in rows)
+#: Columns of orders under other names, of other types, left out and added.
+CHANGED = "select o_orderkey, cast(o_custkey as varchar(20)) as O_CUSTKEY, o_totalprice, cast(o_orderdate as date) as o_orderdate, o_orderpriority, o_custkey + 1 as next_custkey from {orders}"
+#: Spark's name, the common type and DuckDB's name of the types in the tables.
+KINDS = (("bigint", "int64", "BIGINT"), ("int", "int32", "INTEGER"), ("string", "string", "VARCHAR"), ("double", "float64", "DOUBLE"), ("timestamp_ntz", "datetime", "TIMESTAMP"), ("date", "date", "DATE"), ("array<float>", "array", "FLOAT[]"))
+_common = lambda c: f"case {c} " + " ".join(f"when '{duck}' then '{common}'" for _, common, duck in KINDS) + " end"
+_columns = lambda select: f"(select column_name as name, {_common('column_type')} as data_type, \"null\" = 'YES' as nullable from (describe {select}))"
 
 
-@register(f"select coalesce(x.name, y.name) as name, case when x.name is null then 'only_in_b' when y.name is null then 'only_in_a' else 'different' end as kind, x.data_type as type_a, y.data_type as type_b, x.nullable as nullable_a, y.nullable as nullable_b from (values {_VALUES(SCHEMA_A)}) x(name, data_type, nullable) full outer join (values {_VALUES(SCHEMA_B)}) y(name, data_type, nullable) on lower(x.name) = lower(y.name) where x.name is null or y.name is null or x.data_type <> y.data_type or x.nullable <> y.nullable")
+@register(f"select coalesce(x.name, y.name) as name, case when x.name is null then 'only_in_b' when y.name is null then 'only_in_a' else 'different' end as kind, x.data_type as type_a, y.data_type as type_b, x.nullable as nullable_a, y.nullable as nullable_b from {_columns('select * from orders')} x full outer join {_columns(CHANGED.format(orders='orders'))} y on lower(x.name) = lower(y.name) where x.name is null or y.name is null or x.data_type <> y.data_type or x.nullable <> y.nullable")
 def schema_diff(spark, sf_dir):
-    make = lambda rows: spark.createDataFrame(rows, "name string, data_type string, nullable boolean")
-    return S.schema_diff(make(SCHEMA_A), make(SCHEMA_B))
+    orders = table(spark, sf_dir, "orders")
+    return S.schema_diff(S.schema_rows(orders), S.schema_rows(spark.sql(CHANGED, orders=orders)))
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@register(" union all ".join(f"select '{t}' as table_name, cast(ordinal_position - 1 as int) as position, column_name as name, {_common('data_type')} as data_type, is_nullable = 'YES' as nullable from information_schema.columns where table_name = '{t}'" for t in TABLES))
+def table_schemas(spark, sf_dir):
+    found = [S.schema_rows(table(spark, sf_dir, t)).select(F.lit(t).alias("table_name"), "position", "name", "data_type", "nullable") for t in TABLES]
+    return reduce(DataFrame.unionByName, found)
 
 
 @register("select o_orderkey, o_orderstatus, o_orderpriority from b")
@@ -320,7 +337,10 @@ def common_columns_projection(spark, sf_dir):
     return S.project_common(a.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"), renamed)[1]
 
 
-@register("select true as same_columns, false as same_columns_without_one")
+_names = lambda select: f"(select list_sort(list(lower(column_name))) from (describe {select}))"
+
+
+@register(f"select {_names('select * from orders')} = {_names(TARGET.format(orders='orders'))} as same_columns, {_names('select * from orders')} = {_names('select * exclude (o_custkey) from orders')} as same_columns_without_one")
 def check_schema(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     return spark.createDataFrame([(S.check_schema(a, b), S.check_schema(a, b.drop("o_custkey")))], "same_columns boolean, same_columns_without_one boolean")
@@ -331,12 +351,11 @@ def key_uniqueness(spark, sf_dir):
     return S.key_uniqueness(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-TYPE_CASES = [("snowflake", "VARCHAR", "string"), ("snowflake", "NUMBER", "decimal"), ("snowflake", "VARIANT", "json"), ("snowflake", "VARCHAR(255)", "string"), ("postgresql", "numeric(10,2)", "decimal"), ("postgresql", "nonesuch", "string"), ("mysql", "YEAR", "int16"), ("bigquery", "STRUCT", "object"), ("databricks", "BIGINT", "int64"), ("databricks", "ARRAY<INT>", "array")]
-
-
-@register("select * from (values " + ", ".join(f"('{s}', '{n}', '{c}')" for s, n, c in TYPE_CASES) + ") t(system, native_type, common_type)")
+@register(" union all ".join("select '" + t + "' as table_name, column_name, case data_type " + " ".join(f"when '{duck}' then '{own}'" for own, _, duck in KINDS) + f" end as native_type, {_common('data_type')} as common_type from information_schema.columns where table_name = '{t}'" for t in TABLES))
 def type_mapping(spark, sf_dir):
-    return spark.createDataFrame([(s, n, map_type(s, n)) for s, n, _ in TYPE_CASES], "system string, native_type string, common_type string")
+    # the types of all tables by the names that a Spark warehouse gives them
+    found = [(t, f.name, f.dataType.simpleString(), map_type("databricks", f.dataType.simpleString())) for t in TABLES for f in table(spark, sf_dir, t).schema]
+    return spark.createDataFrame(found, "table_name string, column_name string, native_type string, common_type string")
 
 
 ATTEMPTS = "select event_type as source_type, case when user_id % 3 = 0 then 'arrow' when user_id % 3 = 1 then 'native' else 'jdbc' end as method, cast(event_id % 1000 as double) / 8 as duration, event_id % 7 <> 0 as success, case when event_id % 7 <> 0 then null when event_id % 2 = 0 then ' Auth failed: user ' || (event_id % 5) else 'Network timeout' end as error, ts from {events}"
@@ -587,3 +606,74 @@ def _unique_sets():
 def key_discovery(spark, sf_dir):
     found = [(name, ",".join(k)) for name, (columns, most) in KEYED.items() for k in find_keys(table(spark, sf_dir, name), most, columns.split())]
     return spark.createDataFrame(found, "table_name string, key_columns string")
+
+
+@register("select a.o_orderkey, a.o_orderpriority as source_priority, l.o_orderpriority as target_priority from a join l on a.o_orderkey = l.o_orderkey where a.o_orderpriority <> l.o_orderpriority")
+def sketch_diff(spark, sf_dir):
+    # a few edits: told by the first sketch
+    rows = D.TableDiff(*sides(spark, sf_dir, local=True), KEY).compare("SKETCH_DIFF").modified_rows
+    return rows.select("key.*", F.col("source_values.o_orderpriority").alias("source_priority"), F.col("target_values.o_orderpriority").alias("target_priority"))
+
+
+@register(f"select o_orderkey, status from ({CLASSIFIED}) where status <> 'matched'")
+def auto_diff(spark, sf_dir):
+    # the strategy follows from an estimate of how many rows differ
+    return flat(D.TableDiff(*sides(spark, sf_dir), KEY).compare("AUTO", matched_rows=False).differences)
+
+
+SKETCHED = ["o_orderkey", "o_custkey", "o_orderpriority"]
+_short = lambda text: f"cast('0x' || substr(md5({text}), 1, {reconcile.BITS // 4}) as bigint)"
+_ID = _short(" || ".join(f"coalesce('V' || length(cast({c} as varchar)) || ':' || {c}, 'N')" for c in SKETCHED))
+
+
+@register(f"""select cast(least(bit_count((chk & -chk) - 1), {reconcile.STRATA - 1}) as int) as stratum, cast(part as int) as part, (id >> ({reconcile.SHIFT} * part)) % {reconcile.CELLS} as cell,
+ cast(sum(sign) as bigint) as surplus, cast(sum(cast(sign as hugeint) * id) as decimal(38,0)) as id_sum, cast(sum(cast(sign as hugeint) * chk) as decimal(38,0)) as check_sum, count(*) filter (sign = 1) as source_rows, count(*) filter (sign = -1) as target_rows
+ from (select id, sign, {_short('cast(id as varchar)')} as chk, unnest(range({reconcile.PARTS})) as part from (select {_ID} as id, 1 as sign from a union all select {_ID}, -1 from b)) group by all""")
+def difference_sketch(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return reconcile.sketch(a.select(*SKETCHED), b.select(*SKETCHED), SKETCHED)
+
+
+_MORE = "(select count(*) from (select distinct * from (select {c} from {x} except all select {c} from {y})))"
+
+
+@register("select " + f"{_MORE.format(c=', '.join(SKETCHED), x='a', y='b')} + {_MORE.format(c=', '.join(SKETCHED), x='b', y='a')} as differing_rows, true as within_a_factor_of_two")
+def difference_estimate(spark, sf_dir):
+    a, b = (x.select(*SKETCHED) for x in sides(spark, sf_dir))
+    exact = a.exceptAll(b).distinct().unionByName(b.exceptAll(a).distinct()).agg(F.count("*").alias("differing_rows"))
+    found = reconcile.difference(a, b, SKETCHED).rows
+    return exact.withColumn("within_a_factor_of_two", F.lit(found).between(F.col("differing_rows") / 2, F.col("differing_rows") * 2))
+
+
+@register(f"select method, unnest(list_distinct(list(substr(trim(split_part(error, ':', 1)), 1, 50)) filter (error is not null))) as error_type from {AT} group by method")
+def method_error_types(spark, sf_dir):
+    return method_comparison(_attempts(spark, sf_dir)).select("method", F.explode("error_types").alias("error_type"))
+
+
+@register(f"select source_type, method, count(*) as total_attempts, count(*) filter (success) as successful_attempts, max(duration) as max_duration from {AT} where method = 'jdbc' and ts >= timestamp '2024-01-15' group by 1, 2")
+def filtered_statistics(spark, sf_dir):
+    found = connection_statistics(_attempts(spark, sf_dir), method="jdbc", since=datetime(2024, 1, 15))
+    return found.select("source_type", "method", "total_attempts", "successful_attempts", "max_duration")
+
+
+@register(f"select count(*) as total_queries, count(*) / ((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 60) as queries_per_minute from {AT}")
+def query_rate(spark, sf_dir):
+    q = _attempts(spark, sf_dir).withColumn("rows_affected", F.lit(1).cast("long")).withColumn("bytes", F.lit(8).cast("long")).withColumn("at", F.col("ts"))
+    return query_statistics(q).select("total_queries", "queries_per_minute")
+
+
+@register(f"""select s.project_id, s.source_type, s.source_name, '["o_orderkey"]' as key_columns, w.status, w.mismatched_columns, w.source_values is null as without_values, w.n from
+ (select '00000000-0000-0000-0000-000000000001' as project_id, 'parquet' as source_type, 'orders' as source_name) s cross join
+ (select d.status, case when d.status = 'modified' then '[' || concat_ws(',', {', '.join(f"case when a.{c} is distinct from b.{c} then {chr(39)}{chr(34)}{c}{chr(34)}{chr(39)} end" for c in VALUES)}) || ']' end as mismatched_columns, cast(null as varchar) as source_values, count(*) as n
+  from ({DETAIL}) d left join a on a.o_orderkey = d.o_orderkey left join b on b.o_orderkey = d.o_orderkey group by 1, 2) w""")
+def history_without_values(spark, sf_dir):
+    # defaults, one source and one job however often they are asked for, and rows without their values
+    from ..history import History
+
+    history = History(spark, f"{shared_folder(spark)}/history-{uuid4().hex}")
+    history.setup()
+    jobs = {history.job("orders", "orders_target", KEY, source_id=history.source("parquet", "orders")) for _ in range(2)}
+    history.save(jobs.pop(), _compare(spark, sf_dir, "JOIN_DIFF"))
+    source, job = history.read("project_source").where("source_type = 'parquet'"), history.read("diff_job").select("job_id", "key_columns")
+    rows = history.read("diff_row").groupBy("job_id", "status", "mismatched_columns", F.col("source_values").isNull().alias("without_values")).agg(F.count("*").alias("n"))
+    return rows.join(job, "job_id").crossJoin(source).select("project_id", "source_type", "source_name", "key_columns", "status", "mismatched_columns", "without_values", "n")  # one source, one job
