@@ -93,7 +93,7 @@ def test_languages(spark, odd):
     assert sum(r.lang_pred == r.lang for r in found) >= 0.97 * len(found) and len(found) > 100
     model = language_id.learn(docs, 60)
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()}
-    assert got[None] == ("und", 0.0) and got[0] == ("und", 0.0) and got[6] == ("und", 0.0) or got[6][0] in model.langs
+    assert got[None] == ("und", 0.0) and got[0] == ("und", 0.0) and (got[6] == ("und", 0.0) or got[6][0] in model.langs)
     assert language_id.identify(odd.limit(0), model).count() == 0
     assert language_id.LanguageModel([], []).predict("text") == ("und", 0.0)
     assert language_id.family("es") == language_id.family("fr") != language_id.family("de") and language_id.family("xx") == "xx"
