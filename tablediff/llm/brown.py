@@ -321,7 +321,7 @@ def learn(found: DataFrame, vocabulary: DataFrame, k: int = CLASSES, core: int =
 def score(docs: DataFrame, k: int = CLASSES, core: int = CORE, endings: int = ENDINGS, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    found = materialise(blocks(docs, block_bytes), "brown-blocks")
+    found = materialise(blocks(docs, block_bytes), "brown-blocks", rows_a_file=1)
     each = found.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.seen").alias("n"))
     vocabulary = materialise(each.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "brown-words")
     model = ship(spark, learn(found, vocabulary, k, core, endings, rounds))
@@ -341,7 +341,9 @@ def score(docs: DataFrame, k: int = CLASSES, core: int = CORE, endings: int = EN
         return pa.Table.from_batches(out)
 
     placed = found.select("block", F.posexplode("words").alias("at", "word")).join(vocabulary, "word").select(F.col("block").alias("of"), "at", "n")
-    return found.drop("seen").groupBy("block").cogroup(placed.groupBy("of")).applyInArrow(run, SCORES)
+    # about one block for each task, so that a task reads as much however many blocks there are
+    parts = max(found.select("block").count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return found.drop("seen").repartition(parts, "block").groupBy("block").cogroup(placed.repartition(parts, "of").groupBy("of")).applyInArrow(run, SCORES)
 
 
 def op13_brown_score(spark: SparkSession, sf_dir: str) -> DataFrame:

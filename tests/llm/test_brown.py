@@ -141,3 +141,14 @@ def test_empty_tables(spark):
     only = next(i for i in range(100) if held(i))
     row = B.score(spark.createDataFrame([(only, "a b", "", 0)], SCHEMA)).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and math.isfinite(row.score) and row.base_score == pytest.approx(0.0)
+
+
+def test_a_file_holds_one_block(spark, monkeypatch):
+    from tablediff.llm import common
+
+    written = []
+    monkeypatch.setattr(common, "scratch_path", lambda spark, label, real=common.scratch_path: written.append(real(spark, label)) or written[-1])
+    docs = spark.createDataFrame([(i, "red cat sleeps " * 20) for i in range(60)], "doc_id long, text string").coalesce(1)
+    assert B.score(docs, 6, 12, 8, 1, 2000).count() == 60
+    blocks = spark.read.parquet(next(p for p in written if "brown-blocks" in p)).groupBy("_metadata.file_path").count().collect()
+    assert len(blocks) > 5 and {r["count"] for r in blocks} == {1}
