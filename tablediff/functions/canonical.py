@@ -95,6 +95,14 @@ def row_digest(system: str, texts: list[str]) -> str:
     return d.digest.format(d.joined(parts) if parts else "''")
 
 
+def hashes_sql(system: str, named, keys: list[str], kinds: dict[str, str], table: str) -> str:
+    """SQL for keys and a digest of the columns in kinds, which are of these common types; named quotes a name."""
+    texts = {c: canonical(system, kind, named(c)) for c, kind in kinds.items()}
+    if gone := [c for c, t in texts.items() if t is None]:
+        raise ValueError(f"{system} has no canonical text for {', '.join(gone)}")
+    return f"select {', '.join(map(named, keys))}, {row_digest(system, list(texts.values()))} as row_hash from {table}"
+
+
 def digest_number(system: str, digest: str) -> str:
     """SQL for the first 15 hexadecimal digits of a digest as a whole number."""
     return dialect(system).number.format(digest)

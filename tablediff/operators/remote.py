@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.canonical import WHOLE, canonical, dialect, digest_number, literal, row_digest
+from ..functions.canonical import WHOLE, canonical, dialect, digest_number, hashes_sql, literal, row_digest
 from ..functions.names import common_columns, non_keys, resolve
 from ..functions.types import from_spark
 from ..scratch import stored
@@ -57,6 +57,10 @@ class Side:
     def count(self) -> int:
         return self.ask("select count(*) as n from {t}").first()[0]
 
+    def hashes(self, keys: list[str], kinds: dict[str, str]) -> DataFrame:
+        """Keys and row_hash, a digest of the columns in kinds (their common types), made by the system."""
+        return self.ask(hashes_sql(self.system, self.name, keys, kinds, "{t}"))
+
 
 class RemoteDiff:
     """As TableDiff for tables of which one or both stay in their system. source and target: (RemoteSource, table) or a DataFrame."""

@@ -529,20 +529,20 @@ def derby(spark, df):
     return open_source(spark, Config("jdbc", url=url, extra={"driver": DERBY_DRIVER}))
 
 
-def _in_derby(spark, sf_dir, algorithm, local=False):
-    """Both sides in a database of their own, prices as decimals, compared there."""
+def _remote(spark, sf_dir, algorithm, local=False):
+    """Both sides asked in SQL, prices as decimals. Spark is the system that holds them: a database in one JVM cannot be seen by a cluster, nor hold large tables."""
     a, b = (x.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(15,2)")) for x in sides(spark, sf_dir, local))
-    return R.RemoteDiff((derby(spark, a), "T"), (derby(spark, b), "T"), KEY, duplicates="fanout").compare(algorithm)
+    return R.RemoteDiff(a, b, KEY, duplicates="fanout").compare(algorithm)
 
 
 @register(f"select o_orderkey, status from ({CLASSIFIED}) where status <> 'matched'")
 def remote_hash_diff(spark, sf_dir):
-    return flat(_in_derby(spark, sf_dir, "HASH_DIFF").differences)
+    return flat(_remote(spark, sf_dir, "HASH_DIFF").differences)
 
 
 @register("select a.o_orderkey, a.o_orderpriority as source_priority, l.o_orderpriority as target_priority from a join l on a.o_orderkey = l.o_orderkey where a.o_orderpriority <> l.o_orderpriority")
 def remote_segment_diff(spark, sf_dir):
-    rows = _in_derby(spark, sf_dir, "BISECTION", local=True).modified_rows
+    rows = _remote(spark, sf_dir, "BISECTION", local=True).modified_rows
     return rows.select("key.*", F.col("source_values.o_orderpriority").alias("source_priority"), F.col("target_values.o_orderpriority").alias("target_priority"))
 
 
@@ -550,8 +550,8 @@ def remote_segment_diff(spark, sf_dir):
 def remote_row_hashes(spark, sf_dir):
     # made by the system that holds the table
     _, b = sides(spark, sf_dir)
-    source = derby(spark, b.select("o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority"))
-    return source.hashes("T", ["o_orderkey"], {"o_orderkey": "int64", "o_orderdate": "date", "o_orderpriority": "string"}).toDF("o_orderkey", "row_hash")
+    held = R.Side.of(b.withColumn("o_orderdate", F.col("o_orderdate").cast("date")))
+    return held.hashes(["o_orderkey"], {"o_orderkey": "int64", "o_orderdate": "date", "o_orderpriority": "string"})
 
 
 def _two_files(spark, sf_dir, first, second):

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical, dialect, row_digest
+from ..functions.canonical import dialect, hashes_sql
 from ..functions.names import IDENTIFIER_CASE, check_identifier, column, quote_identifier, split_name, sql_literal
 from ..functions.types import from_spark, map_type
 from ..metrics import Recorder, shared_recorder
@@ -359,10 +359,7 @@ class RemoteSource(Source):
         """Keys and a hash of the columns (their common types, or text if none are given), made by the system itself, so that no other value is sent. Null and empty differ, and values cannot run together."""
         system = self.dialect()
         kinds = columns if isinstance(columns, dict) else dict.fromkeys(columns, "string")
-        texts = {c: canonical(system, kind, self._named(c)) for c, kind in kinds.items()}
-        if gone := [c for c, t in texts.items() if t is None]:
-            raise ValueError(f"{system} has no canonical text for {', '.join(gone)}")
-        return self.remote_query(f"select {', '.join(map(self._named, keys))}, {row_digest(system, list(texts.values()))} as row_hash from {self._named(name)}")
+        return self.remote_query(hashes_sql(system, self._named, keys, kinds, self._named(name)))
 
     def rows_where(self, name: str, predicates: list[str]) -> DataFrame:
         """The rows that meet one of the predicates, which exclude each other: over JDBC each is a statement and a task of its own."""

@@ -106,3 +106,31 @@ def test_every_type_has_a_text_or_is_read():
     with pytest.raises(ValueError):
         canonical("oracle", "string", "x")
     assert len(DERBY_FUNCTIONS) == 2
+
+
+def test_queries_run_on_a_cluster():
+    """Executors in JVMs of their own, as on a cluster; rows as many as those of the SQL, the rows themselves are compared elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute("create view orders as select * from '/root/testdata/sf0.001/orders.parquet'")
+    want = [len(con.execute(entry.oracle_sql()[q]).fetchall()) for q in ("remote_hash_diff", "remote_segment_diff", "remote_row_hashes")]
+
+    run = """
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry, tempfile
+folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+b = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://" + folder).config("spark.local.dir", folder).config("spark.sql.shuffle.partitions", "4")
+spark = b.getOrCreate()
+print([entry.queries()[q](spark, "/root/testdata/sf0.001").count() for q in ("remote_hash_diff", "remote_segment_diff", "remote_row_hashes")])
+spark.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = subprocess.run([sys.executable, "-c", run], cwd=root, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert found.stdout.strip().endswith(str(want)), found.stderr[-2000:]
