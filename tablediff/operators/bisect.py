@@ -5,17 +5,20 @@ ranges of the key, written once, counted for each range, and offset by the range
 stand in a differing segment of either side are classified together, so a row that moves to the next segment is not reported.
 
 range: the same bounds of the segment key for both sides, taken from the source's quantiles; a segment that differs and
-holds more than threshold rows is cut again, down to max_depth. Each level is one job for all segments: sums of both sides, and the
-bounds of the next level; only rows of the segments that are cut again are read for it. Keys that are no numbers are cut by a
-number that follows their order (dates, times, texts by the bytes after what all have in common) or by a hash.
+holds more than threshold rows is cut again, down to max_depth. The finest level that threshold asks for, MOST_CELLS cells at most, is
+counted and summed at once, in one pass over each side; coarser levels add up its sums, and then only rows of segments that
+differ are read. Keys that are no numbers are cut by a number that follows their order (dates, times, texts by the bytes after what all have in common) or by a hash.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +66,7 @@ def _compared(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
     if "seg_sum" in a.columns:
         wrong = wrong | ~F.col("a.seg_sum").eqNullSafe(F.col("b.seg_sum"))
     rows = F.greatest(F.coalesce("a.row_count", F.lit(0)), F.coalesce("b.row_count", F.lit(0)))
-    bounds = ["a.inner"] if "inner" in a.columns else []
-    return joined.select("segment", F.col("a.row_count").alias("rows_a"), F.col("b.row_count").alias("rows_b"), (rows > threshold).alias("over_threshold"), wrong.alias("wrong"), *bounds)
+    return joined.select("segment", F.col("a.row_count").alias("rows_a"), F.col("b.row_count").alias("rows_b"), (rows > threshold).alias("over_threshold"), wrong.alias("wrong"))
 
 
 def differing(a: DataFrame, b: DataFrame, threshold: int = SEGMENT_THRESHOLD) -> DataFrame:
@@ -122,69 +124,64 @@ def _number(df: DataFrame, other: DataFrame, key: str) -> Column:
     return F.when(c.isNotNull(), F.xxhash64(c))
 
 
-#: Segments of a level are numbered within the one that they cut: 0 holds nulls.
-WIDTH = 64
+#: Cells of the finest level at most: what goes through the driver, however large the tables are.
+MOST_CELLS = 1 << 16
 
 
-def _cut(df: DataFrame, bounds: dict[int, list], kind: str) -> DataFrame:
-    """The rows of df in the segments that bounds has, with the finer segment in place of theirs."""
-    finer = F.when(F.col("__p").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("__p"))) + 1)
-    return df.join(_broadcast(df.sparkSession, bounds, kind), "segment").withColumn("segment", F.col("segment") * WIDTH + finer).drop("bounds")
-
-
-def _broadcast(spark, bounds: dict[int, list], kind: str) -> DataFrame:
-    """A table of the bounds of each segment; as many rows as segments were found to differ."""
-    held = pa.list_(pa.float64() if kind == "double" else pa.int64())
-    return F.broadcast(spark.createDataFrame(pa.table({"segment": pa.array(list(bounds), pa.int64()), "bounds": pa.array(list(bounds.values()), held)})))
+def _in_cells(df: DataFrame, number: Column, bounds: list[float]) -> DataFrame:
+    """df with cell: how many of bounds the number has reached; for a null (or NaN) one more than there are bounds."""
+    numbered = df.withColumn("__p", F.coalesce(number.cast("double"), F.lit(float("nan"))))
+    if not bounds:
+        return numbered.withColumn("cell", F.isnan("__p").cast("long")).drop("__p")
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__p", outputCol="__cell", handleInvalid="keep")
+    return cut.transform(numbered).withColumn("cell", F.col("__cell").cast("long")).drop("__p", "__cell")
 
 
 def _ranges(a, b, keys, values, key, text, segments, threshold, max_depth, whole, null_safe_keys) -> tuple[DataFrame, dict]:
-    if not 1 < segments < WIDTH:
-        raise ValueError(f"segments is at least 2 and under {WIDTH}")
-    number = _number(a, b, key)
-    shares = [i / segments for i in range(1, segments)]
-    quantiles = F.percentile_approx("__p", shares, 10_000)
-    narrow = lambda df: df.select(number.alias("__p"), short_hash(text).alias("__h"), F.lit(1).cast("long").alias("segment"))
-    first = a.agg(F.percentile_approx(number, shares, 10_000).alias("q"), F.count("*").alias("n")).first()
-    kind = "double" if isinstance(a.select(number).schema[0].dataType, T.DoubleType) else "long"
-    levels, leaves, count, compared, depth, rows_wrong = [{1: sorted(set(first.q or []))}], [], 0, 0, 0, 0
-    while True:
-        x, y = narrow(a), narrow(b)
-        for bounds in levels:
-            x, y = _cut(x, bounds, kind), _cut(y, bounds, kind)
-        sums_a = x.groupBy("segment").agg(*_sums(F.col("__h")), quantiles.alias("inner"))
-        found = differing(sums_a, y.groupBy("segment").agg(*_sums(F.col("__h"))), threshold).collect()  # a row for each differing segment of this level
-        new = sum(len(q) + 1 for q in levels[-1].values())
-        count, compared = count + new - (len(levels[-1]) if depth else 0), compared + new + len(levels[-1])
-        depth += bool(found)
-        again = {}
-        for r in found:
-            inner = sorted(set(r.inner or []))
-            # a segment with few rows of the source, or of one number, cannot be cut by the source's quantiles
-            if (r.rows_a or 0) > threshold and depth < max_depth and r.segment % WIDTH and len(inner) > 1:
-                again[r.segment] = inner
-            else:
-                leaves.append(r.segment)
-                rows_wrong += r.rows_a or 0
-        if not again:
+    if not 1 < segments < 64:
+        raise ValueError("segments is at least 2 and under 64")
+    number, n, deepest = _number(a, b, key), a.count(), 1
+    while deepest < max_depth and segments**deepest * threshold < 2 * n and segments ** (deepest + 1) <= MOST_CELLS:
+        deepest += 1
+    grid = segments**deepest
+    shares = [i / grid for i in range(1, grid)]
+    bounds = np.array(a.agg(F.percentile_approx(number.cast("double"), shares, max(2 * grid, 10_000)).alias("q")).first().q or [], float)
+    own = np.unique(bounds[np.isfinite(bounds)])
+    # cells before each place of the grid; equal bounds have none between them
+    cuts = np.concatenate([[0], np.searchsorted(own, bounds, "right") if len(bounds) else np.ones(grid - 1, int), [len(own) + 1]])
+    sums = lambda df: _in_cells(df.select(number.alias("__n"), short_hash(text).alias("__h")), F.col("__n"), own.tolist()).groupBy(F.col("cell").alias("segment")).agg(*_sums(F.col("__h")))
+    rows, wrong, null = np.zeros(len(own) + 2, np.int64), np.zeros(len(own) + 2, bool), len(own) + 1
+    for r in _compared(sums(a), sums(b), threshold).collect():  # a row for each cell
+        rows[r.segment], wrong[r.segment] = r.rows_a or 0, r.wrong
+    leaves = [(null, null + 1)] if wrong[null] else []
+    level, count, compared, depth = [(0, grid)], 1, 1, 0  # nulls are a segment; segments go by places of the grid
+    for at in range(1, deepest + 1):
+        step, pieces = grid // segments**at, []
+        for low, high in level:
+            places = range(low, high + 1, step)
+            pieces += [(x, y) for x, y in zip(places, places[1:]) if cuts[y] > cuts[x]]
+        count, compared = count + len(pieces) - (len(level) if at > 1 else 0), compared + len(pieces)
+        found = [(x, y) for x, y in pieces if wrong[cuts[x] : cuts[y]].any()]
+        depth += bool(found) or at == 1 and bool(leaves)
+        # a segment with few rows of the source, or of one cell, is not cut again
+        level = [(x, y) for x, y in found if at < deepest and rows[cuts[x] : cuts[y]].sum() > threshold and cuts[y] - cuts[x] > 1]
+        again = set(level)
+        leaves += [(int(cuts[x]), int(cuts[y])) for x, y in found if (x, y) not in again]
+        if not level:
             break
-        levels.append(again)
-    take = lambda df: _of_leaves(df, number, levels, kind, leaves)
-    meta = {"segment_count": count, "depth_reached": depth, "segments_compared": compared, "segments_differing": len(leaves), "rows_in_equal_segments": first.n - rows_wrong}
+    taken = np.zeros(len(rows), bool)
+    for low, high in leaves:
+        taken[low:high] = True
+    take = lambda df: _of_cells(df, number, own.tolist(), taken)
+    meta = {"segment_count": count, "depth_reached": depth, "segments_compared": compared, "segments_differing": len(leaves), "rows_in_equal_segments": n - int(rows[taken].sum())}
     return whole(take(a), take(b), keys, values, null_safe_keys), meta
 
 
-def _of_leaves(df: DataFrame, number: Column, levels: list[dict[int, list]], kind: str, leaves: list[int]) -> DataFrame:
-    """The rows of df that stand in one of leaves, segments of any level."""
-    if not leaves:
+def _of_cells(df: DataFrame, number: Column, bounds: list[float], taken: np.ndarray) -> DataFrame:
+    """The rows of df in cells that are taken."""
+    if not taken.any():
         return df.limit(0)
-    spark, columns, numbered = df.sparkSession, df.columns, df.withColumn("__p", number).withColumn("segment", F.lit(1).cast("long"))
-    deepest = numbered
-    for i, bounds in enumerate(levels):
-        if i == 0:
-            deepest = _cut(deepest, bounds, kind)
-            continue
-        finer = F.when(F.col("__p").isNull(), 0).otherwise(F.size(F.filter("bounds", lambda x: x < F.col("__p"))) + 1)
-        deepest = deepest.join(_broadcast(spark, bounds, kind), "segment", "left").withColumn("segment", F.when(F.col("bounds").isNull(), F.col("segment")).otherwise(F.col("segment") * WIDTH + finer)).drop("bounds")
-    wanted = spark.createDataFrame(pa.table({"segment": pa.array(leaves, pa.int64())}))
-    return deepest.join(F.broadcast(wanted), "segment", "left_semi").select(*[column(c) for c in columns])
+    if taken[:-1].all():  # but for nulls nothing is left out
+        return df if taken[-1] else df.where(number.isNotNull() & ~F.isnan(number.cast("double")))
+    wanted = F.broadcast(df.sparkSession.createDataFrame(pa.table({"cell": pa.array(np.flatnonzero(taken), pa.int64())})))
+    return _in_cells(df, number, bounds).join(wanted, "cell", "left_semi").select(*[column(c) for c in df.columns])

@@ -169,6 +169,20 @@ def test_segments_take_few_jobs_and_keep_nothing(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
+def test_each_side_is_summed_once_however_deep(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablediff.operators import bisect
+
+    calls, real = [], bisect._sums
+    monkeypatch.setattr(bisect, "_sums", lambda h: calls.append(1) or real(h))
+    a = spark.range(20_000).select(F.when(F.col("id") > 20, F.col("id") % 9000).alias("k"), "id", F.lit(0).alias("v"))
+    b = a.withColumn("v", F.when(F.col("id") % 7000 == 5, 1).otherwise(0))
+    run = TableDiff(a, b, ["k", "id"]).compare("BISECTION", mode="range", threshold=100)
+    assert run.metadata["depth_reached"] > 1 and len(calls) == 2
+    assert sorted(r.key.id for r in run.differences.collect()) == [5, 7005, 14005] and run.summary.matched == 19_997
+
+
 def test_warnings(spark):
     a = spark.createDataFrame([(1, "x", 5)], "id int, v string, s int")
     run = TableDiff(a, a, "id", segment_key="s").compare()
