@@ -293,3 +293,25 @@ def test_planted_secrets_are_found_where_they_stand(spark):
 def test_secret_candidates_of_documents_stay(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()]
     assert all(a < b <= len(t) for t in texts for a, b in secrets.find_candidates(t))
+
+
+def test_words_in_common_are_counted_for_many_candidates_at_once():
+    import numpy as np
+
+    from tablediff.llm import decontaminate as D
+
+    rng = np.random.default_rng(5)
+    index = D.Index([(i, " ".join(f"w{x}" for x in rng.integers(0, 60, n))) for i, n in enumerate((5, 20, 70, 150))])
+    has = np.zeros((4, -(-len(index.known) // 8) * 8), bool)
+    for i, s in enumerate(index.sequences):
+        has[i, s] = True
+    index.has = np.packbits(has, axis=1, bitorder="little")
+    texts = [rng.integers(-1, len(index.known), n).astype(np.int32) for n in (0, 40, 300, 3)]
+    flat = np.concatenate(texts)
+    of, start, passage = rng.integers(0, 4, 400), rng.integers(0, 22, 400), rng.integers(0, len(index.passages), 400)
+    got = index._enough(texts, (flat[flat >= 0], np.concatenate([[0], np.cumsum(flat >= 0)])), of, start, 2, passage)
+    for t, s, p, enough in zip(of, start, passage, got):
+        i, b, e = index.passages[p]
+        region = texts[t][max((s - 1) * D.BLOCK - D.margin(b), 0) : (s + 3) * D.BLOCK + D.margin(len(index.sequences[i]) - e)]
+        assert enough == (sum(int(w) in index.sequences[i] for w in region if w >= 0) >= D.PARAPHRASE * len(index.sequences[i]))
+    assert got.any() and not got.all()
