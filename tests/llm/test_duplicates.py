@@ -125,6 +125,22 @@ def test_trie_keeps_every_link(spark, hot):
     assert (forest.label == want.label).all()
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    keys = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList
+    tasks = lambda: sum((e := executors(True)).apply(k).totalTasks() for k in range(executors(True).size()))
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        began = tasks()
+        links = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+        assert {r.root for r in components(links).collect()} == {0} and tasks() - began < 2500
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (80, 90), (7, 7), (None, 3)], "a long, b long")
     found = {r.node: r.root for r in components(links).collect()}
