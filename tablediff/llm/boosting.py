@@ -1,10 +1,17 @@
-"""Gradient-boosted trees with logistic loss over binned dense features, and isotonic calibration. Fitted on the driver from a bounded sample."""
+"""Gradient-boosted trees with logistic loss over binned dense features, and isotonic calibration.
+
+A tree grows level by level from sums of its rows (gradients, second derivatives, counts) over nodes, features and bins, and the
+sums of parts of the rows add up to those of all; so rows may lie in any number of tasks. Gradients are rounded to EXACT, which
+makes sums of doubles exact and the trees independent of the order of the rows.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 BINS = 32
+#: Gradients are multiples of it, so that doubles add up to 2**33 of them without an error.
+EXACT = 2.0**-20
 
 
 class BoostedTrees:
@@ -13,60 +20,89 @@ class BoostedTrees:
     def __init__(self, trees: int = 80, depth: int = 3, rate: float = 0.15, smooth: float = 1.0, least: int = 10):
         self.trees, self.depth, self.rate, self.smooth, self.least = trees, depth, rate, smooth, least
 
-    def _bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1).astype(np.int32)
+    def start(self, edges: list[np.ndarray], share: float) -> BoostedTrees:
+        """No trees yet; edges: of each feature the upper ends of its bins but the last, share: of rows that are 1."""
+        self.edges = [np.asarray(e, np.float32) for e in edges]
+        share = np.clip(share, 1e-3, 1 - 1e-3)
+        self.base = float(np.log(share / (1 - share)))
+        self.feature, self.cut, self.value, self.level = [], [], [], self.depth
+        return self
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float32, copy=False)
+        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1).astype(np.uint8)
+
+    def _node(self, binned: np.ndarray, tree: int, levels: int) -> np.ndarray:
+        node, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
+        for _ in range(levels):
+            at = self.feature[tree][node]
+            node = 2 * node + 1 + (binned[rows, at] > self.cut[tree][node])
+        return node
+
+    def sums(self, binned: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the rows, for the level that grows next: gradient, second derivative and count by node, feature and bin."""
+        n, f = binned.shape
+        grown = self.level % self.depth  # levels of the open tree
+        p = 1 / (1 + np.exp(-self.margin_of(binned)))
+        width = 1 << grown
+        node = self._node(binned, len(self.value), grown) - (width - 1) if grown else np.zeros(n, np.int64)
+        at = (node[:, None] * (f * BINS) + binned + np.arange(f) * BINS).ravel()
+        values = np.rint((y - p) / EXACT) * EXACT, np.rint(p * (1 - p) / EXACT) * EXACT, np.ones(n)
+        return np.stack([np.bincount(at, np.repeat(v, f), width * f * BINS) for v in values]).reshape(3, width, f, BINS)
+
+    def grow(self, sums: np.ndarray) -> None:
+        """Grows a level from the sums of all rows; behind the last one the tree has its values."""
+        grown, inner = self.level % self.depth, (1 << self.depth) - 1
+        if not grown:
+            self.level = 0
+            self.feature.append(np.zeros(inner, np.int32))
+            self.cut.append(np.full(inner, BINS, np.int32))
+        left = sums.cumsum(3)
+        total = left[..., -1:]
+        right = total - left
+        gain = left[0] ** 2 / (left[1] + self.smooth) + right[0] ** 2 / (right[1] + self.smooth) - total[0] ** 2 / (total[1] + self.smooth)
+        gain[(left[2] < self.least) | (right[2] < self.least)] = -1
+        width = sums.shape[1]
+        gain, nodes = gain.reshape(width, -1), np.arange(width)
+        best = gain.argmax(1)
+        good, first = gain[nodes, best] > 1e-9, width - 1
+        self.feature[-1][first : first + width] = best // BINS
+        self.cut[-1][first : first + width] = np.where(good, best % BINS, BINS)
+        self.level += 1
+        if self.level == self.depth:
+            own = left[:, nodes, best // BINS, np.where(good, best % BINS, BINS - 1)]
+            leaf = np.stack([own, total[:, nodes, 0, 0] - own], 2).reshape(3, -1)
+            self.value.append(self.rate * leaf[0] / (leaf[1] + self.smooth))
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
-        binned, n, f = self._bins(x), *x.shape
-        rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.base = float(np.log(rate / (1 - rate)))
-        margin, self.feature, self.cut, self.value = np.full(n, self.base), [], [], []
-        flat = binned + np.arange(f) * BINS
-        for _ in range(self.trees):
-            p = 1 / (1 + np.exp(-margin))
-            g, h = y - p, p * (1 - p)
-            node, inner = np.zeros(n, np.int64), (1 << self.depth) - 1
-            feature, cut = np.zeros(inner, np.int32), np.full(inner, BINS, np.int32)
-            for level in range(self.depth):
-                width, first = 1 << level, (1 << level) - 1
-                at = ((node - first)[:, None] * (f * BINS) + flat).ravel()
-                sums = [np.bincount(at, np.repeat(v, f), width * f * BINS).reshape(width, f, BINS) for v in (g, h, np.ones(n))]
-                left = [s.cumsum(2) for s in sums]
-                total = [s[:, :, -1:] for s in left]
-                right = [t - s for t, s in zip(total, left)]
-                gain = left[0] ** 2 / (left[1] + self.smooth) + right[0] ** 2 / (right[1] + self.smooth) - total[0] ** 2 / (total[1] + self.smooth)
-                gain[(left[2] < self.least) | (right[2] < self.least)] = -1
-                best = gain.reshape(width, -1).argmax(1)
-                good = gain.reshape(width, -1)[np.arange(width), best] > 1e-9
-                feature[first : first + width] = best // BINS
-                cut[first : first + width] = np.where(good, best % BINS, BINS)
-                node = 2 * node + 1 + (binned[np.arange(n), feature[node]] > cut[node])
-            leaf = node - inner
-            value = self.rate * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + self.smooth)
-            margin += value[leaf]
-            self.feature.append(feature), self.cut.append(cut), self.value.append(value)
+        x = x.astype(np.float32)
+        self.start([np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])], y.mean())
+        binned = self.bins(x)
+        for _ in range(self.trees * self.depth):
+            self.grow(self.sums(binned, y))
         return self
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        binned, rows, inner = self._bins(x), np.arange(len(x)), (1 << self.depth) - 1
-        out = np.full(len(x), self.base)
-        for feature, cut, value in zip(self.feature, self.cut, self.value):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (binned[rows, feature[node]] > cut[node])
-            out += value[node - inner]
+    def margin_of(self, binned: np.ndarray) -> np.ndarray:
+        """The margins of rows of bins, by the trees that have grown."""
+        out = np.full(len(binned), self.base)
+        for tree, value in enumerate(self.value):
+            out += value[self._node(binned, tree, self.depth) - ((1 << self.depth) - 1)]
         return out
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.margin_of(self.bins(x))
+
 
 class Isotonic:
     """Non-decreasing map from margins to probabilities by pooling adjacent violators."""
 
-    def fit(self, margin: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(self, margin: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> Isotonic:
+        """y: for each margin the sum of its n rows, which are one if n is not given."""
+        n = np.ones(len(margin)) if n is None else n
         order = np.argsort(margin, kind="stable")
         blocks: list[list[float]] = []  # sum, size, margin sum
-        for m, v in zip(margin[order], y[order]):
-            blocks.append([float(v), 1.0, float(m)])
+        for m, v, k in zip(margin[order], y[order], n[order]):
+            blocks.append([float(v), float(k), float(m * k)])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 s, k, t = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + k, blocks[-1][2] + t]

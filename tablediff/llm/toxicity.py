@@ -4,9 +4,12 @@ A lexicon is learned from labelled rows: words, and beginnings of words, that st
 texts than others. Beside its densities the trees see how near its words stand to a second person, how
 much is in capitals, punctuation and disguised spellings (digits or signs for letters, drawn-out letters).
 
-Learning takes a bounded sample, at most TRAIN_ROWS labelled rows in the order of a hash of their id, and
-only rows outside the held-out fold. The calibration sees the sample in PARTS parts, each scored by a lexicon and trees
-that have learned from the other parts alone. Scores see nothing but the text. Scoring reads every whole text.
+Learning takes every labelled row outside the held-out fold. Their features become bins, whose ends are quantiles of all rows'
+values (in cells of a 128th of an octave), and each level of the trees is a pass over the bins: a task sums gradients
+over nodes, features and bins, and the driver adds the sums of the tasks, of which there are as many as cores. The calibration
+sees the rows in PARTS parts, each scored by a lexicon and trees that have learned from the other parts alone, and counts them by
+margin (in steps of MARGIN_STEP). So the driver holds counts by word, cell, bin and margin, but no rows. Scores see nothing but the
+text. Scoring reads every whole text.
 
 Cases: null text counts as empty and gets the score of an empty text. Labels that are null or not 0 or 1,
 and labels of null ids, teach nothing; of several labels for one id the largest counts. Repeated rows get
@@ -23,17 +26,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .boosting import BoostedTrees, Isotonic
-from .common import give_back, held_out, materialise, read_table, released, ship, unship, whole_text
+from .boosting import BINS, BoostedTrees, Isotonic
+from .common import give_back, held_out, materialise, read_table, released, ship, sized_broadcast, unship, whole_text
 
-TRAIN_ROWS, THRESHOLD, PARTS = 24_000, 0.3, 5
+THRESHOLD, PARTS, TREES = 0.3, 5, 40
 #: Beginnings of words that the lexicon considers, in letters.
 STEMS = range(4, 10)
 LEXICON_SIZE, LEAST_WEIGHT = 4000, 2.0
 MEMO_ENTRIES = 150_000
+#: Low bits of a feature's float that its cell leaves out, rows of features in a block, terms that a task counts before it passes them on.
+CELL_BITS, BLOCK_ROWS, COUNTED = 16, 4096, 100_000
+#: Margins are counted in such steps for the calibration.
+MARGIN_STEP = 2.0**-8
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tuyo tus usted ustedes vosotros os".split())
@@ -59,11 +67,18 @@ def plain(token: str) -> str:
     return word
 
 
-def text_terms(text: str) -> set[str]:
+def text_terms(text: str, memo: dict[str, tuple[str, ...]], keep: frozenset | None = None) -> set[str]:
+    """The terms of a text, of those in keep if that is given; memo holds those of tokens."""
     out: set[str] = set()
-    for word in {plain(t) for t in set(TOKEN.findall(text))}:
-        if word:
-            out.update(terms(word))
+    for token in set(TOKEN.findall(text)):
+        own = memo.get(token)
+        if own is None:
+            if len(memo) >= MEMO_ENTRIES:
+                memo.clear()
+            word = plain(token)
+            own = memo[token] = tuple(t for t in (terms(word) if word else ()) if keep is None or t in keep)
+        if own:
+            out.update(own)
     return out
 
 
@@ -72,18 +87,24 @@ def _document_counts(rows: DataFrame, keep: frozenset | None) -> DataFrame:
     spark = rows.sparkSession
     shared = None if keep is None else spark.sparkContext.broadcast(keep)
 
+    def told(found: dict[str, list[int]]) -> pd.DataFrame:
+        counts = np.array(list(found.values()), np.int64).reshape(len(found), PARTS)
+        return pd.DataFrame({"term": pd.Series(list(found), dtype=object)} | {f"n{k}": counts[:, k] for k in range(PARTS)})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, tuple[str, ...]] = {}
+        found: dict[str, list[int]] = {}
         for batch in batches:
-            found: dict[str, list[int]] = {}
             for text, part in zip(batch.text, batch.part):
-                own = text_terms(text)
-                for term in own if shared is None else own & shared.value:
+                for term in text_terms(text, memo, None if shared is None else shared.value):
                     counts = found.get(term)
                     if counts is None:
                         counts = found[term] = [0] * PARTS
                     counts[part] += 1
-            counts = np.array(list(found.values()), np.int64).reshape(len(found), PARTS)
-            yield pd.DataFrame({"term": pd.Series(list(found), dtype=object)} | {f"n{k}": counts[:, k] for k in range(PARTS)})
+            if len(found) > COUNTED:
+                yield told(found)
+                found = {}
+        yield told(found)
 
     names = [f"n{k}" for k in range(PARTS)]
     counted = rows.select("text", "part").mapInPandas(released(run), "term string, " + ", ".join(f"{n} long" for n in names))
@@ -182,41 +203,143 @@ class ToxicityModel:
         return score
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
+def _feature_blocks(sample: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
+    """toxic, part and x of up to BLOCK_ROWS rows each, as bytes; x: the features for each lexicon."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicons)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features, held = Features(*shared.value), []
+
+        def block() -> pd.DataFrame:
+            toxic, part, x = zip(*held)
+            return pd.DataFrame({"toxic": [np.array(toxic, np.uint8).tobytes()], "part": [np.array(part, np.uint8).tobytes()], "x": [np.array(x, np.float32).tobytes()]})
+
+        for batch in batches:
+            for toxic, part, text in zip(batch.toxic, batch.part, batch.text):
+                held.append((toxic, part, np.concatenate(features.each(text))))
+                if len(held) == BLOCK_ROWS:
+                    yield block()
+                    held.clear()
+        if held:
+            yield block()
+
+    return materialise(sample.mapInPandas(released(run), "toxic binary, part binary, x binary"), "toxicity-features", 1)
+
+
+def _rows(blocks: Iterator[tuple[bytes, bytes, bytes]], kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """toxic, part and features (or bins) of each block, the latter by row, lexicon and feature."""
+    for toxic, part, x in blocks:
+        toxic = np.frombuffer(toxic, np.uint8)
+        yield toxic, np.frombuffer(part, np.uint8), np.frombuffer(x, kind).reshape(len(toxic), 1 + PARTS, -1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, bytes]]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _learns(part: np.ndarray, k: int) -> np.ndarray:
+    """Which rows the model k learns from: all for 0, else those of the other parts than k - 1."""
+    return part != k - 1 if k else np.ones(len(part), bool)
+
+
+def _edges(blocks: DataFrame) -> list[list[np.ndarray]]:
+    """For each model the ends of its features' bins: quantiles of the rows it learns from, rounded up to the end of a cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for _, part, x in _rows(_blocks(batches), np.float32):
+            cells = np.ascontiguousarray(x).view(np.int32) >> CELL_BITS  # floats from zero on are in the order of their bits
+            for k in range(1 + PARTS):
+                own = cells[_learns(part, k), k]
+                key = ((k * own.shape[1] + np.arange(own.shape[1])) << 32 - CELL_BITS) + own
+                for c, n in zip(*(v.tolist() for v in np.unique(key, return_counts=True))):
+                    found[c] = found.get(c, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["cell", "n"])
+
+    counted = blocks.mapInArrow(released(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+    cell, n = counted["cell"].to_numpy(), counted["n"].to_numpy()
+    column, f = cell >> 32 - CELL_BITS, len(Features.names)
+    out = []
+    for k in range(1 + PARTS):
+        own = []
+        for j in range(f):
+            lo, hi = np.searchsorted(column, [k * f + j, k * f + j + 1])
+            upto = n[lo:hi].cumsum()
+            at = np.searchsorted(upto, upto[-1:] * np.arange(1, BINS) / BINS) if hi > lo else np.zeros(0, int)
+            value = (cell[lo:hi][np.unique(at)] & (1 << 32 - CELL_BITS) - 1) + 1 << CELL_BITS
+            own.append((value - 1).astype(np.int32).view(np.float32))
+        out.append(own)
+    return out
+
+
+def _binned(blocks: DataFrame, models: list[BoostedTrees | None]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for toxic, part, x in _rows(_blocks(batches), np.float32):
+            bins = np.stack([np.zeros(x[:, k].shape, np.uint8) if m is None else m.bins(x[:, k]) for k, m in enumerate(models)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (toxic, part, bins)], ["toxic", "part", "bins"])
+
+    return materialise(blocks.mapInArrow(released(run), "toxic binary, part binary, bins binary"), "toxicity-bins")
+
+
+def _grow(bins: RDD, models: list[BoostedTrees | None]) -> None:
+    """The next level of all models; bins: the rows of _binned."""
+
+    def run(blocks: Iterator[tuple[bytes, bytes, bytes]]) -> Iterator[list]:
+        total: list = [0.0] * len(models)
+        for toxic, part, x in _rows(blocks, np.uint8):
+            for k, model in enumerate(models):
+                if model is not None:
+                    own = _learns(part, k)
+                    total[k] = total[k] + model.sums(x[own, k], toxic[own].astype(float))
+        yield total
+
+    found = bins.mapPartitions(run).collect()  # of each task the sums for each model
+    for k, model in enumerate(models):
+        if model is not None:
+            model.grow(sum(own[k] for own in found))
+
+
+def _calibrate(bins: DataFrame, models: list[BoostedTrees | None]) -> Isotonic:
+    """From the margins of rows by models that have not learned from them; by the model of all rows if there are no others."""
+    others = any(m is not None for m in models[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for toxic, part, x in _rows(_blocks(batches), np.uint8):
+            for k, model in enumerate(models):
+                own = ~_learns(part, k) if others else np.full(len(part), k == 0)
+                if model is not None and own.any():
+                    step = np.rint(model.margin_of(x[own, k]) / MARGIN_STEP).astype(np.int64)
+                    at, where, n = np.unique(step, return_inverse=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(where, toxic[own]).astype(np.int64)), pa.array(n)], ["step", "toxic", "n"])
+
+    counted = bins.mapInArrow(released(run), "step long, toxic long, n long").groupBy("step").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).toArrow()
+    return Isotonic().fit(counted["step"].to_numpy() * MARGIN_STEP, counted["toxic"].to_numpy(), counted["n"].to_numpy())
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     spark = docs.sparkSession
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most rows narrow rows, so their broadcast is bounded
+    known = materialise(labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxicity-labels")
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int")
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("part", part)
+    texts = docs.select("doc_id", whole_text().alias("text")).join(sized_broadcast(known), "doc_id").select("text", "toxic", part.alias("part"))
     sample = materialise(texts, "toxicity-sample")
     n = {(r.toxic, r.part): r.n for r in sample.groupBy("toxic", "part").agg(F.count("*").alias("n")).collect()}
     toxic, clean = ([n.get((label, k), 0) for k in range(PARTS)] for label in (1, 0))
     if not sum(toxic) or not sum(clean):
         return ToxicityModel({}, share=float(sum(toxic) > 0))
     lexicons = learn_lexicons(sample, toxic, clean)
-    shared = spark.sparkContext.broadcast(lexicons)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(*shared.value)
-        for batch in batches:
-            found = [features.each(t) for t in batch.text]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "toxic": batch.toxic, "part": batch.part, "f": [np.concatenate(x) for x in found]})
-
-    # PARTS + 1 rows of numbers for each row of the bounded sample
-    found = sample.mapInPandas(released(run), "doc_id long, toxic int, part int, f array<double>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
-    shared.destroy()
-    x = found["f"].chunk(0).flatten().to_numpy().reshape(found.num_rows, 1 + PARTS, -1)
-    y, parts = found["toxic"].to_numpy().astype(float), found["part"].to_numpy()
+    blocks = _feature_blocks(sample, lexicons)
+    models: list[BoostedTrees | None] = []
+    for k, edges in enumerate(_edges(blocks)):
+        ones, zeros = (sum(v) - (v[k - 1] if k else 0) for v in (toxic, clean))
+        models.append(BoostedTrees(trees=TREES).start(edges, ones / (ones + zeros)) if ones and zeros else None)
+    bins = _binned(blocks, models).coalesce(spark.sparkContext.defaultParallelism)
+    rows = bins.rdd  # many passes, so no query is planned for each
+    for _ in range(TREES * models[0].depth):
+        _grow(rows, models)
+    calibrate = _calibrate(bins, models)
     give_back()
-    margins = np.full(len(y), np.nan)
-    for k in range(PARTS):
-        own = parts == k
-        if own.any() and 0 < y[~own].sum() < (~own).sum():
-            margins[own] = BoostedTrees(trees=40).fit(x[~own, 1 + k], y[~own]).margin(x[own, 1 + k])
-    trees = BoostedTrees(trees=40).fit(x[:, 0], y)
-    known = ~np.isnan(margins)
-    calibrate = Isotonic().fit(margins[known], y[known]) if known.any() else Isotonic().fit(trees.margin(x[:, 0]), y)
-    return ToxicityModel(lexicons[0], trees, calibrate)
+    return ToxicityModel(lexicons[0], models[0], calibrate)
 
 
 def scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:

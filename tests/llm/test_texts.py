@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablediff.llm import boosting, language_id, secrets, sentence_piece, token_count, toxicity
@@ -150,6 +151,26 @@ def test_lexicons_of_parts_have_not_seen_them(spark):
         assert f"only{k}" not in own and "common1" in own
 
 
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TREES", 2, raising=False)
+    late = {r.id for r in spark.range(40_000).where(~toxicity.held_out("id")).orderBy(F.xxhash64("id"), "id").offset(24_000).limit(400).collect()}
+    docs = spark.createDataFrame([(i, f"zork word{i % 7}" if i in late else f"word{i % 7} text") for i in range(40_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i in late or i % 40 == 0)) for i in range(40_000)], "doc_id long, quality int, toxic int")
+    assert "zork" in toxicity.learn(docs, labels).lexicon
+
+
+def test_trees_from_sums_of_parts_equal_those_of_all_rows():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 5))
+    y = (x[:, 0] + x[:, 1] ** 2 > 1).astype(float)
+    whole = boosting.BoostedTrees(trees=10).fit(x, y)
+    grown, order = boosting.BoostedTrees(trees=10).start(whole.edges, y.mean()), rng.permutation(3000)
+    binned = grown.bins(x)
+    for _ in range(10 * grown.depth):
+        grown.grow(sum(grown.sums(binned[k], y[k]) for k in np.array_split(order, 7)))
+    assert np.array_equal(grown.margin(x), whole.margin(x))
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
