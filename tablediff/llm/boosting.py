@@ -32,12 +32,14 @@ class BoostedTrees:
         x = x.astype(np.float32, copy=False)
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], 1).astype(np.uint8)
 
-    def _node(self, binned: np.ndarray, tree: int, levels: int) -> np.ndarray:
-        node, rows = np.zeros(len(binned), np.int64), np.arange(len(binned))
-        for _ in range(levels):
-            at = self.feature[tree][node]
-            node = 2 * node + 1 + (binned[rows, at] > self.cut[tree][node])
-        return node
+    def _node(self, columns: np.ndarray, tree: int, levels: int) -> np.ndarray:
+        """The place of each row (columns: the rows' bins by feature) among the nodes behind so many levels."""
+        below = [np.zeros(columns.shape[1], np.uint8)]
+        for level in reversed(range(levels)):
+            first, half = (1 << level) - 1, np.uint8(1 << (levels - 1 - level))
+            right = [columns[self.feature[tree][k]] > int(self.cut[tree][k]) for k in range(first, 2 * first + 1)]
+            below = [r.view(np.uint8) if len(below) == 1 else np.where(r, below[2 * k + 1] + half, below[2 * k]) for k, r in enumerate(right)]
+        return below[0]
 
     def sums(self, binned: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of the rows, for the level that grows next: gradient, second derivative and count by node, feature and bin."""
@@ -45,7 +47,7 @@ class BoostedTrees:
         grown = self.level % self.depth  # levels of the open tree
         p = 1 / (1 + np.exp(-self.margin_of(binned)))
         width = 1 << grown
-        node = self._node(binned, len(self.value), grown) - (width - 1) if grown else np.zeros(n, np.int64)
+        node = self._node(np.ascontiguousarray(binned.T), len(self.value), grown).astype(np.int64)
         at = (node[:, None] * (f * BINS) + binned + np.arange(f) * BINS).ravel()
         values = np.rint((y - p) / EXACT) * EXACT, np.rint(p * (1 - p) / EXACT) * EXACT, np.ones(n)
         return np.stack([np.bincount(at, np.repeat(v, f), width * f * BINS) for v in values]).reshape(3, width, f, BINS)
@@ -84,9 +86,9 @@ class BoostedTrees:
 
     def margin_of(self, binned: np.ndarray) -> np.ndarray:
         """The margins of rows of bins, by the trees that have grown."""
-        out = np.full(len(binned), self.base)
+        out, columns = np.full(len(binned), self.base), np.ascontiguousarray(binned.T)
         for tree, value in enumerate(self.value):
-            out += value[self._node(binned, tree, self.depth) - ((1 << self.depth) - 1)]
+            out += value[self._node(columns, tree, self.depth)]
         return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:
