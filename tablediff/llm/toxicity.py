@@ -21,7 +21,9 @@ an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,8 @@ THRESHOLD, PARTS, TREES = 0.3, 5, 40
 STEMS = range(4, 10)
 LEXICON_SIZE, LEAST_WEIGHT = 4000, 2.0
 MEMO_ENTRIES = 150_000
+#: One in so many clean rows is counted first.
+FIRST = 6
 #: Low bits of a feature's float that its cell leaves out, rows of features in a block, terms that a task counts before it passes them on.
 CELL_BITS, BLOCK_ROWS, COUNTED = 16, 4096, 100_000
 #: Margins are counted in such steps for the calibration.
@@ -48,11 +52,14 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 #: Signs and digits commonly put for letters.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 
-TOKEN = re.compile(r"\S+")
 EDGE = ".,;:!?\"'()[]{}<>*#%&|-_…«»“”„"
 PUNCTUATION, CAPITALS = re.compile(r"[^\w\s]"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
 DRAWN, SHOUT, DIGIT = re.compile(r"(\w)\1{2,}"), re.compile(r"!"), re.compile(r"\d")
 DISGUISED = re.compile(r"[^\W\d_][0-9@$!*]+[^\W\d_]")
+#: Of a character, a bit for each pattern that it matches.
+KINDS = (CAPITALS, PUNCTUATION, DIGIT, re.compile(r"\w"), re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!*]"))
+CAPITAL, SIGN, FIGURE, WORD, LETTER, VEIL = (1 << k for k in range(len(KINDS)))
+UNSEEN = 255
 
 
 def terms(word: str) -> list[str]:
@@ -67,19 +74,63 @@ def plain(token: str) -> str:
     return word
 
 
-def text_terms(text: str, memo: dict[str, tuple[str, ...]], keep: frozenset | None = None) -> set[str]:
-    """The terms of a text, of those in keep if that is given; memo holds those of tokens."""
-    out: set[str] = set()
-    for token in set(TOKEN.findall(text)):
-        own = memo.get(token)
-        if own is None:
-            if len(memo) >= MEMO_ENTRIES:
-                memo.clear()
-            word = plain(token)
-            own = memo[token] = tuple(t for t in (terms(word) if word else ()) if keep is None or t in keep)
-        if own:
-            out.update(own)
-    return out
+class Heads(dict):
+    """For the first letters of a token, whether what plain makes of it may be a word, or begin with a beginning of words, of those given.
+
+    Most tokens of a large corpus are rare, so a memo of tokens misses them over and over; their first letters are few.
+    """
+
+    def __init__(self, begins: Iterable[str], capitals: bool = False):
+        """begins: terms or words; capitals: tokens that may be all in capitals count too."""
+        super().__init__()
+        self.begins, self.capitals = {t[: STEMS.start].removesuffix("~") for t in begins}, capitals
+
+    def __missing__(self, head: str) -> bool:
+        if len(self) >= MEMO_ENTRIES:
+            self.clear()
+        low = head.lower()
+        # plain leaves such a beginning as it is: only letters, none drawn out here or by what follows, and no capital sigma, whose small letter hangs on what follows
+        fixed = len(head) == len(low) == STEMS.start and low.isalpha() and low[-1] != low[-2] and not DRAWN.search(low) and "Σ" not in head
+        found = self[head] = not fixed or low in self.begins or self.capitals and f"{head}A".isupper()
+        return found
+
+
+class Terms:
+    """Finds the terms of texts, of those in keep if that is given."""
+
+    def __init__(self, keep: Iterable[str] | None = None):
+        self.memo: dict[str, tuple[str, ...]] = {}
+        self.dull: set[str] = set()  # tokens without a term
+        self.keep = None if keep is None else frozenset(keep)
+        self.heads = None if keep is None else Heads(self.keep)
+        self.begins = {t.removesuffix("~")[:k] for t in self.keep or () for k in STEMS}
+
+    def of_word(self, word: str) -> tuple[str, ...]:
+        if self.keep is None:
+            return tuple(terms(word)) if word else ()
+        out = [word] if word in self.keep else []
+        for k in STEMS:
+            if len(word) <= k or word[:k] not in self.begins:  # nor does a term begin with more of the word
+                break
+            if (stem := word[:k] + "~") in self.keep:
+                out.append(stem)
+        return tuple(out)
+
+    def of(self, text: str) -> set[str]:
+        memo, dull, heads = self.memo, self.dull, self.heads
+        if len(memo) + len(dull) >= MEMO_ENTRIES:
+            memo.clear()
+            dull.clear()
+        rest = set(text.split()).difference(dull)
+        out: set[str] = set()
+        for token in rest if heads is None else [t for t in rest if heads[t[: STEMS.start]]]:
+            own = memo.get(token)
+            if own is None and (own := self.of_word(plain(token))):
+                memo[token] = own
+            if own:
+                out.update(own)
+        dull.update(rest.difference(memo))
+        return out
 
 
 def _document_counts(rows: DataFrame, keep: frozenset | None) -> DataFrame:
@@ -87,23 +138,19 @@ def _document_counts(rows: DataFrame, keep: frozenset | None) -> DataFrame:
     spark = rows.sparkSession
     shared = None if keep is None else spark.sparkContext.broadcast(keep)
 
-    def told(found: dict[str, list[int]]) -> pd.DataFrame:
-        counts = np.array(list(found.values()), np.int64).reshape(len(found), PARTS)
-        return pd.DataFrame({"term": pd.Series(list(found), dtype=object)} | {f"n{k}": counts[:, k] for k in range(PARTS)})
+    def told(found: list[Counter[str]]) -> pd.DataFrame:
+        held = list(set().union(*found))
+        return pd.DataFrame({"term": pd.Series(held, dtype=object)} | {f"n{k}": np.fromiter(map(own.get, held, repeat(0)), np.int64, len(held)) for k, own in enumerate(found)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, tuple[str, ...]] = {}
-        found: dict[str, list[int]] = {}
+        find = Terms(None if shared is None else shared.value)
+        found: list[Counter[str]] = [Counter() for _ in range(PARTS)]
         for batch in batches:
             for text, part in zip(batch.text, batch.part):
-                for term in text_terms(text, memo, None if shared is None else shared.value):
-                    counts = found.get(term)
-                    if counts is None:
-                        counts = found[term] = [0] * PARTS
-                    counts[part] += 1
-            if len(found) > COUNTED:
+                found[part].update(find.of(text))
+            if sum(map(len, found)) > 2 * COUNTED:  # a common term stands in each part's counts
                 yield told(found)
-                found = {}
+                found = [Counter() for _ in range(PARTS)]
         yield told(found)
 
     names = [f"n{k}" for k in range(PARTS)]
@@ -119,16 +166,29 @@ def _weights(in_toxic: dict[str, int], in_clean: dict[str, int], toxic: int, cle
     return {t: weight[t] for t in best}
 
 
+def _hopeful(in_toxic: dict[str, np.ndarray], in_clean: dict[str, np.ndarray], toxic: np.ndarray, clean: np.ndarray, uses: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Those of in_toxic that with so many clean texts, or more, may have LEAST_WEIGHT in a lexicon; each learns from the parts in one of uses."""
+    none = np.zeros(PARTS, np.int64)
+    n, c = (np.array([counts.get(t, none) for t in in_toxic], np.int64).reshape(-1, PARTS) for counts in (in_toxic, in_clean))
+    odds = [np.log((n[:, use].sum(1) + 0.5) / (toxic[use].sum() + 1)) - np.log((c[:, use].sum(1) + 0.5) / (clean[use].sum() + 1)) for use in uses]
+    return {t: in_toxic[t] for t, most in zip(in_toxic, np.max(odds, 0)) if most > LEAST_WEIGHT - 1e-6}
+
+
 def learn_lexicons(sample: DataFrame, toxic: list[int], clean: list[int]) -> list[dict[str, float]]:
     """The lexicon of the whole sample, then for each part that of all other parts. toxic and clean: rows of each part."""
     n = sum((F.col(f"n{k}") for k in range(PARTS)), F.lit(0))
     often = _document_counts(sample.where("toxic = 1"), None).where(n >= max(3, (sum(toxic) - max(toxic)) // 200)).orderBy(F.desc(n), "term").limit(20 * LEXICON_SIZE)
     in_toxic = {r.term: np.array(r[1:]) for r in often.collect()}
-    in_clean = {r.term: np.array(r[1:]) for r in _document_counts(sample.where("toxic = 0"), frozenset(in_toxic)).collect()}
     toxic, clean = np.array(toxic), np.array(clean)
+    uses = [np.arange(PARTS) != k for k in (PARTS, *range(PARTS))]
+    in_clean: dict[str, np.ndarray] = {}
+    first = F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0
+    for rows in (first, ~first):  # counts only grow, so a term that the first rows show to be too common needs no more counting
+        for r in _document_counts(sample.where("toxic = 0").where(rows), frozenset(in_toxic)).collect():
+            in_clean[r.term] = in_clean.get(r.term, 0) + np.array(r[1:])
+        in_toxic = _hopeful(in_toxic, in_clean, toxic, clean, uses)
     out = []
-    for without in (None, *range(PARTS)):
-        use = np.arange(PARTS) != (PARTS if without is None else without)
+    for use in uses:
         own = lambda counts, use=use: {t: int(c[use].sum()) for t, c in counts.items()}
         out.append(_weights(own(in_toxic), own(in_clean), int(toxic[use].sum()), int(clean[use].sum())))
     return out
@@ -140,35 +200,71 @@ class Features:
     names = ("words", "hits", "hit_density", "weight_density", "top_weight", "second_hit_weight", "distinct_hits", "near_second", "second_density", "capitals", "all_caps", "shouts", "punctuation", "drawn", "disguised", "digits", "distinct", "word_length")
 
     def __init__(self, *lexicons: dict[str, float]):
-        self.lexicons, self.memo = lexicons, {}
-        self.heads = {t[: STEMS.start].removesuffix("~") for x in lexicons for t in x}  # no word that begins otherwise has a weight
+        self.lexicons, self.terms = lexicons, Terms(t for x in lexicons for t in x)
+        self.begins = self.terms.heads.begins  # no word that begins otherwise has a weight
+        self.heads = Heads((*self.begins, *SECOND_PERSON), capitals=True)
+        self.memo: dict[str, tuple[tuple[float, ...], bool]] = {}  # what tell gives of a token
+        self.dull: set[str] = set()  # tokens that tell leaves out
+        self.kinds = np.full(0x110000, UNSEEN, np.uint8)
 
     def weigh(self, token: str) -> tuple[float, ...]:
         """The token's weight in each lexicon; -1 for a second person; empty if it is neither."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
         word = plain(token)
-        found = tuple([max([x.get(t, 0.0) for t in own]) for x in self.lexicons]) if word[: STEMS.start] in self.heads and (own := terms(word)) else ()
-        if not any(found):
-            found = ()
+        own = self.terms.of_word(word) if word[: STEMS.start] in self.begins else ()
+        found = tuple([max([x.get(t, 0.0) for t in own]) for x in self.lexicons]) if own else ()
         if word in SECOND_PERSON:
             found = tuple(w or -1.0 for w in found or (0.0,) * len(self.lexicons))
-        self.memo[token] = found
         return found
 
+    def tell(self, kinds: set[str]) -> dict[str, tuple[tuple[float, ...], bool]]:
+        """Of those tokens that have a mark or are all in capitals: what weigh says, and whether they are."""
+        memo, dull, heads = self.memo, self.dull, self.heads
+        if len(memo) + len(dull) >= MEMO_ENTRIES:
+            memo.clear()
+            dull.clear()
+        rest = kinds.difference(dull)
+        out = {}
+        for token in [t for t in rest if heads[t[: STEMS.start]]]:
+            found = memo.get(token)
+            if found is None:
+                found = self.weigh(token), token.isupper() and len(token) > 2
+                if not any(found):
+                    continue
+                memo[token] = found
+            out[token] = found
+        dull.update(rest.difference(out))
+        return out
+
+    def counts(self, text: str) -> tuple[int, ...]:
+        """How often CAPITALS, SHOUT, PUNCTUATION, DRAWN, DISGUISED and DIGIT are found, by the kinds of all characters at once."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.kinds[chars]
+        if (new := kinds == UNSEEN).any():
+            for c in np.unique(chars[new]).tolist():
+                self.kinds[c] = sum(1 << k for k, p in enumerate(KINDS) if p.match(chr(c)))
+            kinds = self.kinds[chars]
+        count = lambda kind: int(np.count_nonzero(kinds & kind))
+        same = chars[1:] == chars[:-1]
+        third = same[1:] & same[:-1] & (kinds[2:] & WORD > 0)
+        drawn = int(np.count_nonzero(third[:1]) + np.count_nonzero(third[1:] > third[:-1]))
+        left, right = kinds[:-1], kinds[1:]
+        veiled = ((left & LETTER > 0) & (right & VEIL > 0)).any() and ((left & VEIL > 0) & (right & LETTER > 0)).any()
+        return count(CAPITAL), text.count("!"), count(SIGN), drawn, len(DISGUISED.findall(text)) if veiled else 0, count(FIGURE)
+
     def of(self, text: str) -> tuple[float, ...]:
         return self.each(text)[0]
 
     def each(self, text: str) -> list[tuple[float, ...]]:
-        tokens, memo = TOKEN.findall(text), self.memo
+        tokens = text.split()
         n, chars, kinds = len(tokens), len(text), set(tokens)
-        marks = {t: w for t in kinds if (w := memo[t] if t in memo else self.weigh(t))}
+        told = self.tell(kinds)
+        marks = {t: w for t, (w, _) in told.items() if w}
         places = [i for i, t in enumerate(tokens) if t in marks] if marks else []
         held = [marks[tokens[i]] for i in places]
         per, by = 1.0 / max(n, 1), 1.0 / max(chars, 1)
-        count = lambda p: len(p.findall(text))
+        capitals, shouts, punctuation, drawn, disguised, digits = self.counts(text)
         first = float(np.log1p(n))
-        last = (count(CAPITALS) * by, sum([t.isupper() and len(t) > 2 for t in kinds]) * per, count(SHOUT) * by, count(PUNCTUATION) * by, count(DRAWN) * per, count(DISGUISED) * per, count(DIGIT) * by, len(kinds) * per, chars * per)
+        last = (capitals * by, sum([shout for _, shout in told.values()]) * per, shouts * by, punctuation * by, drawn * per, disguised * per, digits * by, len(kinds) * per, chars * per)
         out = []
         for k in range(len(self.lexicons)):
             hits, you = [i for i, w in zip(places, held) if w[k] > 0], [i for i, w in zip(places, held) if w[k] < 0]

@@ -159,6 +159,60 @@ def test_every_labelled_row_teaches(spark, monkeypatch):
     assert "zork" in toxicity.learn(docs, labels).lexicon
 
 
+def _rare_words(n: int) -> list[str]:
+    rng = random.Random(3)
+    parts = [a + b for a in "bdlmnrstê" for b in ("a", "e", "ie", "on")]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+    return [" ".join([rng.choice(["{}", "{}", "{}", "{},", "{}.", "you {}", "zork {}", "{}1x"]).format(word()) for _ in range(500)]) for _ in range(n)]
+
+
+def test_features_are_what_patterns_and_words_give():
+    lexicon = {"zork": 3.0, "ober~": 2.5, "idiotic": 4.0, "idio~": 2.0}
+    features = toxicity.Features(lexicon)
+    odd = [*ODD, "aaab bbb", "aabbb1c aaabbb", "a1b2c a1b 1a x!y", "ZORK Zork, z0rk! zzork zork", "ABER ABERΣ Obers OBERΣ'ober ober", "İdiotic idi0tic IDIO idiotiç", "you YOU, yourself", "\x1ca\x85b c\u2028d"]
+    for text in odd + _rare_words(20):
+        tokens, got = text.split(), dict(zip(features.names, features.of(text)))
+        weight = {t: max([lexicon.get(w, 0.0) for w in toxicity.terms(toxicity.plain(t))]) for t in set(tokens) if toxicity.plain(t)}
+        assert got["hits"] == sum(weight.get(t, 0) > 0 for t in tokens) and got["distinct_hits"] == sum(w > 0 for w in weight.values())
+        assert got["second_density"] == sum(toxicity.plain(t) in toxicity.SECOND_PERSON and not weight[t] for t in tokens) * (1.0 / max(len(tokens), 1))
+        assert got["all_caps"] == sum(t.isupper() and len(t) > 2 for t in set(tokens)) * (1.0 / max(len(tokens), 1))
+        patterns = (toxicity.CAPITALS, toxicity.SHOUT, toxicity.PUNCTUATION, toxicity.DRAWN, toxicity.DISGUISED, toxicity.DIGIT)
+        assert features.counts(text) == tuple(len(p.findall(text)) for p in patterns), text
+        keep = frozenset(lexicon)
+        assert toxicity.Terms(keep).of(text) == toxicity.Terms().of(text) & keep
+
+
+def test_features_take_little_more_than_a_search_of_their_patterns():
+    texts = _rare_words(300)
+    patterns = (toxicity.CAPITALS, toxicity.SHOUT, toxicity.PUNCTUATION, toxicity.DRAWN, toxicity.DISGUISED, toxicity.DIGIT)
+
+    def seconds(f):
+        t = time.process_time()
+        for text in texts:
+            f(text)
+        return time.process_time() - t
+
+    took = [(seconds(toxicity.Features({"zork": 3.0, "ober~": 2.5}).of), seconds(lambda text: [p.findall(text) for p in patterns])) for _ in range(5)]
+    assert min(t for t, _ in took) < 2 * min(t for _, t in took)
+
+
+def test_terms_too_common_in_the_first_clean_rows_are_not_counted_further(spark, monkeypatch):
+    rng, rows = random.Random(4), []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        words = [f"plain{k}" for k in range(30) if rng.random() < 0.4] + [f"bad{k}" for k in range(9) if rng.random() < (0.4 if toxic else 0.01 * k)]
+        rows.append((" ".join([f"row{i}", *words]), int(toxic), i % toxicity.PARTS))
+    count = lambda label: [sum(t == label and p == k for _, t, p in rows) for k in range(toxicity.PARTS)]
+    kept, real = [], toxicity._document_counts
+    monkeypatch.setattr(toxicity, "_document_counts", lambda rows, keep: (kept.append(keep), real(rows, keep))[1])
+    found = toxicity.learn_lexicons(spark.createDataFrame(rows, "text string, toxic int, part int"), count(1), count(0))
+    for k, lexicon in zip((None, *range(toxicity.PARTS)), found):
+        texts = {label: [toxicity.Terms().of(t) for t, own, p in rows if own == label and p != k] for label in (0, 1)}
+        by = {label: {w: sum(w in t for t in texts[label]) for w in set().union(*texts[1])} for label in (0, 1)}
+        assert lexicon == toxicity._weights(by[1], by[0], len(texts[1]), len(texts[0])) and lexicon
+    assert len(kept) == 3 and "plain1" in kept[1] and "plain1" not in kept[2] and kept[2] < kept[1] and set(found[0]) <= kept[2]
+
+
 def test_trees_from_sums_of_parts_equal_those_of_all_rows():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 5))
